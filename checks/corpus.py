@@ -9,6 +9,12 @@ from checks import rules
 from modcensus.functions.classify import file_type
 from modcensus.functions.links import blob_url
 from modcensus.runtime import land
+from modcensus.sources.payloads import (
+    github_payloads,
+    github_repositories,
+    gitlab_payloads,
+    gitlab_repositories,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,3 +95,80 @@ def iac_files(spark: SparkSession, folder: str) -> DataFrame:
         F.md5("path").alias("sha"),
         F.octet_length("content").cast("bigint").alias("size"),
     )
+
+
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").selectExpr("c_custkey AS c")
+
+
+def _pages(spark: SparkSession, folder: str, condition: str, body: str) -> DataFrame:
+    """One-payload pages in listing order; every 13th payload is listed again at the end."""
+    again = "CASE WHEN c % 13 = 0 THEN array(0L, 1000000L) ELSE array(0L) END"
+    return (
+        _customers(spark, folder)
+        .where(condition)
+        .selectExpr("c", f"explode({again}) AS again")
+        .selectExpr("c + again AS page", f"{body} AS body")
+    )
+
+
+def github_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder, rules.IS_GITHUB, rules.GITHUB_PAGE)
+
+
+def gitlab_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder, f"NOT {rules.IS_GITHUB}", rules.GITLAB_PAGE)
+
+
+def repositories(spark: SparkSession, folder: str) -> DataFrame:
+    github = github_repositories(github_payloads(github_pages(spark, folder)))
+    return github.unionByName(gitlab_repositories(gitlab_payloads(gitlab_pages(spark, folder))))
+
+
+def tree_entries(spark: SparkSession, folder: str) -> DataFrame:
+    extras = ", ".join(
+        f"CASE WHEN {condition} THEN struct({path} AS path, '{kind}' AS entry_type, {i + 1}L AS at) END"
+        for i, (condition, path, kind) in enumerate(rules.EXTRAS)
+    )
+    entries = f"filter(array(struct(path, 'blob' AS entry_type, 0L AS at), {extras}), e -> e IS NOT NULL)"
+    rows = files(spark, folder).selectExpr("o", "full_name", "tree_pos", f"inline({entries})")
+    return rows.selectExpr(
+        "full_name",
+        "path",
+        "entry_type",
+        f"CASE WHEN {rules.HAS_SHA} THEN md5(path) END AS sha",
+        "CAST(NULL AS BIGINT) AS size",
+        "tree_pos + at AS tree_pos",
+    )
+
+
+def file_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """Base64 bodies broken into lines, as the providers send them."""
+    encoded = "base64(content)"
+    return (
+        files(spark, folder)
+        .where(rules.IS_LANDED)
+        .selectExpr(
+            "full_name",
+            "path",
+            f"CASE WHEN {rules.IS_PLAIN} THEN 'text' ELSE 'base64' END AS encoding",
+            f"CASE WHEN {rules.IS_EMPTY_RESPONSE} THEN NULL WHEN {rules.IS_PLAIN} THEN content "
+            f"ELSE substr({encoded}, 1, 60) || chr(10) || substr({encoded}, 61) END AS content",
+        )
+    )
+
+
+def scan_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    return _customers(spark, folder).selectExpr("c", f"{rules.TARGET} AS original_input")
+
+
+def fetch_log(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").selectExpr(
+        "event_id",
+        f"{rules.LOG_PLATFORM} AS platform",
+        "event_type AS operation",
+        f"{rules.LOG_STATUS} AS status",
+        f"{rules.LOG_CODE} AS code",
+        "'request ' || event_id AS message",
+        f"{rules.LOG_BODY_MESSAGE} AS body_message",
+    )

@@ -113,3 +113,65 @@ REPO_URL = (
 FILE_URL = f"""(CASE WHEN c % 2 = 0
     THEN 'https://github.com/' || {REPO_FULL_NAME} || '/blob/' || {REPO_BRANCH} || '/' || path
     ELSE {REPO_URL} || '/-/blob/' || coalesce({REPO_BRANCH}, 'main') || '/' || path END)"""
+
+# listings: every customer number is a repository; some are listed a second time
+IS_GITHUB = "(c % 2 = 0)"
+GITHUB_PAGE = f"""('[{{"name":"' || {REPO_NAME} || '","full_name":"' || {REPO_FULL_NAME} || '","default_branch":"' || {REPO_BRANCH}
+    || '","archived":' || (CASE WHEN {REPO_ARCHIVED} THEN 'true' ELSE 'false' END)
+    || ',"private":' || (CASE WHEN {REPO_VISIBILITY} = 'public' THEN 'false' ELSE 'true' END)
+    || ',"html_url":"' || {REPO_URL} || '","clone_url":"' || {REPO_URL} || '.git","owner":{{"'
+    || (CASE WHEN c % 12 = 0 THEN 'login":"","name' ELSE 'login' END) || '":"' || {REPO_OWNER} || '"}}}}]')"""
+GITLAB_PAGE = f"""('[{{"id":' || c || ',"name":"Display ' || c || '","path":"' || {REPO_NAME} || '","path_with_namespace":"' || {REPO_FULL_NAME}
+    || '","default_branch":' || coalesce('"' || {REPO_BRANCH} || '"', 'null')
+    || ',"archived":' || (CASE WHEN {REPO_ARCHIVED} THEN 'true' ELSE 'false' END)
+    || ',"visibility":"' || {REPO_VISIBILITY} || '","web_url":"' || {REPO_URL} || '","http_url_to_repo":"' || {REPO_URL}
+    || '.git","namespace":{{"name":"N","path":"' || {REPO_OWNER} || '"}}}}]')"""
+
+# further tree entries beside a file; ``tree_pos`` is unique per file and leaves room for them
+EXTRA_FOLDER = "('extra' || tree_pos)"
+EXTRAS = [  # (condition, path, entry type)
+    ("o % 11 = 0", f"{EXTRA_FOLDER} || '/README.md'", "blob"),
+    ("o % 17 = 0", f"{EXTRA_FOLDER} || '/.terraform.lock.hcl'", "blob"),
+    ("o % 19 = 0", f"{EXTRA_FOLDER} || '/node_modules/x/main.tf'", "blob"),
+    ("o % 23 = 0", f"{EXTRA_FOLDER} || '.tf'", "tree"),
+    ("o % 25 = 0", f"{EXTRA_FOLDER} || '/.cache/y.hcl'", "blob"),
+]
+HAS_SHA = "(o % 37 <> 0)"
+
+# landed contents: some failed, some plain, some without text
+IS_LANDED = "(o % 29 <> 0)"
+IS_PLAIN = "(o % 31 = 0)"
+IS_EMPTY_RESPONSE = "(o % 41 = 0)"
+
+# scan targets: one text per customer number
+TARGET = f"""(CASE c % 20
+    WHEN 0 THEN 'github:' || {REPO_OWNER}
+    WHEN 1 THEN 'GH:' || {REPO_FULL_NAME}
+    WHEN 2 THEN 'gitlab://git' || c || '.acme.io:8443/' || {REPO_OWNER} || '/a/b'
+    WHEN 3 THEN 'local:./x/../y' || c
+    WHEN 4 THEN {REPO_OWNER}
+    WHEN 5 THEN 'SVN:' || {REPO_OWNER}
+    WHEN 6 THEN 'github:bad org' || c
+    WHEN 7 THEN 'gl:' || {REPO_FULL_NAME} || '/sub'
+    WHEN 8 THEN 'bb:' || {REPO_OWNER}
+    WHEN 9 THEN 'Github:'
+    WHEN 10 THEN 'github://github.com/' || {REPO_FULL_NAME} || '?tab=1#top'
+    WHEN 11 THEN 'fs:/data/../srv//iac' || c || '/'
+    WHEN 12 THEN 'github:' || {REPO_OWNER} || '/bad repo'
+    WHEN 13 THEN 'svn://host/' || {REPO_OWNER}
+    WHEN 14 THEN 'gitlab://gitlab.com/'
+    WHEN 15 THEN 'GitLab:' || {REPO_OWNER} || '/'
+    WHEN 16 THEN 'github:/x' || c
+    WHEN 17 THEN 'gl://gitlab.com:99999/' || {REPO_OWNER}
+    WHEN 18 THEN 'gitlab://user@gitlab.com/' || {REPO_OWNER} || '/my lib/../tools'
+    ELSE 'gitlab:' || {REPO_FULL_NAME} END)"""
+
+# request log: one row per event
+LOG_PLATFORM = """(CASE user_id % 5
+    WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' WHEN 2 THEN 'github-self-hosted' WHEN 3 THEN 'gitlab-self-hosted'
+    ELSE 'bitbucket' END)"""
+LOG_STATUS = """(CASE event_id % 9
+    WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 404 WHEN 4 THEN 429 WHEN 5 THEN 500 WHEN 6 THEN 503
+    WHEN 7 THEN 422 ELSE NULL END)"""
+LOG_CODE = "(CASE WHEN event_id % 9 = 8 AND event_id % 2 = 0 THEN 'ECONNRESET' ELSE NULL END)"
+LOG_BODY_MESSAGE = "(CASE WHEN event_id % 4 = 0 THEN NULL ELSE props END)"

@@ -93,9 +93,14 @@ def _version() -> Column:
     return call_version(F.col("source"), attribute)
 
 
-def module_calls(files: DataFrame) -> DataFrame:
-    """All module calls of Terraform and Terragrunt files (table ``module_calls``)."""
-    rows = _sourced_blocks(files.select("file_type", "repository", "path", "content", "url"), with_lines=True)
+def module_calls(files: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """All module calls of Terraform and Terragrunt files (table ``module_calls``).
+
+    ``carry`` names further columns of ``files`` to keep.
+    """
+    carry = carry or []
+    columns = ["file_type", "repository", "path", "content", "url", *carry]
+    rows = _sourced_blocks(files.select(*columns), with_lines=True)
     source = F.col("source")
     name = _by_type(
         lambda t: F.regexp_extract("_block", TERRAFORM_BLOCK, 1)
@@ -113,6 +118,7 @@ def module_calls(files: DataFrame) -> DataFrame:
         "line_number",
         F.col("file_type").alias("type"),
         "block_pos",
+        *carry,
     )
 
 

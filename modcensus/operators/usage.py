@@ -55,32 +55,42 @@ def merged_summary(usage: DataFrame) -> DataFrame:
 
 
 def normalized_summary(usage: DataFrame) -> DataFrame:
-    """Per normalized source: calls, calls per version, and the kind of its first raw source."""
+    """Per normalized source: calls, calls per version, and the kind of its first raw source.
+
+    Total rows also tell whether any call of the source is ``versioned``.
+    """
     source = F.col("source")
     per_source = usage.groupBy("source", "version").agg(F.sum("n").alias("n"))
     rows = per_source.select(
         normalize_source(source).alias("module"), "source", source_type(source).alias("_type"), "version", "n"
     )
     first_type = F.min_by("_type", in_locale_order(source)).alias("source_type")
-    return (
-        _with_totals(rows, ["module"], first_type)
-        .withColumn("source_type", F.when(F.col("entry") == "total", F.col("source_type")))
-        .select("module", "source_type", "entry", "version", "n")
+    versioned = F.max(F.col("version").isNotNull()).alias("versioned")
+    is_total = F.col("entry") == "total"
+    return _with_totals(rows, ["module"], first_type, versioned).select(
+        "module",
+        F.when(is_total, F.col("source_type")).alias("source_type"),
+        F.when(is_total, F.col("versioned")).alias("versioned"),
+        "entry",
+        "version",
+        "n",
     )
 
 
+def summary_order(source: str, entry: str = "entry") -> list[Column]:
+    """Sources in locale order; in each its total, then its versions in locale order."""
+    return [
+        in_locale_order(F.col(source)),
+        F.col(source),
+        F.col(entry),
+        in_locale_order(F.col("version")),
+        F.col("version"),
+    ]
+
+
 def ranked_summary(usage: DataFrame) -> DataFrame:
-    """Normalized summary in report order: sources, then versions, both in locale order."""
-    return with_position(
-        normalized_summary(usage),
-        [
-            in_locale_order(F.col("module")),
-            F.col("module"),
-            F.col("entry"),
-            in_locale_order(F.col("version")),
-            F.col("version"),
-        ],
-    )
+    """Normalized summary with its place in report order as ``position``."""
+    return with_position(normalized_summary(usage), summary_order("module"))
 
 
 def percent_text(part: Column, whole: Column) -> Column:

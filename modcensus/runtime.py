@@ -41,7 +41,7 @@ def land(rows: DataFrame, label: str) -> DataFrame:
 
 
 def with_position(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Sort over the whole cluster and number the rows 1, 2, 3, ...
+    """Sort over the whole cluster and number the rows 1, 2, 3, ...; ``is_last`` marks the last.
 
     A window without partitions would pull all rows into one task. Here the range
     sort runs once and lands with (partition, place in partition); the only data
@@ -54,9 +54,15 @@ def with_position(rows: DataFrame, order: list[Column], name: str = "position")
     offsets = (
         landed.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            "_part",
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+            F.sum("_rows").over(Window.partitionBy()).alias("_total"),
+        )
     )
     # bounded: at most one row per sort partition
     placed = landed.join(F.broadcast(offsets), "_part")
     position = F.col("_offset") + F.col("_place").bitwiseAND(F.lit((1 << place_bits) - 1)) + 1
-    return placed.withColumn(name, position).drop("_part", "_place", "_offset")
+    return placed.select(
+        *rows.columns, position.alias(name), (position == F.col("_total")).alias("is_last")
+    )
