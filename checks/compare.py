@@ -36,14 +36,12 @@ def compare(spark: SparkSession, con, folder: str, name: str) -> str:
     if sorted(names) != columns:
         return f"columns {columns} against {sorted(names)}"
     order = [names.index(c) for c in columns]
-    types = {d[0]: str(d[1]) for d in result.description}
+    types = dict(con.execute(f"SELECT column_name, column_type FROM (DESCRIBE {oracles.all_oracles()[name]})").fetchall())
+    result = con.execute(oracles.all_oracles()[name])
     wanted = Counter(tuple(row[i] for i in order) for row in result.fetchall())
     print(f"{name}: {sum(got.values())} rows, {middle - started:.1f}s, sql {time.time() - middle:.1f}s", flush=True)
     same_type = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
-    odd = [
-        (c, t, types[c]) for c, t in rows.dtypes if same_type.get(t) not in (types[c], {"NUMBER": None}.get(types[c]))
-        and types[c] not in ("NUMBER", "STRING", "bool")
-    ]
+    odd = [(c, t, types[c]) for c, t in rows.dtypes if same_type.get(t) != types[c]]
     if got != wanted:
         return f"only Spark {list((got - wanted).items())[:3]}; only SQL {list((wanted - got).items())[:3]}"
     return f"types {odd}" if odd else ""

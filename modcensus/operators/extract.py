@@ -19,6 +19,7 @@ from modcensus.fixed import (
 )
 from modcensus.functions.classify import call_version, source_type, terragrunt_name
 from modcensus.functions.text import first_group, newlines, strip_space
+from modcensus.runtime import evaluated
 
 _BLOCK = {TERRAFORM: TERRAFORM_BLOCK, TERRAGRUNT: TERRAGRUNT_BLOCK}
 _KEYWORD = {TERRAFORM: "module", TERRAGRUNT: "terraform"}
@@ -56,11 +57,7 @@ def _block_starts(blocks: Column, gaps: Column) -> Column:
 
 
 def _sourced_blocks(files: DataFrame, with_lines: bool) -> DataFrame:
-    """One row per block that names a source, with ``_block``, ``_body`` and ``source``.
-
-    The explode is an outer one: for an inner one the optimizer adds a filter on the size of
-    the array and so searches every content twice. Files without blocks fall to the last filter.
-    """
+    """One row per block that names a source, with ``_block``, ``_body`` and ``source``."""
     keep = [c for c in files.columns if c != "content"]
     content = F.col("content")
     blocks = _by_type(lambda t: F.regexp_extract_all(content, F.lit(_BLOCK[t]), F.lit(0)))
@@ -70,11 +67,11 @@ def _sourced_blocks(files: DataFrame, with_lines: bool) -> DataFrame:
         found = hits.select(*keep, blocks.alias("_blocks"), gaps.alias("_gaps"))
         starts = _block_starts(F.col("_blocks"), F.col("_gaps"))
         pairs = F.arrays_zip(F.col("_blocks").alias("block"), starts.alias("line"))
-        rows = found.select(*keep, F.posexplode_outer(pairs).alias("block_pos", "_hit")).select(
+        rows = found.select(*keep, F.posexplode(pairs).alias("block_pos", "_hit")).select(
             *keep, "block_pos", F.col("_hit.block").alias("_block"), F.col("_hit.line").alias("line_number")
         )
     else:
-        rows = hits.select(*keep, F.explode_outer(blocks).alias("_block"))
+        rows = hits.select(*keep, F.explode(blocks).alias("_block"))
 
     body = _by_type(
         lambda t: F.regexp_extract("_block", TERRAFORM_BLOCK, 2)
@@ -82,8 +79,8 @@ def _sourced_blocks(files: DataFrame, with_lines: bool) -> DataFrame:
         else F.regexp_extract("_block", TERRAGRUNT_BLOCK, 1)
     )
     source = F.regexp_extract("_body", SOURCE_ATTRIBUTE, 1)
-    rows = rows.withColumn("_body", body)
-    rows = rows.withColumn("source", _by_type(lambda t: source if t == TERRAFORM else strip_space(source)))
+    rows = evaluated(rows, _body=body)
+    rows = evaluated(rows, source=_by_type(lambda t: source if t == TERRAFORM else strip_space(source)))
     return rows.where(F.col("source") != "")
 
 

@@ -13,6 +13,7 @@ from modcensus.fixed import (
     SCANNABLE_PLATFORMS,
 )
 from modcensus.functions.links import platform_name, scope_text, target_text
+from modcensus.runtime import evaluated
 
 # characters that a web address path, or a host, writes as %XX
 _ESCAPED_IN_PATH = r"""[^!-~]|["<>`{}]"""
@@ -91,14 +92,15 @@ def _url_columns(targets: DataFrame) -> DataFrame:
     host = F.when((F.col("_scheme") == "file") & (F.lower(name) == "localhost"), "").when(
         F.col("_scheme") == "file", F.lower(name)
     ).otherwise(_escaped(name, _ESCAPED_IN_HOST))
-    return rows.select(
-        *targets.columns,
-        F.coalesce(bad, F.lit(True)).alias("_bad_url"),
-        F.col("_scheme").alias("_url_alias"),
-        F.filter(resolved, lambda s: s != "").alias("_url_parts"),
-        host.alias("_url_host"),
-        F.expr("try_cast(_port AS INT)").cast("string").alias("_url_port"),
+    parsed = evaluated(
+        rows,
+        _bad_url=F.coalesce(bad, F.lit(True)),
+        _url_alias=F.col("_scheme"),
+        _url_parts=F.filter(resolved, lambda s: s != ""),
+        _url_host=host,
+        _url_port=F.expr("try_cast(_port AS INT)").cast("string"),
     )
+    return parsed.drop("_scheme", "_rest", "_authority", "_path", "_name", "_port", "_after_name")
 
 
 def _local_path(text: Column, base_dir: str) -> Column:
@@ -118,11 +120,12 @@ def scan_targets(inputs: DataFrame, base_dir: str = "/") -> DataFrame:
     text = F.col("original_input")
     rows = _url_columns(inputs)
     rest = F.substr(text, F.instr(text, ":") + 1)
-    rows = (
-        rows.withColumn("_is_url", F.coalesce(text.contains("://"), F.lit(False)))
-        .withColumn("_alias", F.lower(F.substring_index(text, ":", 1)))
-        .withColumn("_remainder", rest)
-        .withColumn("_parts", F.split("_remainder", "/"))
+    rows = evaluated(
+        rows,
+        _is_url=F.coalesce(text.contains("://"), F.lit(False)),
+        _alias=F.lower(F.substring_index(text, ":", 1)),
+        _remainder=rest,
+        _parts=F.split(rest, "/"),
     )
 
     # web address form
@@ -193,22 +196,22 @@ def scan_targets(inputs: DataFrame, base_dir: str = "/") -> DataFrame:
     error = F.when(text.isNull() | (text == ""), "Source must be a non-empty string").when(
         is_url, url_error
     ).otherwise(short_error)
-    rows = rows.withColumn("error", error)
+    rows = evaluated(rows, error=error)
 
     def if_parsed(value: Column) -> Column:
         return F.when(F.col("error").isNull(), value)
 
     is_local = ~is_url & (platform == LOCAL)
-    return rows.select(
-        *inputs.columns,
-        if_parsed(F.when(is_url, url_platform).otherwise(platform)).alias("platform"),
-        if_parsed(
+    parsed = evaluated(
+        rows,
+        platform=if_parsed(F.when(is_url, url_platform).otherwise(platform)),
+        identifier=if_parsed(
             F.when(is_url, url_parts[0]).when(is_local, _local_path(F.col("_remainder"), base_dir)).otherwise(first)
-        ).alias("identifier"),
-        if_parsed(F.when(is_url, url_repository).when(~is_local, repository)).alias("repository"),
-        if_parsed(F.when(is_url, F.concat(F.lit("https://"), host_name, port))).alias("host"),
-        "error",
+        ),
+        repository=if_parsed(F.when(is_url, url_repository).when(~is_local, repository)),
+        host=if_parsed(F.when(is_url, F.concat(F.lit("https://"), host_name, port))),
     )
+    return parsed.select(*inputs.columns, "platform", "identifier", "repository", "host", "error")
 
 
 def described_targets(targets: DataFrame) -> DataFrame:

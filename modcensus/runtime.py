@@ -29,6 +29,16 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="modcensus-")
 
 
+def evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed exactly once per row.
+
+    The optimizer copies a projected expression into every filter and projection that uses
+    it, which multiplies long ones. It does not copy expressions out of a generator.
+    """
+    one = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    return rows.select("*", F.inline(one))
+
+
 def land(rows: DataFrame, label: str) -> DataFrame:
     """Write ``rows`` once to the shared folder and read them back.
 
