@@ -117,10 +117,15 @@ def q_union_calls(spark, folder):
 # --- order and summaries -----------------------------------------------------------------
 
 
+def _landed_calls(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Calls as a table: the sampling of a range sort then does not extract them again."""
+    rows = _calls(spark, folder)
+    return land(rows.select(*columns) if columns else rows, "calls")
+
+
 def q_sorted_calls(spark, folder):
-    return call_ops.positioned_calls(_calls(spark, folder)).select(
-        "position", "source", "version", "repository", "file_path", "line_number", "block_pos"
-    )
+    columns = ["source", "version", "repository", "file_path", "line_number", "block_pos"]
+    return call_ops.positioned_calls(_landed_calls(spark, folder, *columns)).select("position", *columns)
 
 
 def q_raw_summary(spark, folder):
@@ -177,18 +182,18 @@ def q_csv_rows(spark, folder):
 
 
 def q_csv_lines(spark, folder):
-    placed = call_ops.positioned_calls(_calls(spark, folder))
+    placed = call_ops.positioned_calls(_landed_calls(spark, folder))
     return placed.select("position", documents.csv_line().alias("line"))
 
 
 def q_json_modules(spark, folder):
-    placed = call_ops.positioned_calls(_calls(spark, folder))
+    placed = call_ops.positioned_calls(_landed_calls(spark, folder))
     return placed.select("position", documents.json_object().alias("line"))
 
 
 def q_json_document(spark, folder):
     rows = corpus.iac_files(spark, folder)
-    return documents.json_lines(land(module_calls(rows), "calls"), rows, INFO)
+    return documents.json_lines(_landed_calls(spark, folder), rows, INFO)
 
 
 def q_report_lines(spark, folder):
@@ -212,11 +217,12 @@ def q_gitlab_repos(spark, folder):
 
 def q_ownership(spark, folder):
     rows = payloads.gitlab_payloads(corpus.gitlab_pages(spark, folder))
-    # owners out of the listing itself: every other one is a group, and every project path is one too
-    by_name = rows.select(
-        F.col("namespace.path").alias("owner"), (F.length("namespace.path") % 2 == 0).alias("is_group")
+    # owners out of the listing itself: namespaces and first path segments, every other length a group
+    named = rows.select(
+        F.explode(F.array("namespace.path", F.substring_index("path_with_namespace", "/", 1))).alias("owner")
     )
-    return payloads.owned_projects(rows, by_name).select("list_pos", "owner", "is_group", "path_with_namespace")
+    owners = named.distinct().withColumn("is_group", F.length("owner") % 2 == 0)
+    return payloads.owned_projects(rows, owners).select("list_pos", "owner", "is_group", "path_with_namespace")
 
 
 def q_repo_filter(spark, folder):

@@ -19,7 +19,7 @@ PERCENT = "CAST((2000 * {n} + {t}) // (2 * {t}) // 10 AS VARCHAR) || '.' || CAST
 REPOS = f"""listed AS (
   SELECT c_custkey AS c, unnest(CASE WHEN c_custkey % 13 = 0 THEN [0, 1000000] ELSE [0] END) AS again FROM customer),
 repos AS (
-  SELECT c, {rules.REPO_PROVIDER} AS provider, (c + again) * 100 AS list_pos, {rules.REPO_OWNER} AS owner,
+  SELECT c, {rules.REPO_PROVIDER} AS provider, (c + again) * 100 AS list_pos, {rules.REPO_NAMESPACE} AS owner,
     {rules.REPO_NAME} AS name, {rules.REPO_FULL_NAME} AS full_name, coalesce({rules.REPO_BRANCH}, 'main') AS default_branch,
     {rules.REPO_ARCHIVED} AS archived, {rules.REPO_VISIBILITY} <> 'public' AS private,
     {rules.REPO_URL} AS url, {rules.REPO_URL} || '.git' AS clone_url
@@ -278,8 +278,11 @@ ORACLES = {
         clone_url FROM repos WHERE provider = 'github'""",
     "q_gitlab_repos": f"""WITH {REPOS} SELECT provider, list_pos, owner, name, name AS single_name, full_name, default_branch,
         archived, private, url, clone_url FROM repos WHERE provider = 'gitlab'""",
-    "q_ownership": f"""WITH {REPOS} SELECT list_pos, owner, length(owner) % 2 = 0 AS is_group, full_name AS path_with_namespace
-        FROM repos WHERE provider = 'gitlab'""",
+    "q_ownership": f"""WITH {REPOS}, projects AS (SELECT * FROM repos WHERE provider = 'gitlab'),
+        owners AS (SELECT DISTINCT owner, length(owner) % 2 = 0 AS is_group FROM (
+          SELECT owner FROM projects UNION ALL SELECT string_split(full_name, '/')[1] FROM projects))
+        SELECT list_pos, o.owner, is_group, full_name AS path_with_namespace FROM projects p JOIN owners o
+          ON p.owner = o.owner OR (is_group AND starts_with(full_name, o.owner || '/'))""",
     "q_repo_filter": f"""WITH {REPOS} SELECT full_name, list_pos, provider, archived, private FROM kept
         WHERE {NAME_PATTERN} AND private""",
     "q_repo_limit": f"""WITH {REPOS}, limited AS (SELECT * FROM kept WHERE {NAME_PATTERN}
@@ -313,7 +316,9 @@ ORACLES = {
           SELECT replace(platform, '-self-hosted', '') AS provider, identifier, nullif(repository, '') AS repository
           FROM parsed WHERE platform IS NOT NULL)
         SELECT DISTINCT k.provider, k.full_name, k.list_pos FROM kept k JOIN wanted w ON k.provider = w.provider
-          AND k.owner = w.identifier AND coalesce(w.repository, k.name) = k.name""",
+          AND CASE WHEN w.repository IS NULL
+            THEN k.owner = w.identifier OR (k.provider = 'gitlab' AND starts_with(k.full_name, w.identifier || '/'))
+            ELSE k.full_name = w.identifier || '/' || w.repository END""",
     "q_tree_files": f"WITH {CANDIDATES} SELECT file_type, repository, path, url, sha, tree_pos FROM candidates",
     "q_type_filter": f"WITH {TREE} SELECT full_name, path FROM tree WHERE {FILE_TYPE} = 'terragrunt'",
     "q_path_patterns": f"""WITH {TREE} SELECT full_name, path FROM tree

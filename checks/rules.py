@@ -96,6 +96,8 @@ DOCUMENT_BLOCKS = "(2 + doc_id % 2)"
 
 # repositories: one per customer number
 REPO_OWNER = "('org' || (c % 25))"
+# namespace of a repository: some GitLab projects lie in a subgroup of their owner
+REPO_NAMESPACE = f"(CASE WHEN c % 18 = 1 THEN 'team' || (c % 3) ELSE {REPO_OWNER} END)"
 REPO_NAME = """(CASE c % 4
     WHEN 0 THEN 'infra-' || c
     WHEN 1 THEN 'app-' || c
@@ -125,7 +127,7 @@ GITLAB_PAGE = f"""('[{{"id":' || c || ',"name":"Display ' || c || '","path":"' |
     || '","default_branch":' || coalesce('"' || {REPO_BRANCH} || '"', 'null')
     || ',"archived":' || (CASE WHEN {REPO_ARCHIVED} THEN 'true' ELSE 'false' END)
     || ',"visibility":"' || {REPO_VISIBILITY} || '","web_url":"' || {REPO_URL} || '","http_url_to_repo":"' || {REPO_URL}
-    || '.git","namespace":{{"name":"N","path":"' || {REPO_OWNER} || '"}}}}]')"""
+    || '.git","namespace":{{"name":"N","path":"' || {REPO_NAMESPACE} || '"}}}}]')"""
 
 # further tree entries beside a file; ``tree_pos`` is unique per file and leaves room for them
 EXTRA_FOLDER = "('extra' || tree_pos)"

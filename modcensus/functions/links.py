@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from modcensus.fixed import GITHUB_PLATFORMS, GITLAB_PLATFORMS, LOCAL, PLATFORM_NAMES
-from modcensus.functions.text import none_if_empty
+from modcensus.functions.text import looked_up, none_if_empty
 
 
 def blob_url(
@@ -26,10 +26,7 @@ def file_link(file_url: Column, line_number: Column) -> Column:
 
 def platform_name(platform: Column) -> Column:
     """Display name; an unlisted platform keeps its own name."""
-    name = platform
-    for key, text in PLATFORM_NAMES.items():
-        name = F.when(platform == key, text).otherwise(name)
-    return name
+    return F.coalesce(looked_up(platform, PLATFORM_NAMES), platform)
 
 
 def target_text(identifier: Column, repository: Column) -> Column:

@@ -28,3 +28,8 @@ def newlines(text: Column) -> Column:
 def in_locale_order(text: Column) -> Column:
     """Sort key in Unicode root-locale order. Use it only as a sort key."""
     return F.collate(text, "UNICODE")
+
+
+def looked_up(key: Column, table: dict) -> Column:
+    """Value of ``key`` in a small fixed table, NULL when it is not there."""
+    return F.create_map(*[F.lit(item) for pair in table.items() for item in pair])[key]

@@ -10,13 +10,7 @@ from modcensus.fixed import (
     STATUS_ERRORS,
     USER_MESSAGES,
 )
-
-
-def _lookup(key: Column, values: dict, otherwise: Column) -> Column:
-    chosen = otherwise
-    for value, text in values.items():
-        chosen = F.when(key == value, text).otherwise(chosen)
-    return chosen
+from modcensus.functions.text import looked_up
 
 
 def classified_errors(log: DataFrame) -> DataFrame:
@@ -25,7 +19,7 @@ def classified_errors(log: DataFrame) -> DataFrame:
     A request failed when its status is 400 or more, or when it got no response at all.
     """
     status, code, platform = F.col("status"), F.col("code"), F.col("platform")
-    by_status = _lookup(status, STATUS_ERRORS, F.lit("platform_error"))
+    by_status = F.coalesce(looked_up(status, STATUS_ERRORS), F.lit("platform_error"))
     error_type = (
         F.when(status.isNotNull(), by_status).when(code.isNotNull(), "network_error").otherwise("unknown_error")
     )
@@ -49,7 +43,7 @@ def classified_errors(log: DataFrame) -> DataFrame:
         .withColumn("rate_limited", flag(429))
         .withColumn("auth_failed", flag(401, 403))
         .withColumn("error_message", message)
-        .withColumn("user_message", _lookup(F.col("error_type"), USER_MESSAGES, F.col("message")))
+        .withColumn("user_message", F.coalesce(looked_up(F.col("error_type"), USER_MESSAGES), "message"))
     )
 
 

@@ -18,6 +18,7 @@ from modcensus.fixed import (
 from modcensus.functions.classify import file_type
 from modcensus.functions.links import blob_url
 from modcensus.operators.limits import first_per_group
+from modcensus.runtime import evaluated
 
 NO_CONTENT = "No content was landed for this file"
 
@@ -131,7 +132,7 @@ def attach_contents(candidates: DataFrame, contents: DataFrame) -> DataFrame:
         F.lit(True).alias("_landed"),
     )
     text = decoded_content(F.col("provider"), F.col("encoding"), F.col("_raw"))
-    rows = candidates.join(landed, ["repository", "path"], "left").withColumn("content", text)
+    rows = evaluated(candidates.join(landed, ["repository", "path"], "left"), content=text)
     error = F.when(F.col("_landed").isNull(), NO_CONTENT).when(
         F.col("content").isNull(),
         F.when(F.col("provider").isin(GITHUB_PLATFORMS), BAD_GITHUB_CONTENT).otherwise(BAD_GITLAB_CONTENT),

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modcensus.fixed import OWNER_REQUIRED, REPOSITORY_REQUIRED
+from modcensus.fixed import GITLAB, OWNER_REQUIRED, REPOSITORY_REQUIRED
 from modcensus.functions.text import strip_space
 from modcensus.operators.limits import first_per_group
 
@@ -49,6 +49,27 @@ def limit_repositories(repositories: DataFrame, n: int | None, per: list[str] |
     return first_per_group(repositories, per, [F.col("list_pos")], n, spread="full_name")
 
 
+def owned_by(repositories: DataFrame, owners: DataFrame) -> DataFrame:
+    """Repositories with each (``provider``, ``owner``, ``is_group``) row that owns them, as ``_owner``.
+
+    An owner has what carries its name; a GitLab group also has all that lies below its path.
+    Each repository lists the owners it could have, so this is an equi-join and not a prefix
+    comparison of every repository with every owner.
+    """
+    parts = F.split("full_name", "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+    )
+    is_nested = (F.col("provider") == GITLAB) & (F.size(parts) > 1)
+    candidates = F.when(is_nested, F.array_distinct(F.concat(F.array("owner"), above))).otherwise(F.array("owner"))
+    wanted = owners.select("provider", F.col("owner").alias("_owner"), "is_group")
+    return (
+        repositories.withColumn("_owner", F.explode(candidates))
+        .join(wanted, ["provider", "_owner"])
+        .where((F.col("owner") == F.col("_owner")) | F.col("is_group"))
+    )
+
+
 def list_repositories(
     repositories: DataFrame,
     archived: bool = False,

@@ -13,6 +13,7 @@ from modcensus.fixed import (
     SCANNABLE_PLATFORMS,
 )
 from modcensus.functions.links import platform_name, scope_text, target_text
+from modcensus.functions.text import looked_up
 from modcensus.runtime import evaluated
 
 # characters that a web address path, or a host, writes as %XX
@@ -22,10 +23,7 @@ _BAD_IN_HOST = r"[\x00\t\n\r #/:<>?@\[\\\]^|]"
 
 
 def _platform(alias: Column) -> Column:
-    platform = F.lit(None).cast("string")
-    for name, value in PLATFORM_ALIASES.items():
-        platform = F.when(alias == name, value).otherwise(platform)
-    return platform
+    return looked_up(alias, PLATFORM_ALIASES)
 
 
 def _unsupported(alias: Column) -> Column:
@@ -99,6 +97,7 @@ def _url_columns(targets: DataFrame) -> DataFrame:
         _url_parts=F.filter(resolved, lambda s: s != ""),
         _url_host=host,
         _url_port=F.expr("try_cast(_port AS INT)").cast("string"),
+        _url_platform=_platform(F.col("_scheme")),
     )
     return parsed.drop("_scheme", "_rest", "_authority", "_path", "_name", "_port", "_after_name")
 
@@ -126,10 +125,11 @@ def scan_targets(inputs: DataFrame, base_dir: str = "/") -> DataFrame:
         _alias=F.lower(F.substring_index(text, ":", 1)),
         _remainder=rest,
         _parts=F.split(rest, "/"),
+        _platform=_platform(F.lower(F.substring_index(text, ":", 1))),
     )
 
     # web address form
-    base = _platform(F.col("_url_alias"))
+    base = F.col("_url_platform")
     host_name = F.col("_url_host")
     url_platform = (
         F.when((base == GITLAB) & (host_name != "gitlab.com"), GITLAB_SELF_HOSTED)
@@ -151,7 +151,7 @@ def scan_targets(inputs: DataFrame, base_dir: str = "/") -> DataFrame:
     port = F.coalesce(F.concat(F.lit(":"), F.col("_url_port")), F.lit(""))
 
     # short form
-    platform = _platform(F.col("_alias"))
+    platform = F.col("_platform")
     first = F.col("_parts")[0]
     repository = F.when(
         F.size("_parts") > 1, F.array_join(F.slice("_parts", F.lit(2), F.size("_parts")), "/")

@@ -8,30 +8,33 @@ from modcensus.functions.classify import file_type
 from modcensus.functions.text import none_if_empty
 from modcensus.operators.extract import module_calls
 from modcensus.operators.files import attach_contents, candidate_files, decoded_content
-from modcensus.operators.repositories import first_listed, list_repositories, skip_archived
+from modcensus.operators.repositories import first_listed, list_repositories, owned_by, skip_archived
+from modcensus.runtime import evaluated
 
 
 def selected_repositories(targets: DataFrame, repositories: DataFrame, archived: bool = False, **listing) -> DataFrame:
     """Repositories that parsed targets ask for.
 
     A target with a repository takes exactly that one; name pattern, visibility and limit
-    (see ``list_repositories``) only apply to targets that name a whole owner.
+    (see ``list_repositories``) only apply to targets that name a whole owner. GitLab owners
+    count as groups unless the targets say otherwise in ``is_group``.
     """
     wanted = targets.where(F.col("error").isNull()).select(
         F.regexp_replace("platform", "-self-hosted$", "").alias("provider"),
         F.col("identifier").alias("owner"),
         none_if_empty(F.col("repository")).alias("_repository"),
+        (F.col("is_group") if "is_group" in targets.columns else F.lit(True)).alias("is_group"),
     )
-    owners = wanted.where(F.col("_repository").isNull()).select("provider", "owner")
+    owners = wanted.where(F.col("_repository").isNull()).select("provider", "owner", "is_group").distinct()
     singles = wanted.where(F.col("_repository").isNotNull()).select(
         "provider", F.concat_ws("/", "owner", "_repository").alias("full_name")
     )
-    whole = list_repositories(
-        repositories.join(owners, ["provider", "owner"], "left_semi"), archived=archived, **listing
+    owned = owned_by(repositories, owners).select(*repositories.columns)
+    whole = list_repositories(owned, archived=archived, **listing)
+    exact = skip_archived(
+        first_listed(repositories.join(singles, ["provider", "full_name"], "left_semi")), not archived
     )
-    exact = skip_archived(first_listed(repositories.join(singles, ["provider", "full_name"], "left_semi")), not archived)
-    columns = repositories.columns
-    return first_listed(whole.select(*columns).unionByName(exact.select(*columns)))
+    return first_listed(whole.select(*repositories.columns).unionByName(exact.select(*repositories.columns)))
 
 
 def scan_files(repositories: DataFrame, tree: DataFrame, contents: DataFrame, **files) -> DataFrame:
@@ -46,11 +49,14 @@ def scan_module_calls(repositories: DataFrame, tree: DataFrame, contents: DataFr
     read and then dropped, so the joins move small call rows and never a file's text.
     """
     encoding = F.col("encoding")
-    landed = contents.where(file_type(F.col("path")).isNotNull()).select(
+    landed = evaluated(
+        contents.where(file_type(F.col("path")).isNotNull()).withColumnRenamed("content", "_raw"),
+        content=decoded_content(F.lit(GITLAB), encoding, F.col("_raw")),
+    ).select(
         file_type(F.col("path")).alias("file_type"),
         F.col("full_name").alias("repository"),
         "path",
-        decoded_content(F.lit(GITLAB), encoding, F.col("content")).alias("content"),
+        "content",
         F.lit(None).cast("string").alias("url"),
         encoding.eqNullSafe("base64").alias("_is_base64"),
     )

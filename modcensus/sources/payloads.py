@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from modcensus.fixed import GITHUB, GITLAB, PAGE_SIZE
 from modcensus.functions.text import none_if_empty
+from modcensus.operators.repositories import owned_by
 from modcensus.schemas import GITHUB_REPOSITORY, GITLAB_PROJECT
 
 
@@ -74,22 +75,12 @@ def gitlab_repositories(payloads: DataFrame, listing: bool = True) -> DataFrame:
 
 
 def owned_projects(payloads: DataFrame, owners: DataFrame) -> DataFrame:
-    """GitLab projects with each of the (``owner``, ``is_group``) rows that own them.
-
-    A user owns what lies in the namespace of that name, a group also what lies anywhere
-    below its path. Each project lists the owners it could have, so this is an equi-join
-    and not a prefix comparison of every project with every owner.
-    """
-    parts = F.split("path_with_namespace", "/")
-    prefixes = F.when(
-        F.size(parts) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    candidates = F.array_distinct(F.concat(F.array("namespace.path"), prefixes))
-    return (
-        payloads.withColumn("owner", F.explode(candidates))
-        .join(owners.select("owner", "is_group").distinct(), "owner")
-        .where((F.col("namespace.path") == F.col("owner")) | F.col("is_group"))
+    """GitLab projects with each of the (``owner``, ``is_group``) rows that own them."""
+    projects = payloads.select(
+        "*",
+        F.lit(GITLAB).alias("provider"),
+        F.col("namespace.path").alias("owner"),
+        F.col("path_with_namespace").alias("full_name"),
     )
+    owned = owned_by(projects, owners.withColumn("provider", F.lit(GITLAB)).distinct())
+    return owned.select(*payloads.columns, F.col("_owner").alias("owner"), "is_group")
