@@ -23,6 +23,7 @@ from modcensus.runtime import evaluated
 
 _BLOCK = {TERRAFORM: TERRAFORM_BLOCK, TERRAGRUNT: TERRAGRUNT_BLOCK}
 _KEYWORD = {TERRAFORM: "module", TERRAGRUNT: "terraform"}
+CHUNK = 256
 
 
 def _by_type(value) -> Column:
@@ -37,25 +38,51 @@ def _may_have_calls() -> Column:
     return content.contains("source") & reduce(Column.__or__, per_type)
 
 
-def _block_starts(blocks: Column, gaps: Column) -> Column:
-    """Line number of every block start: one running count over gaps and blocks."""
-    steps = F.zip_with(
-        blocks,
-        F.slice(gaps, F.lit(1), F.size(blocks)),
-        lambda block, gap: F.struct(newlines(gap).alias("before"), newlines(block).alias("inside")),
-    )
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("starts"))
+def _running_starts(steps: Column) -> Column:
+    """(starts, line): where each step begins when counting from line 0, and the line after all of them."""
+    nothing = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("line"))
     return F.aggregate(
         steps,
-        start,
+        nothing,
         lambda seen, step: F.struct(
-            (seen["line"] + step["before"] + step["inside"]).alias("line"),
             F.array_append(seen["starts"], seen["line"] + step["before"]).alias("starts"),
+            (seen["line"] + step["before"] + step["inside"]).alias("line"),
         ),
-        lambda seen: seen["starts"],
     )
 
 
+def _steps(blocks: Column, gaps: Column) -> Column:
+    """Line feeds before and inside of every block."""
+    return F.zip_with(
+        blocks,
+        F.slice(gaps, F.lit(1), F.size(blocks)),
+        lambda block, gap: F.struct(newlines(gap).alias("before"), newlines(block).alias("inside")),
+    )
+
+
+def _chunks(steps: Column) -> Column:
+    """Running line counts within chunks of ``CHUNK`` blocks.
+
+    Appending to an array copies it, so one run over all blocks of a huge file would take
+    quadratic time.
+    """
+    firsts = F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps), F.lit(CHUNK)))
+    return F.transform(firsts, lambda first: _running_starts(F.slice(steps, first, F.lit(CHUNK))))
+
+
+def _block_starts(chunks: Column) -> Column:
+    """Line number of every block start: each chunk moves by the lines of those before it."""
+    whole = F.transform(
+        chunks, lambda chunk: F.struct(F.lit(0).alias("before"), chunk["line"].alias("inside"))
+    )
+    moved = F.zip_with(
+        chunks,
+        _running_starts(whole)["starts"],
+        lambda chunk, offset: F.transform(chunk["starts"], lambda line: line + offset + 1),
+    )
+    return F.flatten(moved)
+
+
 def _sourced_blocks(files: DataFrame, with_lines: bool) -> DataFrame:
     """One row per block that names a source, with ``_block``, ``_body`` and ``source``."""
     keep = [c for c in files.columns if c != "content"]
@@ -64,8 +91,11 @@ def _sourced_blocks(files: DataFrame, with_lines: bool) -> DataFrame:
     hits = files.where(_may_have_calls())
     if with_lines:
         gaps = _by_type(lambda t: F.split(content, _BLOCK[t], -1))
+        # one projection each: an expression used twice stays in its own and is computed once
         found = hits.select(*keep, blocks.alias("_blocks"), gaps.alias("_gaps"))
-        starts = _block_starts(F.col("_blocks"), F.col("_gaps"))
+        found = found.select(*keep, "_blocks", _steps(F.col("_blocks"), F.col("_gaps")).alias("_steps"))
+        found = found.select(*keep, "_blocks", _chunks(F.col("_steps")).alias("_chunks"))
+        starts = _block_starts(F.col("_chunks"))
         pairs = F.arrays_zip(F.col("_blocks").alias("block"), starts.alias("line"))
         rows = found.select(*keep, F.posexplode(pairs).alias("block_pos", "_hit")).select(
             *keep, "block_pos", F.col("_hit.block").alias("_block"), F.col("_hit.line").alias("line_number")

@@ -60,14 +60,13 @@ def scan_module_calls(repositories: DataFrame, tree: DataFrame, contents: DataFr
         F.lit(None).cast("string").alias("url"),
         encoding.eqNullSafe("base64").alias("_is_base64"),
     )
-    calls = module_calls(landed, carry=["_is_base64"]).drop("file_url")
+    calls = module_calls(landed, carry=["_is_base64"])
+    columns = [c for c in calls.columns if c != "_is_base64"]
     wanted = candidate_files(tree, repositories, **files).select(
         "repository", F.col("path").alias("file_path"), F.col("url").alias("file_url"), "provider"
     )
     # the GitLab reading also takes plain text; from GitHub that is a failed file
     readable = F.col("_is_base64") | ~F.col("provider").isin(GITHUB_PLATFORMS)
     return (
-        calls.join(wanted, ["repository", "file_path"])
-        .where(readable)
-        .select(*module_calls(landed).columns)
+        calls.drop("file_url").join(wanted, ["repository", "file_path"]).where(readable).select(*columns)
     )
