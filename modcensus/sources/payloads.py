@@ -14,14 +14,17 @@ def read_pages(spark: SparkSession, path: str, page_number: Column | None = None
 
     The page number is by default the last number in the file name.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     number = F.regexp_extract("_metadata.file_name", r"(\d+)\D*\z", 1).cast("bigint")
     return files.select((number if page_number is None else page_number).alias("page"), F.col("value").alias("body"))
 
 
 def _listed(pages: DataFrame, schema: str) -> DataFrame:
-    """One row per payload with its place in the listing. Pages hold at most ``PAGE_SIZE``."""
-    items = F.from_json("body", f"ARRAY<STRUCT<{schema}>>")
+    """One row per payload with its place in the listing. Pages hold at most ``PAGE_SIZE``.
+
+    A page that cannot be read fails the listing; it must not shrink unnoticed.
+    """
+    items = F.from_json("body", f"ARRAY<STRUCT<{schema}>>", {"mode": "FAILFAST"})
     return (
         pages.select("page", F.posexplode(items).alias("_at", "_item"))
         .select((F.col("page") * PAGE_SIZE + F.col("_at")).cast("bigint").alias("list_pos"), "_item.*")
