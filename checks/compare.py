@@ -8,7 +8,7 @@ import time
 from collections import Counter
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from checks import catalog, oracles
 
@@ -24,9 +24,8 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def compare(spark: SparkSession, con, folder: str, name: str) -> str:
-    """Empty when equal, else what differs."""
-    rows = catalog.all_queries()[name](spark, folder)
+def compare(rows: DataFrame, con, name: str) -> str:
+    """Empty when the rows of query ``name`` equal those of its SQL, else what differs."""
     columns = sorted(rows.columns)
     started = time.time()
     got = Counter(tuple(row) for row in rows.select(*columns).collect())
@@ -62,7 +61,7 @@ def main(folder: str, names: list[str]) -> int:
     failures = 0
     for name in names or list(catalog.all_queries()):
         try:
-            problem = compare(spark, con, folder, name)
+            problem = compare(catalog.all_queries()[name](spark, folder), con, name)
         except Exception as error:  # noqa: BLE001 - report and go on
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         if problem:

@@ -14,7 +14,17 @@ from checks.oracle_parts import (
 
 IN_ORDER = """source COLLATE en_us, version COLLATE en_us NULLS LAST, repository COLLATE en_us,
     file_path COLLATE en_us, line_number, block_pos"""
-PERCENT = "CAST((2000 * {n} + {t}) // (2 * {t}) // 10 AS VARCHAR) || '.' || CAST((2000 * {n} + {t}) // (2 * {t}) % 10 AS VARCHAR)"
+
+def percent_sql(n: str, total: str) -> str:
+    """One decimal of the double n / total * 100, in whole numbers.
+
+    Times 2 ** 53 a double of at least 1 is a whole number, so its exact value is rounded half up.
+    """
+    share = f"(CAST({n} AS DOUBLE) / {total} * 100)"
+    scaled = f"CAST({share} * 9007199254740992 AS HUGEINT)"
+    tenths = f"((20 * {scaled} + 9007199254740992) // (2 * 9007199254740992))"
+    return f"CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR)"
+
 
 REPOS = f"""listed AS (
   SELECT c_custkey AS c, unnest(CASE WHEN c_custkey % 13 = 0 THEN [0, 1000000] ELSE [0] END) AS again FROM customer),
@@ -93,7 +103,7 @@ kinds AS (
   SELECT source_type, count(*) AS n, min(place) AS place, sum(count(*)) OVER () AS total
   FROM first_seen GROUP BY source_type),
 source_kinds AS (
-  SELECT row_number() OVER (ORDER BY n DESC, place) AS rank, source_type, n, {PERCENT.format(n="n", t="total::BIGINT")} AS percent
+  SELECT row_number() OVER (ORDER BY n DESC, place) AS rank, source_type, n, {percent_sql("n", "total::BIGINT")} AS percent
   FROM kinds),
 file_kinds AS (
   SELECT k.rank, k.type, count(calls.type) AS n
@@ -202,7 +212,7 @@ ORACLES = {
         version COLLATE en_us NULLS FIRST, version) AS position, module, entry, version, n FROM normalized""",
     "q_source_type_share": f"WITH {SHARES} SELECT CAST(rank AS INTEGER) AS rank, source_type, n, percent FROM source_kinds",
     "q_file_type_share": f"""WITH {SHARES} SELECT rank, type, n,
-        {PERCENT.format(n="n", t="(SELECT count(*) FROM calls)")} AS percent FROM file_kinds""",
+        {percent_sql("n", "(SELECT count(*) FROM calls)")} AS percent FROM file_kinds""",
     "q_metadata": f"WITH {CALLS} SELECT {COUNTERS}",
     "q_unique_sources": f"""WITH {CALLS} SELECT type, count(DISTINCT source) AS sources,
         count(DISTINCT CASE WHEN version IS NOT NULL THEN source END) AS versioned_sources FROM calls GROUP BY type""",
@@ -271,7 +281,7 @@ ORACLES = {
           UNION ALL SELECT 2, NULL, rank, NULL, '  ' || source_type || ': ' || n || ' modules (' || percent || '%)' FROM source_kinds
           UNION ALL SELECT 3, NULL, 0, NULL, chr(10) || 'Modules by File Type:'
           UNION ALL SELECT 3, NULL, rank, NULL, '  ' || type || ': ' || n || ' modules ('
-            || {PERCENT.format(n="n", t="(SELECT count(*) FROM calls)")} || '%)' FROM file_kinds)
+            || {percent_sql("n", "(SELECT count(*) FROM calls)")} || '%)' FROM file_kinds)
         SELECT section, source, row_number() OVER (ORDER BY section, source COLLATE en_us, source, rank,
           version COLLATE en_us, version) AS line_no, text FROM lines""",
     "q_github_repos": f"""WITH {REPOS} SELECT provider, list_pos, owner, name, full_name, default_branch, archived, private, url,

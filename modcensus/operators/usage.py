@@ -94,9 +94,23 @@ def ranked_summary(usage: DataFrame) -> DataFrame:
 
 
 def percent_text(part: Column, whole: Column) -> Column:
-    """Share in percent with one decimal, rounded half up in whole numbers."""
-    tenths = F.floor((part * 2000 + whole) / (whole * 2)).cast("bigint")
-    return F.format_string("%d.%d", F.floor(tenths / 10), F.pmod(tenths, F.lit(10)))
+    """Share in percent with one decimal, computed and rounded as floating point numbers are.
+
+    The share is a double; the decimal nearest to its exact binary value is shown, the upper one
+    when two are equally near. So 3 of 2000 gives 0.1: the double next to 0.15 lies below it.
+    """
+    share = part.cast("double") / whole * 100
+    tenths = F.floor(share * 10)
+    middle = (tenths * 2 + 1) / F.lit(20.0)
+    # the double next to the middle may lie below it: compare twenty times its value, the rounding
+    # error of that sum included, with the whole number it stands for
+    large, small = middle * 16, middle * 4
+    total = large + small
+    error = (large - (total - (total - large))) + (small - (total - large))
+    middle_is_low = (total - (tenths * 2 + 1)) + error < 0
+    up = (share > middle) | ((share == middle) & ~middle_is_low)
+    shown = tenths + F.when(up, 1).otherwise(0)
+    return F.format_string("%d.%d", F.floor(shown / 10), F.pmod(shown, F.lit(10)))
 
 
 def source_type_share(usage: DataFrame) -> DataFrame:

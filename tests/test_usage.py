@@ -1,5 +1,7 @@
 """Summaries, distributions and order over small hand-made call tables."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import functions as F
 
 from modcensus.operators import calls as call_ops
@@ -117,11 +119,14 @@ def test_source_type_share(spark):
 
 
 def test_percent_text(spark):
-    pairs = [(1, 3, "33.3"), (2, 3, "66.7"), (1, 1, "100.0"), (0, 7, "0.0"), (1, 16, "6.3"), (1, 2000, "0.1"), (1, 2001, "0.0")]
-    frame = spark.createDataFrame(pairs, "part BIGINT, whole BIGINT, text STRING")
-    assert [r.p for r in frame.select(usage.percent_text(F.col("part"), F.col("whole")).alias("p")).collect()] == [
-        text for _, _, text in pairs
+    pairs = [(n, whole) for whole in (1, 3, 7, 16, 200, 400, 1000, 2000, 4000, 8000) for n in range(whole + 1)]
+    frame = spark.createDataFrame(pairs, "part BIGINT, whole BIGINT")
+    got = [r.p for r in frame.select(usage.percent_text(F.col("part"), F.col("whole")).alias("p")).collect()]
+    exact = [
+        str(Decimal(n / whole * 100).quantize(Decimal("0.1"), ROUND_HALF_UP)) for n, whole in pairs
     ]
+    assert got == exact
+    assert dict(zip(pairs, got))[(3, 2000)] == "0.1" and dict(zip(pairs, got))[(1, 16)] == "6.3"
 
 
 def test_file_type_share_lists_both(spark):
