@@ -103,11 +103,11 @@ def _sourced_blocks(files: DataFrame, with_lines: bool) -> DataFrame:
     else:
         rows = hits.select(*keep, F.explode(blocks).alias("_block"))
 
-    body = _by_type(
-        lambda t: F.regexp_extract("_block", TERRAFORM_BLOCK, 2)
-        if t == TERRAFORM
-        else F.regexp_extract("_block", TERRAGRUNT_BLOCK, 1)
-    )
+    # a Terraform header ends its only quoted text with the second quote; neither the rest of a
+    # header nor the closing brace can add to a match of the attribute patterns
+    block = F.col("_block")
+    after_name = F.substr(block, F.length(F.substring_index(block, '"', 2)) + 2)
+    body = _by_type(lambda t: after_name if t == TERRAFORM else block)
     source = F.regexp_extract("_body", SOURCE_ATTRIBUTE, 1)
     rows = evaluated(rows, _body=body)
     rows = evaluated(rows, source=_by_type(lambda t: source if t == TERRAFORM else strip_space(source)))
@@ -130,7 +130,7 @@ def module_calls(files: DataFrame, carry: list[str] | None = None) -> DataFrame:
     rows = _sourced_blocks(files.select(*columns), with_lines=True)
     source = F.col("source")
     name = _by_type(
-        lambda t: F.regexp_extract("_block", TERRAFORM_BLOCK, 1)
+        lambda t: F.substring_index(F.substring_index("_block", '"', 2), '"', -1)
         if t == TERRAFORM
         else terragrunt_name(F.col("path"), source)
     )
