@@ -42,7 +42,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = catalog.all_queries()
     chosen = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if name] or list(queries)
-    corpus_seconds = seconds(lambda: corpus.files(spark, folder))
+    corpus_seconds = seconds(lambda: (corpus.files(spark, folder), corpus.file_contents(spark, folder)))
     times = {}
     for name in chosen:
         times[name] = min(seconds(lambda: run(queries[name], spark, folder)) for _ in range(runs))

@@ -133,7 +133,7 @@ def q_raw_summary(spark, folder):
 
 
 def q_merged_summary(spark, folder):
-    return usage.merged_summary(_usage(spark, folder))
+    return usage.merged_summary(land(_usage(spark, folder), "usage"))
 
 
 def q_normalized_summary(spark, folder):

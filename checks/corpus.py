@@ -142,10 +142,10 @@ def tree_entries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def file_contents(spark: SparkSession, folder: str) -> DataFrame:
-    """Base64 bodies broken into lines, as the providers send them."""
+@cache
+def _landed_contents(application: str, spark: SparkSession, folder: str) -> DataFrame:
     encoded = "base64(content)"
-    return (
+    rows = (
         files(spark, folder)
         .where(rules.IS_LANDED)
         .selectExpr(
@@ -156,6 +156,12 @@ def file_contents(spark: SparkSession, folder: str) -> DataFrame:
             f"ELSE substr({encoded}, 1, 60) || chr(10) || substr({encoded}, 61) END AS content",
         )
     )
+    return land(rows, "contents")
+
+
+def file_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """Landed responses: base64 bodies broken into lines, as the providers send them."""
+    return _landed_contents(spark.sparkContext.applicationId, spark, folder)
 
 
 def scan_inputs(spark: SparkSession, folder: str) -> DataFrame:

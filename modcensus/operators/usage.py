@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from modcensus.fixed import TERRAFORM, TERRAGRUNT
 from modcensus.functions.classify import normalize_source, source_type
 from modcensus.functions.text import in_locale_order
-from modcensus.runtime import land, with_position
+from modcensus.runtime import with_position
 
 
 def usage_counts(calls: DataFrame) -> DataFrame:
@@ -45,9 +45,10 @@ def raw_summary(usage: DataFrame) -> DataFrame:
 def merged_summary(usage: DataFrame) -> DataFrame:
     """Raw summaries of both types, where a Terragrunt entry replaces a Terraform one.
 
-    Counts of a source used in both types are not added up.
+    Counts of a source used in both types are not added up. ``usage`` is read several times:
+    pass a landed table.
     """
-    summary = land(usage, "usage").transform(raw_summary)
+    summary = raw_summary(usage)
     terragrunt = summary.where(F.col("type") == TERRAGRUNT)
     replaced = terragrunt.where(F.col("entry") == "total").select("source")
     kept = summary.where(F.col("type") == TERRAFORM).join(replaced, "source", "left_anti")
