@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from modcensus.fixed import TERRAFORM, TERRAGRUNT
 from modcensus.functions.text import in_locale_order
+from modcensus.operators.joins import join_single
 from modcensus.runtime import with_position
 
 
@@ -34,13 +35,12 @@ def listed_file_type(calls: DataFrame) -> DataFrame:
     """Adds ``file_type``: terraform if any Terraform call has this source and path, in any repository.
 
     Scanned calls already carry this value in ``type``; this is for call tables from elsewhere.
-    The right side holds one row per key, so a hot key only loads the left side, whose skewed
-    partitions adaptive execution splits.
+    ``calls`` is read twice: pass a landed table.
     """
     keys = ["source", "file_path"]
     seen = calls.where(F.col("type") == TERRAFORM).select(*keys).distinct().withColumn("_seen", F.lit(True))
     return (
-        calls.join(seen, keys, "left")
+        join_single(calls, seen, keys, "left", spread=["repository", "line_number", "block_pos"])
         .withColumn("file_type", F.when(F.col("_seen"), TERRAFORM).otherwise(TERRAGRUNT))
         .drop("_seen")
     )

@@ -17,6 +17,7 @@ from modcensus.fixed import (
 )
 from modcensus.functions.classify import file_type
 from modcensus.functions.links import blob_url
+from modcensus.operators.joins import join_single
 from modcensus.operators.limits import first_per_group
 from modcensus.runtime import evaluated
 
@@ -69,20 +70,22 @@ def candidate_files(
 ) -> DataFrame:
     """Files of the given repositories whose content a scan needs.
 
-    All tests on the entry come before the join. The join has one row per repository on
-    one side; Spark broadcasts it when it measures small, and else splits a partition
-    that one repository fills.
+    All tests on the entry come before the join, which spreads a repository with very many
+    entries. ``repositories`` has one row per full name, as listings have.
     """
     entries = tree.where((F.col("entry_type") == "blob") & (F.col("path") != ""))
     types = FILE_TYPES if file_types is None else file_types
     entries = match_paths(keep_file_types(entries, types), include, exclude)
     provider = F.col("provider")
     rows = (
-        entries.join(
+        join_single(
+            entries,
             repositories.select(
                 "full_name", "provider", "list_pos", "default_branch", F.col("url").alias("_repository_url")
             ),
-            "full_name",
+            ["full_name"],
+            "inner",
+            spread=["path"],
         )
         .where(~provider.isin(GITHUB_PLATFORMS) | (F.coalesce("sha", F.lit("")) != ""))
         .select(

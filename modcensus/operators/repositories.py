@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from modcensus.fixed import GITLAB, OWNER_REQUIRED, REPOSITORY_REQUIRED
 from modcensus.functions.text import strip_space
+from modcensus.operators.joins import join_single
 from modcensus.operators.limits import first_per_group
 
 
@@ -143,9 +144,9 @@ def repository_exists(wanted: DataFrame, repositories: DataFrame, archived: bool
         .when(F.lit(not archived) & F.col("_archived"), F.lit(None).cast("boolean"))
         .otherwise(True)
     )
+    named = wanted.withColumn("full_name", F.concat_ws("/", "owner", "name"))
     return (
-        wanted.withColumn("full_name", F.concat_ws("/", "owner", "name"))
-        .join(listed, "full_name", "left")
+        join_single(named, listed, ["full_name"], "left", spread=wanted.columns)
         .withColumn("found", found)
         .withColumn("error", error)
         .drop("full_name", "_archived")

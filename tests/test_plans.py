@@ -7,6 +7,8 @@ import pytest
 from checks import corpus
 from modcensus.operators import calls as call_ops
 from modcensus.operators.extract import call_sources, module_calls
+from modcensus.operators.files import candidate_files
+from modcensus.operators.repositories import first_listed
 from modcensus.operators.usage import normalized_summary, raw_summary, usage_counts
 from modcensus.plans.scan import scan_module_calls
 from modcensus.runtime import land
@@ -95,3 +97,52 @@ def test_corpus_is_written_once(spark):
 
 def test_landed_tables_keep_their_schema(spark, files):
     assert land(files, "t").schema == files.schema
+
+
+SMALL_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
+
+
+@pytest.fixture
+def small_skew(spark):
+    for key, value in SMALL_SKEW.items():
+        spark.conf.set(key, value)
+    yield
+    for key in SMALL_SKEW:
+        spark.conf.unset(key)
+
+
+def test_hot_keys_are_split(spark, small_skew, tmp_path):
+    """A third of all calls have one source and path, a third of all tree entries one repository."""
+    path = str(tmp_path / "calls")
+    spark.range(60000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 's' || id END AS source", "'main.tf' AS file_path",
+        "IF(id % 2 = 0, 'terraform', 'terragrunt') AS type", "'r' || id AS repository", "1 AS line_number", "0 AS block_pos",
+    ).write.parquet(path)
+    listed = call_ops.listed_file_type(spark.read.parquet(path))
+    rows = listed.collect()
+    assert len(rows) == 60000
+    assert "skew=true" in plan_of(listed)
+    hot = {r.file_type for r in rows if r.source == "hot"}
+    assert hot == {"terraform"} and sum(r.file_type == "terragrunt" for r in rows) == 20000
+
+    tree = str(tmp_path / "hot-tree")
+    spark.range(60000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'o/hot' ELSE 'o/r' || id % 1000 END AS full_name", "id || '.tf' AS path",
+        "'blob' AS entry_type", "'1' AS sha", "1L AS size", "id AS tree_pos",
+    ).write.parquet(tree)
+    repositories = spark.range(-1, 1000).selectExpr(
+        "'github' AS provider", "id AS list_pos", "'o' AS owner", "IF(id < 0, 'hot', 'r' || id) AS name",
+        "'o/' || IF(id < 0, 'hot', 'r' || id) AS full_name", "'main' AS default_branch", "false AS archived",
+        "false AS private", "'u' AS url", "'c' AS clone_url",
+    )
+    candidates = candidate_files(spark.read.parquet(tree), first_listed(repositories))
+    assert len(candidates.collect()) == 60000
+    assert "skew=true" in plan_of(candidates)
+    limited = candidate_files(spark.read.parquet(tree), first_listed(repositories), max_files=5)
+    assert sorted(r.tree_pos for r in limited.where("repository = 'o/hot'").collect()) == [0, 3, 6, 9, 12]
