@@ -145,7 +145,7 @@ def test_text_helpers(column_values):
     check(
         column_values,
         strip_space,
-        [(" ﻿ a b\t\n", "a b"), ("a", "a"), ("   ", ""), ("", "")],
+        [("\u00a0\ufeff a b\t\n", "a b"), ("a", "a"), (" \u2003 ", ""), ("", "")],
     )
 
 

@@ -2,7 +2,6 @@
 
 import re
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -35,52 +34,57 @@ def test_two_blocks_with_places(spark):
     ]
 
 
-@pytest.mark.parametrize(
-    "text, expected",
-    [
-        ('resource "x" "y" {\n source = "a/b/c"\n}', []),
-        ('module "a" {\n version = "1"\n}', []),
-        ('module "a" {\n source = ""\n}', []),
-        ('module "a"{ source = "x" }', []),
-        ('module a { source = "x" }', []),
-        ('module "a" { source = "x" }', [("a", "x", "unknown", None, 1)]),
-        ('/*\nmodule "a" {\n source = "x"\n}\n*/', [("a", "x", "unknown", None, 2)]),
-        ('submodule "a" {\n source = "x"\n}', [("a", "x", "unknown", None, 1)]),
-        ('module "a" {\n tags = { b = 1 }\n source = "x"\n}', []),
-        ('module "a" {\n source = "x"\n tags = { version = "9" }\n version = "1"\n}', [("a", "x", "unknown", "9", 1)]),
-        ('module "a" {\n engine_version = "13"\n version = "1"\n source = "x"\n}', [("a", "x", "unknown", "13", 1)]),
-        ('module "a" {\n source = " x "\n}', [("a", " x ", "unknown", None, 1)]),
-        ('module "a" {\n source = "x\ny"\n}', [("a", "x\ny", "unknown", None, 1)]),
-        ('module "a"﻿{\nsource = "x"\n}', [("a", "x", "unknown", None, 1)]),
-        ('\r\n\r\nmodule "a" {\r\n source = "x?ref=v1"\r\n}', [("a", "x?ref=v1", "unknown", "v1", 3)]),
-        ('\r\rmodule "a" { source = "x" }', [("a", "x", "unknown", None, 1)]),
-        ('module "source =" {\n source = "x"\n}', [("source =", "x", "unknown", None, 1)]),
-        ('module "a" {\n source = "x"\n', []),
-        ('module "a" { source = "x" } module "b" { source = "y" }', [("a", "x", "unknown", None, 1), ("b", "y", "unknown", None, 1)]),
-        ('terraform {\n source = "x"\n}', []),
-        ("", []),
-    ],
-)
-def test_terraform_cases(spark, text, expected):
-    assert calls_of(spark, text) == expected
-
-
-@pytest.mark.parametrize(
-    "text, expected",
-    [
-        ('terraform {\n source = "git::https://h/a/b.git//net?ref=v1"\n}', [("net", "git::https://h/a/b.git//net?ref=v1", "git", "v1", 1)]),
-        ('terraform{source="x"}', [("x", "x", "unknown", None, 1)]),
-        ('terraform {\n source = "  x  "\n version = "1"\n}', [("x", "x", "unknown", None, 1)]),
-        ('terraform {\n source = "   "\n}\nterraform {\n source = "y"\n}', [("y", "y", "unknown", None, 4)]),
-        ('terraform {\n required_providers {\n  aws = {\n   source = "hashicorp/aws"\n  }\n }\n}', [("aws", "hashicorp/aws", "unknown", None, 1)]),
-        ('terraform {\n extra {\n }\n source = "x"\n}', []),
-        ('# terraform {\n source = "x"\n}', [("x", "x", "unknown", None, 1)]),
-        ('module "a" { source = "x" }', []),
-        ('terraform {\n source = "tfr:///terraform-aws-modules/rds/aws?version=5.1.0"\n}\ninputs = {\n engine_version = "13.7"\n}', [("aws", "tfr:///terraform-aws-modules/rds/aws?version=5.1.0", "registry", "5.1.0", 1)]),
-    ],
-)
-def test_terragrunt_cases(spark, text, expected):
-    assert calls_of(spark, text, "terragrunt", "live.hcl") == expected
+TERRAFORM_CASES = [
+    ('resource "x" "y" {\n source = "a/b/c"\n}', []),
+    ('module "a" {\n version = "1"\n}', []),
+    ('module "a" {\n source = ""\n}', []),
+    ('module "a"{ source = "x" }', []),
+    ('module a { source = "x" }', []),
+    ('module "a" { source = "x" }', [("a", "x", "unknown", None, 1)]),
+    ('/*\nmodule "a" {\n source = "x"\n}\n*/', [("a", "x", "unknown", None, 2)]),
+    ('submodule "a" {\n source = "x"\n}', [("a", "x", "unknown", None, 1)]),
+    ('module "a" {\n tags = { b = 1 }\n source = "x"\n}', []),
+    ('module "a" {\n source = "x"\n tags = { version = "9" }\n version = "1"\n}', [("a", "x", "unknown", "9", 1)]),
+    ('module "a" {\n engine_version = "13"\n version = "1"\n source = "x"\n}', [("a", "x", "unknown", "13", 1)]),
+    ('module "a" {\n source = " x "\n}', [("a", " x ", "unknown", None, 1)]),
+    ('module "a" {\n source = "x\ny"\n}', [("a", "x\ny", "unknown", None, 1)]),
+    ('module\u00a0"a"\ufeff{\nsource\u2003=\u00a0"x"\n}', [("a", "x", "unknown", None, 1)]),
+    ('\r\n\r\nmodule "a" {\r\n source = "x?ref=v1"\r\n}', [("a", "x?ref=v1", "unknown", "v1", 3)]),
+    ('\r\rmodule "a" { source = "x" }', [("a", "x", "unknown", None, 1)]),
+    ('module "source =" {\n source = "x"\n}', [("source =", "x", "unknown", None, 1)]),
+    ('module "a" {\n source = "x"\n', []),
+    ('module "a" { source = "x" } module "b" { source = "y" }', [("a", "x", "unknown", None, 1), ("b", "y", "unknown", None, 1)]),
+    ('terraform {\n source = "x"\n}', []),
+    ("", []),
+]
+TERRAGRUNT_CASES = [
+    ('terraform {\n source = "git::https://h/a/b.git//net?ref=v1"\n}', [("net", "git::https://h/a/b.git//net?ref=v1", "git", "v1", 1)]),
+    ('terraform{source="x"}', [("x", "x", "unknown", None, 1)]),
+    ('terraform {\n source = "  x  "\n version = "1"\n}', [("x", "x", "unknown", None, 1)]),
+    ('terraform {\n source = "   "\n}\nterraform {\n source = "y"\n}', [("y", "y", "unknown", None, 4)]),
+    ('terraform {\n required_providers {\n  aws = {\n   source = "hashicorp/aws"\n  }\n }\n}', [("aws", "hashicorp/aws", "unknown", None, 1)]),
+    ('terraform {\n extra {\n }\n source = "x"\n}', []),
+    ('# terraform {\n source = "x"\n}', [("x", "x", "unknown", None, 1)]),
+    ('module "a" { source = "x" }', []),
+    ('terraform {\n source = "tfr:///terraform-aws-modules/rds/aws?version=5.1.0"\n}\ninputs = {\n engine_version = "13.7"\n}', [("aws", "tfr:///terraform-aws-modules/rds/aws?version=5.1.0", "registry", "5.1.0", 1)]),
+]
+
+
+def check_cases(spark, cases, kind, path):
+    """All texts in one job, each in a repository of its own."""
+    found = {i: [] for i in range(len(cases))}
+    for r in module_calls(files_of(spark, [text for text, _ in cases], kind, path)).orderBy("block_pos").collect():
+        number = int(r.repository.removeprefix("org/repo"))
+        found[number].append((r.name, r.source, r.source_type, r.version, r.line_number))
+    assert [(text, found[i]) for i, (text, _) in enumerate(cases)] == cases
+
+
+def test_terraform_cases(spark):
+    check_cases(spark, TERRAFORM_CASES, "terraform", "main.tf")
+
+
+def test_terragrunt_cases(spark):
+    check_cases(spark, TERRAGRUNT_CASES, "terragrunt", "live.hcl")
 
 
 def test_directory_names_a_terragrunt_call(spark):
@@ -115,7 +119,7 @@ def test_comment_line_shifts_every_line(spark):
     assert [row[-1] for row in calls_of(spark, "# c\n" + text)] == [line + 1 for line in plain]
 
 
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def searched(text, kind):
@@ -140,11 +144,11 @@ def searched(text, kind):
 
 PIECES = st.sampled_from(
     ['module "a" {', 'module\t"b"\n{', 'module "c"{', "terraform {", "terraform{", "}", "\n", "\r\n", " ", '"', "{",
-     'source = "x"', 'source="  y "', 'source = ""', 'version = "1"', "# é\n", " ", "source", "module", "terraform"]
+     'source = "x"', 'source="  y "', 'source = ""', 'version = "1"', "# é\n", "\u00a0", "source", "module", "terraform"]
 )
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(PIECES, max_size=40).map("".join), min_size=40, max_size=40))
 def test_random_texts(spark, texts):
     for kind, path in (("terraform", "a.tf"), ("terragrunt", "a.hcl")):
