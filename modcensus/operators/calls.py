@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from modcensus.fixed import TERRAFORM, TERRAGRUNT
 from modcensus.functions.text import in_locale_order
-from modcensus.operators.joins import join_single
+from modcensus.operators.joins import FEW_SALTS, join_single
 from modcensus.runtime import with_position
 
 
@@ -40,7 +40,9 @@ def listed_file_type(calls: DataFrame) -> DataFrame:
     keys = ["source", "file_path"]
     seen = calls.where(F.col("type") == TERRAFORM).select(*keys).distinct().withColumn("_seen", F.lit(True))
     return (
-        join_single(calls, seen, keys, "left", spread=["repository", "line_number", "block_pos"])
+        join_single(
+            calls, seen, keys, "left", spread=["repository", "line_number", "block_pos"], salts=FEW_SALTS
+        )
         .withColumn("file_type", F.when(F.col("_seen"), TERRAFORM).otherwise(TERRAGRUNT))
         .drop("_seen")
     )

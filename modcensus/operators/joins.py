@@ -4,9 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
+FEW_SALTS = 2  # where the single side is about as large as the other: fewer copies, the rest is left to Spark
 
 
-def join_single(many: DataFrame, single: DataFrame, keys: list[str], how: str, spread: list[str]) -> DataFrame:
+def join_single(
+    many: DataFrame, single: DataFrame, keys: list[str], how: str, spread: list[str], salts: int = SALTS
+) -> DataFrame:
     """Inner or left join of ``many`` with ``single``, whatever share of ``many`` one key holds.
 
     Rows of a key go to several tasks by the hash of ``spread``, and ``single`` is copied to each.
@@ -14,6 +17,6 @@ def join_single(many: DataFrame, single: DataFrame, keys: list[str], how: str, s
     the join itself; a ``single`` side that was just grouped by the same keys would not be. The
     salt makes it so. A side that Spark measures as small is still broadcast.
     """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    copies = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    copies = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

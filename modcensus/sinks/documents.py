@@ -15,7 +15,7 @@ from modcensus.functions.links import file_link
 from modcensus.functions.text import in_locale_order
 from modcensus.operators.calls import positioned_calls, report_order, sorted_calls
 from modcensus.operators.extract import call_sources, module_calls
-from modcensus.operators.joins import join_single
+from modcensus.operators.joins import FEW_SALTS, join_single
 from modcensus.operators.usage import (
     file_type_share,
     merged_summary,
@@ -213,7 +213,9 @@ def _json_summary_rows(usage: DataFrame) -> DataFrame:
         sources.select("source", F.lit(None).cast("string").alias("version"), F.inline(lines))
         .where(F.col("value").isNotNull())
         .unionByName(
-            join_single(versions, last_version, ["source"], "inner", spread=["version"]).select(
+            join_single(
+                versions, last_version, ["source"], "inner", spread=["version"], salts=FEW_SALTS
+            ).select(
                 "source", "version", F.lit(1).alias("_rank"), version.alias("value")
             )
         )
