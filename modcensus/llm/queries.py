@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modcensus.llm import op5_token_files, op9_sharding, op10_packing
+from modcensus.llm import op4_near_duplicates, op5_token_files, op9_sharding, op10_packing
 from modcensus.llm.common import table
 
 SHARDS = 24
 
 
+def op4_near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op4_near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "class_id", "kept")
+
+
 def op5_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     rows = op5_token_files.write_and_read(spark, table(spark, sf_dir, "documents"), tokenizer, 1)
@@ -32,6 +37,7 @@ def op10_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_near_duplicates": op4_near_duplicates_query,
         "op5_token_files": op5_token_files_query,
         "op9_sharding": op9_sharding_query,
         "op10_packing": op10_packing_query,
