@@ -8,12 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modcensus.llm import op4_near_duplicates, op5_token_files, op9_sharding, op10_packing
-from modcensus.llm.common import table
+from modcensus.llm import op1_language, op4_near_duplicates, op5_token_files, op7_quality, op9_sharding, op10_packing
+from modcensus.llm.common import fold, table
 
 SHARDS = 24
 
 
+def op1_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = fold(F.col("doc_id"), 5)
+    rows = op1_language.identified(docs, op1_language.learn(docs, part != 0), ["doc_id"])
+    return rows.select("doc_id", (part == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op4_near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "class_id", "kept")
@@ -25,6 +32,12 @@ def op5_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = op7_quality.quality_model(docs, table(spark, sf_dir, "labels"))
+    return op7_quality.judged(docs, model, ["doc_id"])
+
+
 def op9_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op9_sharding.shard_slots(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -37,8 +50,10 @@ def op10_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language_query,
         "op4_near_duplicates": op4_near_duplicates_query,
         "op5_token_files": op5_token_files_query,
+        "op7_quality": op7_quality_query,
         "op9_sharding": op9_sharding_query,
         "op10_packing": op10_packing_query,
     }
