@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modcensus.llm import op1_language, op4_near_duplicates, op5_token_files, op7_quality, op9_sharding, op10_packing
+from modcensus.llm import op1_language, op4_near_duplicates, op5_token_files, op6_secrets, op7_quality, op9_sharding, op10_packing
 from modcensus.llm.common import fold, table
 
 SHARDS = 24
@@ -32,6 +32,11 @@ def op5_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op6_secrets.found_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).drop("base_spans")
+
+
 def op7_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = op7_quality.quality_model(docs, table(spark, sf_dir, "labels"))
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language": op1_language_query,
         "op4_near_duplicates": op4_near_duplicates_query,
         "op5_token_files": op5_token_files_query,
+        "op6_secrets": op6_secrets_query,
         "op7_quality": op7_quality_query,
         "op9_sharding": op9_sharding_query,
         "op10_packing": op10_packing_query,
