@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import json
 import re
+import string
+import struct
 from functools import cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
 ID_BYTES = 4
@@ -20,11 +21,10 @@ _PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: white space other than blank and line feed
 _ODD = tuple(chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) if c != 10)
 _BEFORE_WORD = re.compile(r" (?=\S)")
-_POINTS = frozenset(".,;:!?")
 
 
-def _packed(ids) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,7 +47,8 @@ class TextEncoder:
         self._model = self._library.model
         self._letters = _byte_letters()
         self._remembered = remembered
-        self._points = {}
+        self._ends: dict[str, bytes] = {}
+        self._line = self._whole("\n")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
@@ -82,27 +83,30 @@ class TextEncoder:
     def _forget(self) -> None:
         if len(self._words) > self._remembered:
             self._words.clear()
+            self._ends.clear()
 
     def _word(self, key: str) -> bytes:
-        line, word = (self._whole("\n"), key[1:]) if key[:1] == "\n" and self._blank else (b"", key)
-        end = b""
-        if len(word) > 1 and word[-1] in _POINTS:
-            end, bare = self._point(word[-1]), word[:-1]
+        """A run of letters is one word, and so is a run of points at its end."""
+        if self._blank and key[:1] == "\n":
+            line, word, blank = self._line, key[1:], ""
         else:
-            bare = word
-        blank = "" if line else self._blank
-        if not bare.isalpha() or ord(max(bare)) > 255:
-            return self._whole(key if line or not blank else " " + key)
+            line, word, blank = b"", key, self._blank
+        bare = word.rstrip(string.punctuation)
+        if not bare.isalpha():
+            return self._whole(" " + key if blank else key)
+        end = self._end(word[len(bare) :]) if len(bare) < len(word) else b""
         if not self._blank:
             bare = bare.lower()
         if not bare.isascii():
+            if ord(max(bare)) > 255:
+                return self._whole(" " + key if blank else key)
             bare = "".join(map(self._letters.__getitem__, bare.encode()))
-        return line + _packed([t.id for t in self._model.tokenize(blank + bare)]) + end
+        return line + _packed([token.id for token in self._model.tokenize(blank + bare)]) + end
 
-    def _point(self, point: str) -> bytes:
-        if point not in self._points:
-            self._points[point] = self._whole(point)
-        return self._points[point]
+    def _end(self, points: str) -> bytes:
+        if points not in self._ends:
+            self._ends[points] = self._whole(points)
+        return self._ends[points]
 
 
 class _Words(dict):

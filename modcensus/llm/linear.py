@@ -99,11 +99,12 @@ def _descend(doc, feature, value, labels, size, weight, rounds, step, ridge) ->
     return w, b
 
 
-def fit(features: Features, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, significant: float = 0, rounds: int = 120, step: float = 0.3, ridge: float = 2e-4) -> LinearModel:
+def fit(features: Features, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, significant: float = 0, folds: int = 3, rounds: int = 120, step: float = 0.3, ridge: float = 2e-4) -> LinearModel:
     """From (feature, value) arrays of labelled texts.
 
-    Every fifth row only serves the calibration: a slope and a shift of the margin, fitted to
-    probabilities under ``prior``, the share of label 1 in the data that the rows were drawn from.
+    The calibration is a slope and a shift of the margin, fitted to probabilities under ``prior``,
+    the share of label 1 in the data that the rows were drawn from. Its margins are those of models
+    that were fitted without the row (cross-fitting over ``folds``).
     Features seen in one row only are left out, and with ``significant`` those whose shares of the
     rows of either label differ by fewer standard errors.
     """
@@ -114,27 +115,37 @@ def fit(features: Features, rows: list[tuple[np.ndarray, np.ndarray]], labels: n
     doc = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     feature, value = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
     value = value.astype(np.float64)
-    aside = np.arange(len(labels)) % 5 == 4
-    common = _telling(doc, feature, labels, aside, significant)
-    used = np.flatnonzero(common)
-    place = np.cumsum(common) - 1
-    keep = common[feature]
-    doc, feature, value = doc[keep], place[feature[keep]], value[keep]
     share = labels.mean()
     importance = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
-    weight = np.where(aside, 0, importance) / importance[~aside].sum()
-    balanced = weight * np.where(labels == 1, 0.5 / prior, 0.5 / (1 - prior))
-    w, b = _descend(doc, feature, value, labels, len(used), balanced, rounds, step, ridge / 10)
-    margin = np.bincount(doc, w[feature] * value, minlength=len(labels)) + b
-    slope, shift = _calibrate(margin[aside], labels[aside], importance[aside])
-    full = np.zeros(1 << BITS, np.float32)
-    full[used] = w
-    return LinearModel(features, full, b, slope, shift)
-
-
-def _telling(doc, feature, labels, aside, significant) -> np.ndarray:
-    """Of each feature whether it may have a weight; held-back rows have no say."""
-    ones, zeros = (labels == 1) & ~aside, (labels == 0) & ~aside
+
+    def trained(own: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights of all features, from the rows ``own``; both labels count alike."""
+        telling = _telling(doc, feature, labels, own, significant)
+        used = np.flatnonzero(telling)
+        keep = telling[feature] & own[doc]
+        weight = own * np.where(labels == 1, 0.5 / max((own & (labels == 1)).sum(), 1), 0.5 / max((own & (labels == 0)).sum(), 1))
+        w, b = _descend(doc[keep], (np.cumsum(telling) - 1)[feature[keep]], value[keep], labels, len(used), weight, rounds, step, ridge / 10)
+        full = np.zeros(1 << BITS)
+        full[used] = w
+        return full, b
+
+    turn = np.empty(len(labels), np.int64)
+    for label in (0, 1):  # each fold has its part of both labels
+        turn[labels == label] = np.arange((labels == label).sum()) % folds
+    margin = np.empty(len(labels))
+    for k in range(folds):
+        w, b = trained(turn != k)
+        aside = turn[doc] == k
+        sums = np.bincount(doc[aside], w[feature[aside]] * value[aside], minlength=len(labels)) + b
+        margin[turn == k] = sums[turn == k]
+    slope, shift = _calibrate(margin, labels, importance)
+    w, b = trained(np.ones(len(labels), bool))
+    return LinearModel(features, w.astype(np.float32), b, slope, shift)
+
+
+def _telling(doc, feature, labels, own, significant) -> np.ndarray:
+    """Of each feature whether it may have a weight; only the rows ``own`` have a say."""
+    ones, zeros = (labels == 1) & own, (labels == 0) & own
     seen = [np.bincount(feature, rows[doc], minlength=1 << BITS) for rows in (ones, zeros)]
     n, m = max(ones.sum(), 1), max(zeros.sum(), 1)
     mean = (seen[0] + seen[1]) / (n + m)

@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modcensus.llm import op1_language, op4_near_duplicates, op5_token_files, op6_secrets, op7_quality, op9_sharding, op10_packing
+from modcensus.llm import (
+    op1_language,
+    op3_toxicity,
+    op4_near_duplicates,
+    op5_token_files,
+    op6_secrets,
+    op7_quality,
+    op9_sharding,
+    op10_packing,
+)
 from modcensus.llm.common import fold, table
 
 SHARDS = 24
@@ -21,6 +30,15 @@ def op1_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (part == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = fold(F.col("doc_id"), 3)
+    characters = op3_toxicity.character_model(docs)
+    model = op3_toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"), part != 1, characters)
+    rows = op3_toxicity.scored(docs, model, characters, ["doc_id"])
+    return rows.select("doc_id", (part == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op4_near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "class_id", "kept")
@@ -56,6 +74,7 @@ def op10_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language_query,
+        "op3_toxicity": op3_toxicity_query,
         "op4_near_duplicates": op4_near_duplicates_query,
         "op5_token_files": op5_token_files_query,
         "op6_secrets": op6_secrets_query,
