@@ -15,6 +15,7 @@ from modcensus.llm import (
     op5_token_files,
     op6_secrets,
     op7_quality,
+    op8_neighbours,
     op9_sharding,
     op10_packing,
 )
@@ -61,6 +62,10 @@ def op7_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality.judged(docs, model, ["doc_id"])
 
 
+def op8_neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op9_sharding.shard_slots(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files_query,
         "op6_secrets": op6_secrets_query,
         "op7_quality": op7_quality_query,
+        "op8_neighbours": op8_neighbours_query,
         "op9_sharding": op9_sharding_query,
         "op10_packing": op10_packing_query,
     }
