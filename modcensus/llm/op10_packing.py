@@ -115,7 +115,7 @@ def best_fit_decreasing(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.
 
 
 def _pack_group(most: int, packing_round: int):
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["length"].to_numpy(np.int64)
         into, offset, held = best_fit_decreasing(lengths, most)
         rows["sequence_id"] = ((np.int64(packing_round) << 31 | np.int64(key[0])) << 24) | into

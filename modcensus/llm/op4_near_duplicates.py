@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from modcensus.llm.common import land, whole_text
 from modcensus.llm.components import components
@@ -119,9 +121,7 @@ def _distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[at], doc[at], np.diff(np.append(at, len(hashes)))
 
 
-def _sign(bands: int, rows: int, width: int, weighted: bool):
-    out = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("form", pa.binary()), ("bands", pa.list_(pa.int64())), ("text", pa.string())])
-
+def _sign(bands: int, rows: int, width: int, weighted: bool, out: pa.Schema):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 2):
             found = lower_ascii(texts(batch.column(2)))
@@ -136,7 +136,8 @@ def _sign(bands: int, rows: int, width: int, weighted: bool):
             forms = np.stack(sums, 1).tobytes()
             form = [forms[16 * i : 16 * i + 16] if some[i] else None for i in range(len(found))]
             lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(some * bands)).astype(np.int32), keys[some].ravel())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(form, pa.binary()), lists, batch.column(2).cast(pa.string())], schema=out)
+            made = [*batch.columns[:2], pa.array(form, pa.binary()), lists, *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(made, schema=out)
 
     return read
 
@@ -148,10 +149,16 @@ def _sums(values: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
     return running[edges[1:]] - running[edges[:-1]]
 
 
-def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, weighted: bool = False) -> DataFrame:
-    """uid, doc_id, form (equal for equal window sets), band keys and text of each document."""
-    read = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return read.mapInArrow(_sign(bands, rows, width, weighted), "uid LONG, doc_id LONG, form BINARY, bands ARRAY<LONG>, text STRING")
+def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, weighted: bool = False, carried: list[str] | None = None) -> DataFrame:
+    """uid, doc_id, form (equal for equal window sets), band keys, text and ``row`` of each document.
+
+    ``row`` is a struct of the columns ``carried`` and of whether the text was null.
+    """
+    row = F.struct(*(F.col(name) for name in carried or []), F.col("text").isNull().alias("_no_text_"))
+    read = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), row.alias("row"))
+    made = T._parse_datatype_string("form BINARY, bands ARRAY<LONG>")
+    schema = T.StructType([*read.schema.fields[:2], *made, *read.schema.fields[2:]])
+    return read.mapInArrow(_sign(bands, rows, width, weighted, to_arrow_schema(schema)), schema)
 
 
 def _compare(width: int, weighted: bool):
@@ -236,12 +243,11 @@ def _left_over(many: DataFrame, tested: DataFrame, similar: float) -> DataFrame:
     return land(kept.join(land(mixed, "mixed"), "bucket").select("bucket", "uid", "meets"), "members")
 
 
-def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, weighted: bool = False) -> DataFrame:
-    """uid, doc_id, class_id, and ``kept`` (true for one row of each class).
+def classes_of(prepared: DataFrame, similar: float = SIMILAR, width: int = WIDTH, weighted: bool = False) -> DataFrame:
+    """uid, doc_id, class_id and ``kept`` (true for one row of each class) of the landed ``signed`` rows.
 
-    class_id is the least doc_id of the class. ``uid`` numbers the rows of ``docs``.
+    class_id is the least doc_id of the class.
     """
-    prepared = land(signed(docs, bands, rows, width, weighted), "signed")
     same = land(prepared.where("form IS NOT NULL").groupBy("form").agg(F.min("uid").alias("one")), "forms")
     single = prepared.join(same.select(F.col("one").alias("uid")), "uid", "left_semi")
     members = single.select("uid", F.explode("bands").alias("bucket"))
@@ -249,5 +255,20 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR, bands: int
     classed = prepared.select("uid", "doc_id", "form").join(same, "form", "left").withColumn("one", F.coalesce("one", "uid"))
     classed = classed.join(found.toDF("one", "root"), "one", "left")
     classed = land(classed.select("uid", "doc_id", F.coalesce("root", "one").alias("root")), "classed")
-    names = land(classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("first")), "names")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"]
+    names = land(classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), least.alias("first")), "names")
     return classed.join(names, "root").select("uid", "doc_id", "class_id", (F.col("uid") == F.col("first")).alias("kept"))
+
+
+def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, weighted: bool = False) -> DataFrame:
+    """uid, doc_id, class_id and kept of each row of ``docs``; uid numbers the rows."""
+    return classes_of(land(signed(docs, bands, rows, width, weighted), "signed"), similar, width, weighted)
+
+
+def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One document of each class, that of the least doc_id, with all columns."""
+    others = [name for name in docs.columns if name != "text"]
+    prepared = land(signed(docs, carried=others), "signed")
+    kept = classes_of(prepared, similar).where("kept").select("uid")
+    text = F.when(~F.col("row._no_text_"), F.col("text")).alias("text")
+    return prepared.join(kept, "uid", "left_semi").select(*(text if name == "text" else F.col("row")[name].alias(name) for name in docs.columns))

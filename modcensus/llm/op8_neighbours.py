@@ -120,7 +120,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _search_block(k: int, trees: int, miss: float):
-    def search(key, points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         points = points.sort_values("vec_id", ignore_index=True)

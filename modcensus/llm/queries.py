@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from modcensus.llm import (
     op1_language,
+    op2_sentencepiece,
     op3_toxicity,
     op4_near_duplicates,
     op5_token_files,
@@ -31,6 +32,19 @@ def op1_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (part == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    chunks = op2_sentencepiece.encoded(table(spark, sf_dir, "documents"), model)
+    rows = op2_sentencepiece.whole_documents(op2_sentencepiece.decoded(chunks, model))
+    return rows.select(
+        "doc_id",
+        "chunks",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"),
+    )
+
+
 def op3_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = fold(F.col("doc_id"), 3)
@@ -79,6 +93,7 @@ def op10_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language_query,
+        "op2_sentencepiece": op2_sentencepiece_query,
         "op3_toxicity": op3_toxicity_query,
         "op4_near_duplicates": op4_near_duplicates_query,
         "op5_token_files": op5_token_files_query,
