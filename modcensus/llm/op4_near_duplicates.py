@@ -8,11 +8,14 @@ Two sets agree in a coordinate with the probability of their weighted Jaccard si
 weighs every window 1, as its similarity is that of window sets.
 
 Signatures are cut into bands; texts with an equal band meet in a bucket. Texts with equal windows
-are one text from here on. In a bucket of few all pairs are checked. In a larger one the text that
-meets most others leads: it alone is checked against the others, those linked to it form its class,
-and only what might still link members outside that class stays for the next leader. What may be
-left out follows from the triangle inequality of the Jaccard distance, so no link between different
-classes is lost in a bucket, and no bucket's pairs are all made unless it is small.
+are one text from here on. Pairs whose sketches (two bits of each coordinate) differ too much are no
+candidates. At first all pairs are made in the smallest buckets only. In the others the text that
+meets most others leads: it alone is checked against the others, and texts linked to it are in its
+class. Only what may still link different classes stays; then buckets of at most ``FEW`` are done
+with all such pairs, and in larger ones the next leaders, of the smallest classes, are checked
+against the other classes until one class is left. Members that the
+triangle inequality of the Jaccard distance keeps away from all other classes leave early. So no
+link between different classes is lost in a bucket, and the pairs of a large one are not all made.
 
 Defined cases: null texts and texts without words are alone in their class; repeated rows and ids
 are in one class with their equals; an empty table gives no rows; other columns are not read. Memory
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,7 +41,7 @@ from modcensus.llm.vectext import lower_ascii, mix, portions, texts, uniform, wo
 WIDTH = 5
 SIMILAR = 0.8
 BANDS, ROWS = 36, 6
-FEW = 16  # texts of a bucket whose pairs are all checked
+FIRST_FEW, FEW = 4, 128  # texts of a bucket whose pairs are all candidates, at first and later
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: chances of at most n darts in a cell of area 1
 _DARTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(20)])
@@ -111,6 +114,31 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, 32 coordinates in a 64-bit integer."""
+    lanes = np.zeros((len(signatures), -(-signatures.shape[1] // 32) * 32), np.uint64)
+    lanes[:, : signatures.shape[1]] = signatures & np.uint64(3)
+    shifts = np.arange(0, 64, 2, dtype=np.uint64)
+    return (lanes.reshape(len(signatures), -1, 32) << shifts).sum(2, dtype=np.uint64)
+
+
+def most_differing(size: int, similar: float) -> int:
+    """In how many coordinates the sketches of a link differ at most.
+
+    Two bits agree with the chance similarity + (1 - similarity) / 4; the bound is four standard
+    errors beyond the mean of a link that is just similar enough.
+    """
+    differ = (1 - similar) * 0.75
+    return math.ceil(size * differ + 4 * math.sqrt(size * differ * (1 - differ)))
+
+
+def _near(x, y, limit: int) -> Column:
+    """Whether two sketches differ in at most ``limit`` coordinates."""
+    other = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
+    lanes = F.transform(other, lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    return F.aggregate(lanes, F.lit(0), lambda total, d: total + d) <= limit
+
+
 def _distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (text, window) in order of both, and how often each occurs."""
     order = np.lexsort((hashes, doc))
@@ -136,7 +164,9 @@ def _sign(bands: int, rows: int, width: int, weighted: bool, out: pa.Schema):
             forms = np.stack(sums, 1).tobytes()
             form = [forms[16 * i : 16 * i + 16] if some[i] else None for i in range(len(found))]
             lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(some * bands)).astype(np.int32), keys[some].ravel())
-            made = [*batch.columns[:2], pa.array(form, pa.binary()), lists, *batch.columns[2:]]
+            bits = sketches(signatures).astype(np.int64)
+            bits = pa.ListArray.from_arrays((np.arange(len(bits) + 1) * bits.shape[1]).astype(np.int32), bits.ravel())
+            made = [*batch.columns[:2], pa.array(form, pa.binary()), lists, bits, *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(made, schema=out)
 
     return read
@@ -150,13 +180,13 @@ def _sums(values: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, weighted: bool = False, carried: list[str] | None = None) -> DataFrame:
-    """uid, doc_id, form (equal for equal window sets), band keys, text and ``row`` of each document.
+    """uid, doc_id, form (equal for equal window sets), band keys, sketch, text and ``row`` of each document.
 
     ``row`` is a struct of the columns ``carried`` and of whether the text was null.
     """
     row = F.struct(*(F.col(name) for name in carried or []), F.col("text").isNull().alias("_no_text_"))
     read = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), row.alias("row"))
-    made = T._parse_datatype_string("form BINARY, bands ARRAY<LONG>")
+    made = T._parse_datatype_string("form BINARY, bands ARRAY<LONG>, sketch ARRAY<LONG>")
     schema = T.StructType([*read.schema.fields[:2], *made, *read.schema.fields[2:]])
     return read.mapInArrow(_sign(bands, rows, width, weighted, to_arrow_schema(schema)), schema)
 
@@ -201,57 +231,89 @@ def _ordered(one, other) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def links(prepared: DataFrame, members: DataFrame, similar: float, width: int, weighted: bool) -> DataFrame:
-    """(a, b): links between different texts whose closure is that of all links found in buckets."""
+def links(prepared: DataFrame, members: DataFrame, similar: float, size: int, width: int, weighted: bool) -> DataFrame:
+    """(a, b): links between different texts whose closure is that of all links found in buckets.
+
+    ``members`` (bucket, uid, sketch); ``size`` is the signature's.
+    """
     spark = prepared.sparkSession
+    limit, widest = most_differing(size, similar), 1 - similar + 1e-9
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = land(members.join(land(buckets, "buckets"), "bucket"), "members")
     meets = land(rows.groupBy("uid").agg(F.sum("n").alias("meets")), "meets")
-    rows = land(rows.select("bucket", "uid").join(meets, "uid"), "members")
+    rows = rows.join(meets, "uid").withColumn("class", F.col("uid")).withColumn("size", F.lit(1).cast("long"))
+    rows = land(rows.withColumn("far", F.lit(None).cast("double")).select(*_MEMBER), "members")
     tested = spark.createDataFrame([], "a LONG, b LONG, similarity DOUBLE")
-    while rows.head(1):
-        leaders = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("meets", (-F.col("uid")).alias("u"))).alias("top"))
-        rows = land(rows.join(land(leaders, "leaders"), "bucket").withColumn("leader", -F.col("top.u")), "led")
-        few = rows.where(F.col("n") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("uid")).alias("u"))
-        inner = F.flatten(F.transform("u", lambda x, i: F.transform(F.slice("u", i + 2, F.size("u")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        many = rows.where((F.col("n") > FEW) & (F.col("uid") != F.col("leader")))
-        pairs = few.select(F.inline(inner)).unionAll(many.select(*_ordered(F.col("leader"), F.col("uid")))).distinct()
+    leaders, most = 1, FIRST_FEW
+    while True:
+        sizes = land(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        sized = rows.join(sizes, "bucket")
+        many = land(sized.where(F.col("n") > most).drop("n"), "many")
+        few = sized.where(F.col("n") <= most).groupBy("bucket").agg(F.collect_list(F.struct("uid", "class", "sketch")).alias("u"))
+        # the window's limit is applied before its shuffle: a few rows of a bucket from each task
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("meets"), "uid"))
+        led = many.withColumn("_place", place).where(F.col("_place") <= leaders)
+        led = land(led.select("bucket", *(F.col(name).alias("led_" + name) for name in ("uid", "class", "sketch", "far")), "_place"), "leaders")
+        first = led.alias("led").join(many.alias("met"), "bucket")
+        apart = F.coalesce(F.abs(F.col("led_far") - F.col("far")) <= widest, F.lit(True))
+        # the first leader's distances to all are wanted, so it meets everyone once
+        wanted = F.when(F.col("far").isNull(), F.lit(True)).otherwise(apart & _near("led_sketch", "sketch", limit))
+        met = first.where((F.col("class") != F.col("led_class")) & (F.col("uid") != F.col("led_uid")) & wanted)
+        pairs = few.select(F.inline(_pairs("u", limit))).unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid")))).distinct()
         pairs = land(pairs, "pairs").join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = land(tested.unionAll(_checked(pairs, prepared, width, weighted)), "tested")
-        rows = _left_over(many, tested, similar)
-    return tested.where(F.col("similarity") >= similar).select("a", "b")
+        if not many.head(1):
+            return tested.where(F.col("similarity") >= similar).select("a", "b")
+        rows = _left_over(many, led.withColumnRenamed("led_uid", "leader"), tested, similar)
+        leaders, most = leaders * 16, FEW
+
+
+_MEMBER = ["bucket", "uid", "sketch", "meets", "class", "size", "far"]
+
+
+def _pairs(members: str, limit: int) -> Column:
+    """The near pairs of an array of (uid, class, sketch) with different classes."""
+
+    def after(x, i):
+        others = F.filter(F.slice(members, i + 2, F.size(members)), lambda y: (y["class"] != x["class"]) & _near(x["sketch"], y["sketch"], limit))
+        return F.transform(others, lambda y: F.struct(*_ordered(x["uid"], y["uid"])))
+
+    return F.flatten(F.transform(members, after))
 
 
-def _left_over(many: DataFrame, tested: DataFrame, similar: float) -> DataFrame:
-    """The members of large buckets that may have links across classes not seen by the leader.
+def _left_over(many: DataFrame, led: DataFrame, tested: DataFrame, similar: float) -> DataFrame:
+    """The members of large buckets between whose classes links may still be found.
 
-    ``far`` is the distance to the leader. A member of the leader's class can only be linked to an
-    outsider if their distances differ by at most the widest link.
+    A leader has met all others. ``far`` is the distance to a bucket's first leader: two texts can
+    only be linked if theirs differ by at most the widest link, so a member of the bucket's largest
+    class is done if that holds for nobody outside of it.
     """
-    if not many.head(1):
-        return many
     roots = land(components(tested.where(F.col("similarity") >= similar).select("a", "b")), "roots")
-    rows = many.select("bucket", "uid", "meets", "leader", *_ordered(F.col("leader"), F.col("uid")))
-    rows = rows.join(tested, ["a", "b"]).withColumn("far", 1 - F.col("similarity"))
-    rows = rows.join(roots.toDF("uid", "class"), "uid", "left").join(roots.toDF("leader", "led"), "leader", "left")
-    rows = rows.withColumn("class", F.coalesce("class", "uid")).withColumn("inside", F.col("class") == F.coalesce("led", "leader"))
-    rows = land(rows.select("bucket", "uid", "meets", "far", "class", "inside"), "judged")
-    nearest = land(rows.where("NOT inside").groupBy("bucket").agg(F.min("far").alias("nearest")), "nearest")
-    kept = rows.join(nearest, "bucket").where(~F.col("inside") | (F.col("far") >= F.col("nearest") - (1 - similar) - 1e-9))
-    kept = land(kept.select("bucket", "uid", "meets", "class"), "kept")
-    mixed = kept.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
-    return land(kept.join(land(mixed, "mixed"), "bucket").select("bucket", "uid", "meets"), "members")
-
-
-def classes_of(prepared: DataFrame, similar: float = SIMILAR, width: int = WIDTH, weighted: bool = False) -> DataFrame:
+    rows = many.drop("class", "size").join(roots.toDF("uid", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
+    firsts = led.where("_place = 1").select("bucket", "leader")
+    rows = rows.join(firsts, "bucket").withColumns({"a": F.least("leader", "uid"), "b": F.greatest("leader", "uid")})
+    rows = rows.join(tested, ["a", "b"], "left").withColumn("far", F.coalesce("far", 1 - F.col("similarity"), F.lit(0.0)))
+    rows = rows.join(led.select("bucket", F.col("leader").alias("uid")), ["bucket", "uid"], "left_anti")
+    rows = land(rows.select("bucket", "uid", "sketch", "meets", "class", "far"), "judged")
+    sizes = land(rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"), F.min("far").alias("low"), F.max("far").alias("high")), "class-sizes")
+    largest = land(sizes.groupBy("bucket").agg(F.max(F.struct("size", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1"), "largest")
+    outside = sizes.join(largest, "bucket").where("class != largest").groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    edges = land(largest.join(outside, "bucket").select("bucket", "largest", "low", "high"), "edges")
+    widest = 1 - similar + 1e-9
+    rows = rows.join(land(sizes.select("bucket", "class", "size"), "class-sizes"), ["bucket", "class"]).join(edges, "bucket")
+    reach = (F.col("class") != F.col("largest")) | F.col("far").between(F.col("low") - widest, F.col("high") + widest)
+    return land(rows.where(reach).select(*_MEMBER), "members")
+
+
+def classes_of(prepared: DataFrame, similar: float = SIMILAR, size: int = BANDS * ROWS, width: int = WIDTH, weighted: bool = False) -> DataFrame:
     """uid, doc_id, class_id and ``kept`` (true for one row of each class) of the landed ``signed`` rows.
 
     class_id is the least doc_id of the class.
     """
     same = land(prepared.where("form IS NOT NULL").groupBy("form").agg(F.min("uid").alias("one")), "forms")
     single = prepared.join(same.select(F.col("one").alias("uid")), "uid", "left_semi")
-    members = single.select("uid", F.explode("bands").alias("bucket"))
-    found = land(components(links(prepared, members, similar, width, weighted)), "classes")
+    members = single.select("uid", "sketch", F.explode("bands").alias("bucket")).select("bucket", "uid", "sketch")
+    found = land(components(links(prepared, members, similar, size, width, weighted)), "classes")
     classed = prepared.select("uid", "doc_id", "form").join(same, "form", "left").withColumn("one", F.coalesce("one", "uid"))
     classed = classed.join(found.toDF("one", "root"), "one", "left")
     classed = land(classed.select("uid", "doc_id", F.coalesce("root", "one").alias("root")), "classed")
@@ -262,7 +324,7 @@ def classes_of(prepared: DataFrame, similar: float = SIMILAR, width: int = WIDTH
 
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, weighted: bool = False) -> DataFrame:
     """uid, doc_id, class_id and kept of each row of ``docs``; uid numbers the rows."""
-    return classes_of(land(signed(docs, bands, rows, width, weighted), "signed"), similar, width, weighted)
+    return classes_of(land(signed(docs, bands, rows, width, weighted), "signed"), similar, bands * rows, width, weighted)
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
