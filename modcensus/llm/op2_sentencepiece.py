@@ -357,7 +357,7 @@ def scan(matrices: DataFrame, fan: int = FAN) -> DataFrame:
     return land(found.groupBy("uid", "block").applyInPandas(_settle, "uid LONG, place LONG, entry LONG, exit LONG"), "states")
 
 
-def encoded(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
+def encoded(docs: DataFrame, model: str, size: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(uid, doc_id, text_crc32, chunk, chunks, ids): a row for each chunk of each document.
 
     A document of fewer than ``size`` characters is one chunk; the others are landed in theirs.
@@ -370,7 +370,7 @@ def encoded(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
     whole = others.select((-1 - row).alias("uid"), *columns).mapInArrow(_encode(model), ROWS + ", ids BINARY")
     giant = land(giants.select(row.alias("uid"), *columns).mapInArrow(_cut(model, size), ROWS + ", text STRING, left INT"), "chunks")
     matrices = land(giant.mapInArrow(_transfer(model, size), "uid LONG, place LONG, pairs ARRAY<ARRAY<LONG>>"), "matrices")
-    states = scan(matrices).select("uid", F.col("place").cast("int").alias("chunk"), "entry", "exit")
+    states = scan(matrices, fan).select("uid", F.col("place").cast("int").alias("chunk"), "entry", "exit")
     traced = giant.join(states, ["uid", "chunk"]).mapInArrow(_retrace(model, size), ROWS + ", ids BINARY")
     return whole.unionByName(traced)
 
