@@ -8,7 +8,7 @@ Two sets agree in a coordinate with the probability of their weighted Jaccard si
 weighs every window 1, as its similarity is that of window sets.
 
 Signatures are cut into bands; texts with an equal band meet in a bucket. Texts with equal windows
-are one text from here on. Pairs whose sketches (two bits of each coordinate) differ too much are no
+are one text from here on. Pairs whose sketches (four bits of each coordinate) differ too much are no
 candidates. At first all pairs are made in the smallest buckets only. In the others the text that
 meets most others leads: it alone is checked against the others, and texts linked to it are in its
 class. Only what may still link different classes stays; then buckets of at most ``FEW`` are done
@@ -41,6 +41,7 @@ from modcensus.llm.vectext import lower_ascii, mix, portions, texts, uniform, wo
 WIDTH = 5
 SIMILAR = 0.8
 BANDS, ROWS = 36, 6
+LEADERS = 256  # times more leaders of a bucket in each round
 FIRST_FEW, FEW = 4, 128  # texts of a bucket whose pairs are all candidates, at first and later
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: chances of at most n darts in a cell of area 1
@@ -115,27 +116,28 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(signatures: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, 32 coordinates in a 64-bit integer."""
-    lanes = np.zeros((len(signatures), -(-signatures.shape[1] // 32) * 32), np.uint64)
-    lanes[:, : signatures.shape[1]] = signatures & np.uint64(3)
-    shifts = np.arange(0, 64, 2, dtype=np.uint64)
-    return (lanes.reshape(len(signatures), -1, 32) << shifts).sum(2, dtype=np.uint64)
+    """Four bits of each coordinate, 16 coordinates in a 64-bit integer."""
+    lanes = np.zeros((len(signatures), -(-signatures.shape[1] // 16) * 16), np.uint64)
+    lanes[:, : signatures.shape[1]] = signatures & np.uint64(15)
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
+    return (lanes.reshape(len(signatures), -1, 16) << shifts).sum(2, dtype=np.uint64)
 
 
 def most_differing(size: int, similar: float) -> int:
     """In how many coordinates the sketches of a link differ at most.
 
-    Two bits agree with the chance similarity + (1 - similarity) / 4; the bound is four standard
+    Four bits agree with the chance similarity + (1 - similarity) / 16; the bound is four standard
     errors beyond the mean of a link that is just similar enough.
     """
-    differ = (1 - similar) * 0.75
+    differ = (1 - similar) * 15 / 16
     return math.ceil(size * differ + 4 * math.sqrt(size * differ * (1 - differ)))
 
 
 def _near(x, y, limit: int) -> Column:
     """Whether two sketches differ in at most ``limit`` coordinates."""
     other = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
-    lanes = F.transform(other, lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    halves = F.transform(other, lambda d: d.bitwiseOR(F.shiftrightunsigned(d, 2)))
+    lanes = F.transform(halves, lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x1111111111111111))))
     return F.aggregate(lanes, F.lit(0), lambda total, d: total + d) <= limit
 
 
@@ -220,10 +222,12 @@ def _compare(width: int, weighted: bool):
     return read
 
 
-def _checked(pairs: DataFrame, prepared: DataFrame, width: int, weighted: bool) -> DataFrame:
-    """(a, b, similarity) of each pair, from the whole texts."""
-    text = prepared.select("uid", "text")
-    rows = pairs.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b")
+def _checked(pairs: DataFrame, texts_of: DataFrame, width: int, weighted: bool) -> DataFrame:
+    """(a, b, similarity) of each pair, from the whole texts.
+
+    The hints keep the plan the same at every size.
+    """
+    rows = pairs.join(texts_of.toDF("a", "text_a").hint("merge"), "a").join(texts_of.toDF("b", "text_b").hint("merge"), "b")
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(_compare(width, weighted), "a LONG, b LONG, similarity DOUBLE")
 
 
@@ -243,6 +247,8 @@ def links(prepared: DataFrame, members: DataFrame, similar: float, size: int, wi
     meets = land(rows.groupBy("uid").agg(F.sum("n").alias("meets")), "meets")
     rows = rows.join(meets, "uid").withColumn("class", F.col("uid")).withColumn("size", F.lit(1).cast("long"))
     rows = land(rows.withColumn("far", F.lit(None).cast("double")).select(*_MEMBER), "members")
+    # only the texts that meet another one are moved again
+    met_texts = land(prepared.select("uid", "text").join(meets.select("uid").hint("merge"), "uid", "left_semi"), "texts")
     tested = spark.createDataFrame([], "a LONG, b LONG, similarity DOUBLE")
     leaders, most = 1, FIRST_FEW
     while True:
@@ -261,11 +267,12 @@ def links(prepared: DataFrame, members: DataFrame, similar: float, size: int, wi
         met = first.where((F.col("class") != F.col("led_class")) & (F.col("uid") != F.col("led_uid")) & wanted)
         pairs = few.select(F.inline(_pairs("u", limit))).unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid")))).distinct()
         pairs = land(pairs, "pairs").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = land(tested.unionAll(_checked(pairs, prepared, width, weighted)), "tested")
-        if not many.head(1):
+        tested = land(tested.unionAll(_checked(pairs, met_texts, width, weighted)), "tested")
+        if many.head(1):
+            rows = _left_over(many, led.withColumnRenamed("led_uid", "leader"), tested, similar)
+        if not many.head(1) or not rows.head(1):
             return tested.where(F.col("similarity") >= similar).select("a", "b")
-        rows = _left_over(many, led.withColumnRenamed("led_uid", "leader"), tested, similar)
-        leaders, most = leaders * 16, FEW
+        leaders, most = leaders * LEADERS, FEW
 
 
 _MEMBER = ["bucket", "uid", "sketch", "meets", "class", "size", "far"]
