@@ -56,17 +56,21 @@ def _attached(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return files.attach_outcomes(_candidates(spark, folder), corpus.file_contents(spark, folder))
+
+
 # --- columns -------------------------------------------------------------------------
 
 
 def q_file_type(spark, folder):
     return corpus.tree_entries(spark, folder).select(
-        "full_name", "path", file_type(F.col("path")).alias("file_type")
+        "host", "full_name", "path", file_type(F.col("path")).alias("file_type")
     )
 
 
 def q_skip_dirs(spark, folder):
-    return files.outside_skipped_directories(corpus.tree_entries(spark, folder)).select("full_name", "path")
+    return files.outside_skipped_directories(corpus.tree_entries(spark, folder)).select("host", "full_name", "path")
 
 
 def q_source_type(spark, folder):
@@ -210,9 +214,10 @@ def q_github_repos(spark, folder):
 
 
 def q_gitlab_repos(spark, folder):
+    """The names of a listing, and of single lookups beside them, out of one parse."""
     rows = payloads.gitlab_payloads(corpus.gitlab_pages(spark, folder))
-    single = payloads.gitlab_repositories(rows, listing=False).select("list_pos", F.col("name").alias("single_name"))
-    return payloads.gitlab_repositories(rows).join(single, "list_pos")
+    listed = payloads.gitlab_repositories(rows.withColumn("_single", payloads.single_name()), carry=["_single"])
+    return listed.withColumnRenamed("_single", "single_name")
 
 
 def q_ownership(spark, folder):
@@ -227,23 +232,23 @@ def q_ownership(spark, folder):
 
 def q_repo_filter(spark, folder):
     return _listed(spark, folder, name_pattern=NAME_PATTERN, visibility="private").select(
-        "full_name", "list_pos", "provider", "archived", "private"
+        "host", "full_name", "list_pos", "provider", "archived", "private"
     )
 
 
 def q_repo_limit(spark, folder):
     """The first five per owner, then the public ones among them."""
     rows = _listed(spark, folder, name_pattern=NAME_PATTERN, visibility="public", max_repositories=5, per=["owner"])
-    return rows.select("owner", "full_name", "list_pos")
+    return rows.select("owner", "host", "full_name", "list_pos")
 
 
 def q_repo_limit_listing(spark, folder):
     rows = _listed(spark, folder, archived=True, max_repositories=50)
-    return rows.select("full_name", "list_pos", "archived")
+    return rows.select("host", "full_name", "list_pos", "archived")
 
 
 def q_repo_dedup(spark, folder):
-    return repositories.first_listed(corpus.repositories(spark, folder)).select("full_name", "list_pos")
+    return repositories.first_listed(corpus.repositories(spark, folder)).select("host", "full_name", "list_pos")
 
 
 def q_skip_counters(spark, folder):
@@ -259,8 +264,9 @@ def q_repo_exists(spark, folder):
         .when(F.col("c") % 11 == 10, " ")
         .otherwise(F.substring_index("full_name", "/", -1))
     )
-    listed = corpus.scan_inputs(spark, folder).selectExpr("c", f"{corpus.rules.REPO_FULL_NAME} AS full_name")
-    wanted = listed.select("c", F.substring_index("full_name", "/", 1).alias("owner"), name.alias("name"))
+    listed = corpus.scan_inputs(spark, folder).selectExpr("c", f"{corpus.rules.OWN_HOST} AS h")
+    listed = listed.selectExpr("c", f"{corpus.rules.REPO_HOST} AS host", f"{corpus.rules.REPO_FULL_NAME} AS full_name")
+    wanted = listed.select("c", "host", F.substring_index("full_name", "/", 1).alias("owner"), name.alias("name"))
     return repositories.repository_exists(wanted, corpus.repositories(spark, folder))
 
 
@@ -279,29 +285,29 @@ def q_target_header(spark, folder):
 def q_single_repo(spark, folder):
     """Repositories that the parsed targets select, whole owners and single ones."""
     rows = selected_repositories(q_scan_targets(spark, folder), corpus.repositories(spark, folder))
-    return rows.select("provider", "full_name", "list_pos")
+    return rows.select("provider", "host", "full_name", "list_pos")
 
 
 # --- files -------------------------------------------------------------------------------
 
 
 def q_tree_files(spark, folder):
-    return _candidates(spark, folder).select("file_type", "repository", "path", "url", "sha", "tree_pos")
+    return _candidates(spark, folder).select("file_type", "host", "repository", "path", "url", "sha", "tree_pos")
 
 
 def q_type_filter(spark, folder):
-    return files.keep_file_types(corpus.tree_entries(spark, folder), [TERRAGRUNT]).select("full_name", "path")
+    return files.keep_file_types(corpus.tree_entries(spark, folder), [TERRAGRUNT]).select("host", "full_name", "path")
 
 
 def q_path_patterns(spark, folder):
     rows = files.match_paths(
         corpus.tree_entries(spark, folder), include=[r"\.tf$", "env[12]/"], exclude=["node_modules", "svc.*9/"]
     )
-    return rows.select("full_name", "path")
+    return rows.select("host", "full_name", "path")
 
 
 def q_max_files(spark, folder):
-    return _candidates(spark, folder, max_files=3).select("repository", "path", "tree_pos")
+    return _candidates(spark, folder, max_files=3).select("host", "repository", "path", "tree_pos")
 
 
 def q_content_decode(spark, folder):
@@ -310,11 +316,26 @@ def q_content_decode(spark, folder):
 
 
 def q_partial_failures(spark, folder):
-    return files.fetch_errors(_attached(spark, folder))
+    return files.fetch_errors(_outcomes(spark, folder))
 
 
 def q_fetch_counts(spark, folder):
-    return files.fetch_counts(_attached(spark, folder))
+    return files.fetch_counts(_outcomes(spark, folder))
+
+
+def q_repo_failures(spark, folder):
+    listed, tree = _listed(spark, folder), corpus.tree_entries(spark, folder)
+    return files.repository_outcomes(listed, tree, _outcomes(spark, folder))
+
+
+def q_scan_totals(spark, folder):
+    return files.scan_totals(q_repo_failures(spark, folder))
+
+
+def q_target_limit(spark, folder):
+    """Repositories that the parsed targets select, at most two for each target that names an owner."""
+    rows = selected_repositories(q_scan_targets(spark, folder), corpus.repositories(spark, folder), max_repositories=2)
+    return rows.select("host", "full_name", "list_pos")
 
 
 def q_scan_owner(spark, folder):

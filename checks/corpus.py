@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import rules
+from modcensus.fixed import GITLAB_SELF_HOSTED
 from modcensus.functions.classify import file_type
 from modcensus.functions.links import blob_url
 from modcensus.runtime import land
@@ -62,6 +63,8 @@ def _landed(application: str, spark: SparkSession, folder: str) -> DataFrame:
         "c",
         "pos AS tree_pos",
         f"{rules.REPO_FULL_NAME} AS full_name",
+        f"{rules.OWN_HOST} AS h",
+        f"{rules.TWIN_HOST} AS twin",
         "path",
         f"{text} AS content",
     )
@@ -101,28 +104,44 @@ def _customers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").selectExpr("c_custkey AS c")
 
 
-def _pages(spark: SparkSession, folder: str, condition: str, body: str) -> DataFrame:
-    """One-payload pages in listing order; every 13th payload is listed again at the end."""
-    again = "CASE WHEN c % 13 = 0 THEN array(0L, 1000000L) ELSE array(0L) END"
+def _pages(spark: SparkSession, folder: str, host: str, body: str) -> DataFrame:
+    """One-payload pages of a host in listing order; every 13th payload is listed again at the end."""
+    again = f"CASE WHEN c % 13 = 0 THEN array(0L, {rules.AGAIN}L) ELSE array(0L) END"
+    own = f"struct({rules.OWN_HOST} AS h, 0L AS after)"
+    twin = f"struct({rules.TWIN_HOST} AS h, {rules.TWIN_PAGES}L AS after)"
     return (
         _customers(spark, folder)
-        .where(condition)
         .selectExpr("c", f"explode({again}) AS again")
-        .selectExpr("c + again AS page", f"{body} AS body")
+        .selectExpr("c", "again", f"inline(array({own}, {twin}))")
+        .where(f"h = '{host}'")
+        .selectExpr("c + again + after AS page", f"{body} AS body")
     )
 
 
 def github_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder, rules.IS_GITHUB, rules.GITHUB_PAGE)
+    return _pages(spark, folder, "github", rules.GITHUB_PAGE)
 
 
-def gitlab_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder, f"NOT {rules.IS_GITHUB}", rules.GITLAB_PAGE)
+def gitlab_pages(spark: SparkSession, folder: str, host: str = "gitlab") -> DataFrame:
+    return _pages(spark, folder, host, rules.GITLAB_PAGE)
 
 
 def repositories(spark: SparkSession, folder: str) -> DataFrame:
+    """The listings of three hosts."""
     github = github_repositories(github_payloads(github_pages(spark, folder)))
-    return github.unionByName(gitlab_repositories(gitlab_payloads(gitlab_pages(spark, folder))))
+    gitlab = gitlab_repositories(gitlab_payloads(gitlab_pages(spark, folder)))
+    self_hosted = gitlab_payloads(gitlab_pages(spark, folder, "self"))
+    return github.unionByName(gitlab).unionByName(
+        gitlab_repositories(self_hosted, provider=GITLAB_SELF_HOSTED, host=rules.SELF_HOST)
+    )
+
+
+def _on_hosts(rows: DataFrame) -> DataFrame:
+    """Files on their own host, and the twin's part of them; ``is_twin`` tells them apart."""
+    own = "struct(h AS on, false AS is_twin)"
+    twin = f"struct(CASE WHEN {rules.TWIN_HAS} THEN twin END AS on, true AS is_twin)"
+    placed = rows.selectExpr("*", f"inline(array({own}, {twin}))").where("on IS NOT NULL").drop("h")
+    return placed.withColumnRenamed("on", "h").withColumn("host", F.expr(rules.REPO_HOST))
 
 
 def tree_entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,8 +150,10 @@ def tree_entries(spark: SparkSession, folder: str) -> DataFrame:
         for i, (condition, path, kind) in enumerate(rules.EXTRAS)
     )
     entries = f"filter(array(struct(path, 'blob' AS entry_type, 0L AS at), {extras}), e -> e IS NOT NULL)"
-    rows = files(spark, folder).selectExpr("o", "full_name", "tree_pos", f"inline({entries})")
+    landed = _on_hosts(files(spark, folder).where(rules.HAS_TREE))
+    rows = landed.selectExpr("o", "host", "full_name", "tree_pos", f"inline({entries})")
     return rows.selectExpr(
+        "host",
         "full_name",
         "path",
         "entry_type",
@@ -146,9 +167,10 @@ def tree_entries(spark: SparkSession, folder: str) -> DataFrame:
 def _landed_contents(application: str, spark: SparkSession, folder: str) -> DataFrame:
     encoded = "base64(content)"
     rows = (
-        files(spark, folder)
-        .where(rules.IS_LANDED)
+        _on_hosts(files(spark, folder).where(rules.IS_LANDED))
+        .where(f"NOT is_twin OR {rules.TWIN_IS_LANDED}")
         .selectExpr(
+            "host",
             "full_name",
             "path",
             f"CASE WHEN {rules.IS_PLAIN} THEN 'text' ELSE 'base64' END AS encoding",

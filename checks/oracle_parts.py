@@ -16,9 +16,9 @@ SEEDS = f"""seeds AS (
 FILES = f"""{SEEDS},
 files AS (
   SELECT o, c, pos AS tree_pos, {rules.REPO_FULL_NAME} AS repository, path,
-    CASE WHEN tg THEN 'terragrunt' ELSE 'terraform' END AS file_type, {rules.FILE_URL} AS url,
+    CASE WHEN tg THEN 'terragrunt' ELSE 'terraform' END AS file_type, {rules.FILE_URL} AS url, h, twin,
     head || array_to_string(list_transform(generate_series(1, blocks), lambda k: {rules.GLUED_BLOCK}), '') || tail AS content
-  FROM seeds)"""
+  FROM (SELECT *, {rules.OWN_HOST} AS h, {rules.TWIN_HOST} AS twin FROM seeds))"""
 
 
 def _trim(text: str) -> str:

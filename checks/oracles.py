@@ -27,50 +27,68 @@ def percent_sql(n: str, total: str) -> str:
 
 
 REPOS = f"""listed AS (
-  SELECT c_custkey AS c, unnest(CASE WHEN c_custkey % 13 = 0 THEN [0, 1000000] ELSE [0] END) AS again FROM customer),
+  SELECT c_custkey AS c, unnest(CASE WHEN c_custkey % 13 = 0 THEN [0::BIGINT, {rules.AGAIN}] ELSE [0::BIGINT] END) AS again FROM customer),
+hosted AS (
+  SELECT c, again, {rules.OWN_HOST} AS h FROM listed
+  UNION ALL SELECT c, again + {rules.TWIN_PAGES}, {rules.TWIN_HOST} FROM listed WHERE {rules.TWIN_HOST} IS NOT NULL),
 repos AS (
-  SELECT c, {rules.REPO_PROVIDER} AS provider, (c + again) * 100 AS list_pos, {rules.REPO_NAMESPACE} AS owner,
+  SELECT c, h, {rules.REPO_PROVIDER} AS provider, {rules.REPO_HOST} AS host, (c + again) * 100 AS list_pos, {rules.REPO_NAMESPACE} AS owner,
     {rules.REPO_NAME} AS name, {rules.REPO_FULL_NAME} AS full_name, coalesce({rules.REPO_BRANCH}, 'main') AS default_branch,
     {rules.REPO_ARCHIVED} AS archived, {rules.REPO_VISIBILITY} <> 'public' AS private,
     {rules.REPO_URL} AS url, {rules.REPO_URL} || '.git' AS clone_url
-  FROM listed),
+  FROM hosted),
 firsts AS (
-  SELECT * FROM repos QUALIFY row_number() OVER (PARTITION BY full_name ORDER BY list_pos) = 1),
+  SELECT * FROM repos QUALIFY row_number() OVER (PARTITION BY host, full_name ORDER BY list_pos) = 1),
 kept AS (SELECT * FROM firsts WHERE NOT archived)"""
 
 FILE_TYPE = """CASE
     WHEN regexp_matches(path, '\\.(tf|tfvars)$') OR regexp_matches(path, '(^|/)\\.terraform\\.lock\\.hcl$') THEN 'terraform'
     WHEN regexp_matches(path, '\\.hcl$') AND NOT regexp_matches(path, '\\.terraform\\.lock[^/]*$') THEN 'terragrunt' END"""
 
-_TREE = f"""tree AS (
-  SELECT repository AS full_name, c, o, path, 'blob' AS entry_type, tree_pos FROM files
+_TREE = f"""landed AS (
+  SELECT *, {rules.REPO_HOST} AS host FROM (
+    SELECT o, c, h, false AS is_twin, repository, path, tree_pos, content FROM files
+    UNION ALL SELECT o, c, twin, true, repository, path, tree_pos, content FROM files WHERE twin IS NOT NULL AND {rules.TWIN_HAS})
+  WHERE {rules.HAS_TREE}),
+tree AS (
+  SELECT host, is_twin, repository AS full_name, c, o, path, 'blob' AS entry_type, tree_pos FROM landed
   {" ".join(
-      f"UNION ALL SELECT repository, c, o, {path}, '{kind}', tree_pos + {i + 1} FROM files WHERE {condition}"
+      f"UNION ALL SELECT host, is_twin, repository, c, o, {path}, '{kind}', tree_pos + {i + 1} FROM landed WHERE {condition}"
       for i, (condition, path, kind) in enumerate(rules.EXTRAS)
   )})"""
 TREE = f"{FILES}, {_TREE}"
 
 _CANDIDATES = f"""{_TREE}, {REPOS},
 candidates AS (
-  SELECT {FILE_TYPE} AS file_type, t.full_name AS repository, t.path, t.o,
+  SELECT {FILE_TYPE} AS file_type, t.host, t.is_twin, t.full_name AS repository, t.path, t.o,
     CASE WHEN r.provider = 'github' THEN 'https://github.com/' || t.full_name || '/blob/' || r.default_branch || '/' || t.path
       ELSE r.url || '/-/blob/' || r.default_branch || '/' || t.path END AS url,
     CASE WHEN {rules.HAS_SHA} THEN md5(t.path) END AS sha, r.provider, t.tree_pos
-  FROM tree t JOIN kept r ON t.full_name = r.full_name
+  FROM tree t JOIN kept r ON t.full_name = r.full_name AND t.host = r.host
   WHERE t.entry_type = 'blob' AND {FILE_TYPE} IS NOT NULL
-    AND (r.provider = 'gitlab' OR {rules.HAS_SHA}))"""
+    AND (r.provider <> 'github' OR {rules.HAS_SHA}))"""
 CANDIDATES = f"{FILES}, {_CANDIDATES}"
 
 # what a fetch gives: GitHub takes base64 only, GitLab also plain text
 _ATTACHED = f"""{_CANDIDATES},
 attached AS (
   SELECT k.*, f.content,
-    CASE WHEN f.path IS NULL OR NOT {rules.IS_LANDED.replace("o %", "k.o %")} THEN 'No content was landed for this file'
+    CASE WHEN f.path IS NULL OR NOT {rules.IS_LANDED.replace("o %", "k.o %")}
+        OR (k.is_twin AND NOT {rules.TWIN_IS_LANDED.replace("o %", "k.o %")}) THEN 'No content was landed for this file'
       WHEN {rules.IS_EMPTY_RESPONSE.replace("o %", "k.o %")} OR ({rules.IS_PLAIN.replace("o %", "k.o %")} AND k.provider = 'github')
       THEN 'Unexpected response format from ' || CASE k.provider WHEN 'github' THEN 'GitHub' ELSE 'GitLab' END || ' API'
     END AS error
   FROM candidates k LEFT JOIN files f ON k.repository = f.repository AND k.path = f.path)"""
 ATTACHED = f"{FILES}, {_ATTACHED}"
+OUTCOMES = f"""{ATTACHED},
+outcomes AS (
+  SELECT k.host, k.full_name AS repository, any_value(k.provider) AS provider,
+    CASE WHEN any_value(t.host) IS NULL THEN 'error' ELSE 'success' END AS status,
+    CASE WHEN any_value(t.host) IS NULL THEN 'No file tree was landed for this repository' END AS error,
+    count(*) FILTER (a.path IS NOT NULL AND a.error IS NULL) AS success_count, count(*) FILTER (a.error IS NOT NULL) AS error_count
+  FROM kept k LEFT JOIN (SELECT DISTINCT host, full_name FROM tree) t ON k.host = t.host AND k.full_name = t.full_name
+    LEFT JOIN attached a ON a.host = k.host AND a.repository = k.full_name
+  GROUP BY k.host, k.full_name)"""
 
 USAGE = f"""{CALLS},
 usage AS (SELECT type, source, version, count(*) AS n FROM calls GROUP BY ALL)"""
@@ -153,7 +171,8 @@ parsed AS (
   SELECT c, original_input, unnest(CASE c % 20
     WHEN 0 THEN {_target("'github'", _OWNER)}
     WHEN 1 THEN {_target("'github'", _OWNER, _NAME)}
-    WHEN 2 THEN {_target("'gitlab-self-hosted'", _OWNER, "'a/b'", "'https://git' || c || '.acme.io:8443'")}
+    WHEN 2 THEN {_target("'gitlab-self-hosted'", _OWNER, "CASE WHEN c % 3 = 0 THEN NULL ELSE 'a/b' END",
+        f"CASE WHEN c % 3 = 0 THEN '{rules.SELF_HOST}' ELSE 'https://git' || c || '.acme.io:8443' END")}
     WHEN 3 THEN {_target("'local'", "'/work/base/y' || c")}
     WHEN 4 THEN {_target_error(f"""'Invalid source format: "' || {_OWNER} || '". Expected format: platform:identifier (e.g., github:myorg, local:/path/to/dir)'""")}
     WHEN 5 THEN {_target_error(_UNSUPPORTED)}
@@ -188,8 +207,8 @@ judged AS (
   FROM failed)"""
 
 ORACLES = {
-    "q_file_type": f"WITH {TREE} SELECT full_name, path, {FILE_TYPE} AS file_type FROM tree",
-    "q_skip_dirs": f"""WITH {TREE} SELECT full_name, path FROM tree
+    "q_file_type": f"WITH {TREE} SELECT host, full_name, path, {FILE_TYPE} AS file_type FROM tree",
+    "q_skip_dirs": f"""WITH {TREE} SELECT host, full_name, path FROM tree
         WHERE NOT list_bool_or(list_concat([false], list_transform(string_split(path, '/')[:-2], lambda d: starts_with(d, '.')
           OR d IN ('node_modules', 'dist', 'build', 'target', '__pycache__'))))""",
     "q_source_type": f"""WITH {CALLS} SELECT source, {source_type_sql("source")} AS source_type, count(*) AS n
@@ -284,31 +303,31 @@ ORACLES = {
             || {percent_sql("n", "(SELECT count(*) FROM calls)")} || '%)' FROM file_kinds)
         SELECT section, source, row_number() OVER (ORDER BY section, source COLLATE en_us, source, rank,
           version COLLATE en_us, version) AS line_no, text FROM lines""",
-    "q_github_repos": f"""WITH {REPOS} SELECT provider, list_pos, owner, name, full_name, default_branch, archived, private, url,
+    "q_github_repos": f"""WITH {REPOS} SELECT provider, host, list_pos, owner, name, full_name, default_branch, archived, private, url,
         clone_url FROM repos WHERE provider = 'github'""",
-    "q_gitlab_repos": f"""WITH {REPOS} SELECT provider, list_pos, owner, name, name AS single_name, full_name, default_branch,
+    "q_gitlab_repos": f"""WITH {REPOS} SELECT provider, host, list_pos, owner, name, name AS single_name, full_name, default_branch,
         archived, private, url, clone_url FROM repos WHERE provider = 'gitlab'""",
     "q_ownership": f"""WITH {REPOS}, projects AS (SELECT * FROM repos WHERE provider = 'gitlab'),
         owners AS (SELECT DISTINCT owner, length(owner) % 2 = 0 AS is_group FROM (
           SELECT owner FROM projects UNION ALL SELECT string_split(full_name, '/')[1] FROM projects))
         SELECT list_pos, o.owner, is_group, full_name AS path_with_namespace FROM projects p JOIN owners o
           ON p.owner = o.owner OR (is_group AND starts_with(full_name, o.owner || '/'))""",
-    "q_repo_filter": f"""WITH {REPOS} SELECT full_name, list_pos, provider, archived, private FROM kept
+    "q_repo_filter": f"""WITH {REPOS} SELECT host, full_name, list_pos, provider, archived, private FROM kept
         WHERE {NAME_PATTERN} AND private""",
     "q_repo_limit": f"""WITH {REPOS}, limited AS (SELECT * FROM kept WHERE {NAME_PATTERN}
         QUALIFY row_number() OVER (PARTITION BY owner ORDER BY list_pos) <= 5)
-        SELECT owner, full_name, list_pos FROM limited WHERE NOT private""",
-    "q_repo_limit_listing": f"WITH {REPOS} SELECT full_name, list_pos, archived FROM firsts ORDER BY list_pos LIMIT 50",
-    "q_repo_dedup": f"WITH {REPOS} SELECT full_name, list_pos FROM firsts",
+        SELECT owner, host, full_name, list_pos FROM limited WHERE NOT private""",
+    "q_repo_limit_listing": f"WITH {REPOS} SELECT host, full_name, list_pos, archived FROM firsts ORDER BY list_pos LIMIT 50",
+    "q_repo_dedup": f"WITH {REPOS} SELECT host, full_name, list_pos FROM firsts",
     "q_skip_counters": f"""WITH {REPOS}, judged AS (
-          SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY list_pos) > 1 AS is_duplicate FROM repos)
+          SELECT *, row_number() OVER (PARTITION BY host, owner, full_name ORDER BY list_pos) > 1 AS is_duplicate FROM repos)
         SELECT owner, count(*) FILTER (NOT is_duplicate AND NOT archived AND {NAME_PATTERN}) AS kept,
           count(*) FILTER (NOT is_duplicate AND archived) AS skipped_archived,
           count(*) FILTER (NOT is_duplicate AND NOT archived AND NOT {NAME_PATTERN}) AS skipped_pattern,
           count(*) FILTER (is_duplicate) AS duplicates FROM judged GROUP BY owner""",
     "q_repo_exists": f"""WITH {REPOS}, wanted AS (
-          SELECT c_custkey AS c FROM customer)
-        SELECT c, {rules.REPO_OWNER} AS owner,
+          SELECT c, {rules.OWN_HOST} AS h FROM (SELECT c_custkey AS c FROM customer))
+        SELECT c, {rules.REPO_HOST} AS host, {rules.REPO_OWNER} AS owner,
           CASE WHEN c % 6 = 5 THEN 'missing' WHEN c % 11 = 10 THEN ' ' ELSE {rules.REPO_NAME} END AS name,
           CASE WHEN c % 6 = 5 THEN false WHEN c % 11 = 10 THEN NULL WHEN {rules.REPO_ARCHIVED} THEN NULL ELSE true END AS found,
           CASE WHEN c % 6 <> 5 AND c % 11 = 10 THEN 'Repository name is required and must be a non-empty string' END AS error
@@ -323,25 +342,38 @@ ORACLES = {
           WHEN nullif(repository, '') IS NOT NULL THEN 'Single repository: ' || repository
           WHEN platform IS NOT NULL THEN 'All repositories in ' || identifier END AS scope FROM parsed""",
     "q_single_repo": f"""WITH {TARGETS}, {REPOS}, wanted AS (
-          SELECT replace(platform, '-self-hosted', '') AS provider, identifier, nullif(repository, '') AS repository
-          FROM parsed WHERE platform IS NOT NULL)
-        SELECT DISTINCT k.provider, k.full_name, k.list_pos FROM kept k JOIN wanted w ON k.provider = w.provider
+          SELECT coalesce(host, CASE platform WHEN 'github' THEN 'https://github.com' WHEN 'gitlab' THEN 'https://gitlab.com' END) AS host,
+            identifier, nullif(repository, '') AS repository FROM parsed WHERE platform IS NOT NULL)
+        SELECT DISTINCT k.provider, k.host, k.full_name, k.list_pos FROM kept k JOIN wanted w ON k.host = w.host
           AND CASE WHEN w.repository IS NULL
-            THEN k.owner = w.identifier OR (k.provider = 'gitlab' AND starts_with(k.full_name, w.identifier || '/'))
+            THEN k.owner = w.identifier OR (k.provider <> 'github' AND starts_with(k.full_name, w.identifier || '/'))
             ELSE k.full_name = w.identifier || '/' || w.repository END""",
-    "q_tree_files": f"WITH {CANDIDATES} SELECT file_type, repository, path, url, sha, tree_pos FROM candidates",
-    "q_type_filter": f"WITH {TREE} SELECT full_name, path FROM tree WHERE {FILE_TYPE} = 'terragrunt'",
-    "q_path_patterns": f"""WITH {TREE} SELECT full_name, path FROM tree
+    "q_target_limit": f"""WITH {TARGETS}, {REPOS}, wanted AS (
+          SELECT DISTINCT coalesce(host, CASE platform WHEN 'github' THEN 'https://github.com' WHEN 'gitlab' THEN 'https://gitlab.com' END) AS host,
+            identifier, nullif(repository, '') AS repository FROM parsed WHERE platform IS NOT NULL),
+        owned AS (SELECT k.*, w.identifier FROM kept k JOIN wanted w ON k.host = w.host AND w.repository IS NULL
+            AND (k.owner = w.identifier OR (k.provider <> 'github' AND starts_with(k.full_name, w.identifier || '/')))
+          QUALIFY row_number() OVER (PARTITION BY w.host, w.identifier ORDER BY list_pos) <= 2)
+        SELECT host, full_name, list_pos FROM owned UNION
+        SELECT k.host, k.full_name, k.list_pos FROM kept k JOIN wanted w ON k.host = w.host
+          AND k.full_name = w.identifier || '/' || w.repository""",
+    "q_tree_files": f"WITH {CANDIDATES} SELECT file_type, host, repository, path, url, sha, tree_pos FROM candidates",
+    "q_type_filter": f"WITH {TREE} SELECT host, full_name, path FROM tree WHERE {FILE_TYPE} = 'terragrunt'",
+    "q_path_patterns": f"""WITH {TREE} SELECT host, full_name, path FROM tree
         WHERE regexp_matches(path, '\\.tf$|env[12]/') AND NOT regexp_matches(path, 'node_modules|svc.*9/')""",
-    "q_max_files": f"""WITH {CANDIDATES} SELECT repository, path, tree_pos FROM candidates
-        QUALIFY row_number() OVER (PARTITION BY repository ORDER BY tree_pos) <= 3""",
+    "q_max_files": f"""WITH {CANDIDATES} SELECT host, repository, path, tree_pos FROM candidates
+        QUALIFY row_number() OVER (PARTITION BY host, repository ORDER BY tree_pos) <= 3""",
     "q_content_decode": f"""WITH {ATTACHED} SELECT file_type, repository, path, md5(content) AS content_md5
         FROM attached WHERE error IS NULL""",
-    "q_partial_failures": f"WITH {ATTACHED} SELECT repository, path, provider, error FROM attached WHERE error IS NOT NULL",
-    "q_fetch_counts": f"""WITH {ATTACHED} SELECT repository, count(*) FILTER (error IS NULL) AS success_count,
-        count(*) FILTER (error IS NOT NULL) AS error_count FROM attached GROUP BY repository""",
+    "q_partial_failures": f"WITH {ATTACHED} SELECT host, repository, path, provider, error FROM attached WHERE error IS NOT NULL",
+    "q_fetch_counts": f"""WITH {ATTACHED} SELECT host, repository, count(*) FILTER (error IS NULL) AS success_count,
+        count(*) FILTER (error IS NOT NULL) AS error_count FROM attached GROUP BY host, repository""",
+    "q_repo_failures": f"WITH {OUTCOMES} SELECT * FROM outcomes",
+    "q_scan_totals": f"""WITH {OUTCOMES} SELECT count(*) FILTER (status = 'success') AS repository_successes,
+        count(*) FILTER (status = 'error') AS repository_errors, sum(success_count)::BIGINT AS file_successes,
+        sum(error_count)::BIGINT AS file_errors FROM outcomes""",
     "q_scan_owner": f"""WITH {CALLS}, {_ATTACHED}
-        SELECT calls.* FROM calls JOIN attached a ON calls.repository = a.repository AND calls.file_path = a.path
+        SELECT calls.* REPLACE (a.url AS file_url) FROM calls JOIN attached a ON calls.repository = a.repository AND calls.file_path = a.path
         WHERE a.error IS NULL""",
     "q_fetch_errors": f"""WITH {LOG} SELECT event_id, platform, operation, status, error_type, retryable, retryable AS is_retryable,
         known AND coalesce(status = 404, false) AS not_found, known AND coalesce(status = 429, false) AS rate_limited,

@@ -94,30 +94,33 @@ DOCUMENT_PATH = """(CASE doc_id % 3
 DOCUMENT_IS_TERRAGRUNT = "(doc_id % 3 <> 1)"
 DOCUMENT_BLOCKS = "(2 + doc_id % 2)"
 
-# repositories: one per customer number
+# repositories: one per customer number on its own host (column h), and for every fifth one of the same
+# full name on another host
+OWN_HOST = "(CASE WHEN c % 2 = 0 THEN 'github' WHEN c % 6 = 1 THEN 'self' ELSE 'gitlab' END)"
+TWIN_HOST = "(CASE WHEN c % 5 <> 0 THEN NULL WHEN c % 2 = 1 THEN 'github' WHEN c % 3 = 0 THEN 'self' ELSE 'gitlab' END)"
 REPO_OWNER = "('org' || (c % 25))"
 # namespace of a repository: some GitLab projects lie in a subgroup of their owner
-REPO_NAMESPACE = f"(CASE WHEN c % 18 = 1 THEN 'team' || (c % 3) ELSE {REPO_OWNER} END)"
+REPO_NAMESPACE = f"(CASE WHEN c % 18 = 1 AND h <> 'github' THEN 'team' || (c % 3) ELSE {REPO_OWNER} END)"
 REPO_NAME = """(CASE c % 4
     WHEN 0 THEN 'infra-' || c
     WHEN 1 THEN 'app-' || c
     WHEN 2 THEN 'Platform_' || c
     ELSE 'live.' || c END)"""
 REPO_FULL_NAME = f"({REPO_OWNER} || '/' || {REPO_NAME})"
-REPO_PROVIDER = "(CASE WHEN c % 2 = 0 THEN 'github' ELSE 'gitlab' END)"
+REPO_PROVIDER = "(CASE h WHEN 'github' THEN 'github' WHEN 'self' THEN 'gitlab-self-hosted' ELSE 'gitlab' END)"
+SELF_HOST = "https://gitlab.example.com"
+REPO_HOST = f"(CASE h WHEN 'github' THEN 'https://github.com' WHEN 'self' THEN '{SELF_HOST}' ELSE 'https://gitlab.com' END)"
 REPO_ARCHIVED = "(c % 10 = 0)"
 # only a GitLab payload may lack its default branch
-REPO_BRANCH = "(CASE WHEN c % 7 = 0 AND c % 2 = 1 THEN NULL WHEN c % 5 = 1 THEN 'master' ELSE 'main' END)"
+REPO_BRANCH = "(CASE WHEN c % 7 = 0 AND h <> 'github' THEN NULL WHEN c % 5 = 1 THEN 'master' ELSE 'main' END)"
 REPO_VISIBILITY = "(CASE c % 3 WHEN 0 THEN 'private' WHEN 1 THEN 'public' ELSE 'internal' END)"
-REPO_URL = (
-    f"((CASE WHEN c % 2 = 0 THEN 'https://github.com/' ELSE 'https://gitlab.example.com/' END) || {REPO_FULL_NAME})"
-)
-FILE_URL = f"""(CASE WHEN c % 2 = 0
+REPO_URL = f"({REPO_HOST} || '/' || {REPO_FULL_NAME})"
+FILE_URL = f"""(CASE WHEN h = 'github'
     THEN 'https://github.com/' || {REPO_FULL_NAME} || '/blob/' || {REPO_BRANCH} || '/' || path
     ELSE {REPO_URL} || '/-/blob/' || coalesce({REPO_BRANCH}, 'main') || '/' || path END)"""
 
-# listings: every customer number is a repository; some are listed a second time
-IS_GITHUB = "(c % 2 = 0)"
+# listings: some repositories are listed a second time; pages of twins come after all others
+AGAIN, TWIN_PAGES = 1_000_000_000, 2_000_000_000
 GITHUB_PAGE = f"""('[{{"name":"' || {REPO_NAME} || '","full_name":"' || {REPO_FULL_NAME} || '","default_branch":"' || {REPO_BRANCH}
     || '","archived":' || (CASE WHEN {REPO_ARCHIVED} THEN 'true' ELSE 'false' END)
     || ',"private":' || (CASE WHEN {REPO_VISIBILITY} = 'public' THEN 'false' ELSE 'true' END)
@@ -139,6 +142,10 @@ EXTRAS = [  # (condition, path, entry type)
     ("o % 25 = 0", f"{EXTRA_FOLDER} || '/.cache/y.hcl'", "blob"),
 ]
 HAS_SHA = "(o % 37 <> 0)"
+# what a twin has of the files, and what of that was landed; some repositories have no landed tree
+TWIN_HAS = "(o % 3 = 0)"
+TWIN_IS_LANDED = "(o % 2 = 0)"
+HAS_TREE = "(c % 8 <> 3)"
 
 # landed contents: some failed, some plain, some without text
 IS_LANDED = "(o % 29 <> 0)"
@@ -149,7 +156,7 @@ IS_EMPTY_RESPONSE = "(o % 41 = 0)"
 TARGET = f"""(CASE c % 20
     WHEN 0 THEN 'github:' || {REPO_OWNER}
     WHEN 1 THEN 'GH:' || {REPO_FULL_NAME}
-    WHEN 2 THEN 'gitlab://git' || c || '.acme.io:8443/' || {REPO_OWNER} || '/a/b'
+    WHEN 2 THEN 'gitlab://' || (CASE WHEN c % 3 = 0 THEN 'gitlab.example.com/' || {REPO_OWNER} ELSE 'git' || c || '.acme.io:8443/' || {REPO_OWNER} || '/a/b' END)
     WHEN 3 THEN 'local:./x/../y' || c
     WHEN 4 THEN {REPO_OWNER}
     WHEN 5 THEN 'SVN:' || {REPO_OWNER}

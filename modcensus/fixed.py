@@ -71,6 +71,7 @@ PLATFORM_ALIASES = {
 
 GITHUB_PLATFORMS = [GITHUB, GITHUB_SELF_HOSTED]
 GITLAB_PLATFORMS = [GITLAB, GITLAB_SELF_HOSTED]
+PUBLIC_HOSTS = {GITHUB: "https://github.com", GITLAB: "https://gitlab.com"}
 SCANNABLE_PLATFORMS = GITHUB_PLATFORMS + GITLAB_PLATFORMS
 
 # --- fixed values: error classes by response status ------------------------------

@@ -22,6 +22,8 @@ from modcensus.operators.limits import first_per_group
 from modcensus.runtime import evaluated
 
 NO_CONTENT = "No content was landed for this file"
+NO_TREE = "No file tree was landed for this repository"
+FILE_KEY = ["host", "repository", "path"]
 
 
 def in_skipped_directory(path: Column) -> Column:
@@ -57,7 +59,7 @@ def first_files(rows: DataFrame, n: int | None) -> DataFrame:
     """First ``n`` files of every repository in tree order; no limit when ``n`` is None or 0."""
     if not n:
         return rows
-    return first_per_group(rows, ["repository"], [F.col("tree_pos")], n, spread="path")
+    return first_per_group(rows, ["host", "repository"], [F.col("tree_pos")], n, spread=["path"])
 
 
 def candidate_files(
@@ -71,7 +73,7 @@ def candidate_files(
     """Files of the given repositories whose content a scan needs.
 
     All tests on the entry come before the join, which spreads a repository with very many
-    entries. ``repositories`` has one row per full name, as listings have.
+    entries. ``repositories`` has one row per (host, full name), as listings have.
     """
     entries = tree.where((F.col("entry_type") == "blob") & (F.col("path") != ""))
     types = FILE_TYPES if file_types is None else file_types
@@ -81,9 +83,9 @@ def candidate_files(
         join_single(
             entries,
             repositories.select(
-                "full_name", "provider", "list_pos", "default_branch", F.col("url").alias("_repository_url")
+                "host", "full_name", "provider", "list_pos", "default_branch", F.col("url").alias("_repository_url")
             ),
-            ["full_name"],
+            ["host", "full_name"],
             "inner",
             spread=["path"],
         )
@@ -97,6 +99,7 @@ def candidate_files(
             ).alias("url"),
             "sha",
             "provider",
+            "host",
             "list_pos",
             "tree_pos",
         )
@@ -128,19 +131,38 @@ def attach_contents(candidates: DataFrame, contents: DataFrame) -> DataFrame:
     """Candidates with ``content``, or with ``error`` where it is missing or malformed.
 
     One failed file never stops the others. The same path test runs on the contents before
-    the join, so that only IaC files are shuffled; the key (repository, path) is unique.
+    the join, so that only IaC files are shuffled; the key (host, repository, path) is unique.
+    Use ``attach_outcomes`` where the text is not wanted.
     """
-    landed = contents.where(file_type(F.col("path")).isNotNull()).select(
-        F.col("full_name").alias("repository"), "path", "encoding", F.col("content").alias("_raw"),
-        F.lit(True).alias("_landed"),
-    )
+    rows = candidates.join(_landed(contents, F.col("content").alias("_raw")), FILE_KEY, "left")
     text = decoded_content(F.col("provider"), F.col("encoding"), F.col("_raw"))
-    rows = evaluated(candidates.join(landed, ["repository", "path"], "left"), content=text)
-    error = F.when(F.col("_landed").isNull(), NO_CONTENT).when(
-        F.col("content").isNull(),
-        F.when(F.col("provider").isin(GITHUB_PLATFORMS), BAD_GITHUB_CONTENT).otherwise(BAD_GITLAB_CONTENT),
+    has_text = _has_text(F.col("_raw").isNotNull())
+    return _with_error(evaluated(rows, content=F.when(has_text, text)), has_text).drop("encoding", "_raw", "_landed")
+
+
+def attach_outcomes(candidates: DataFrame, contents: DataFrame) -> DataFrame:
+    """Candidates with ``error`` only: contents are reduced to flags where they are read.
+
+    Nothing is decoded, and no text crosses the network.
+    """
+    rows = candidates.join(_landed(contents, F.col("content").isNotNull().alias("_filled")), FILE_KEY, "left")
+    return _with_error(rows, _has_text(F.col("_filled"))).drop("encoding", "_filled", "_landed")
+
+
+def _landed(contents: DataFrame, value: Column) -> DataFrame:
+    return contents.where(file_type(F.col("path")).isNotNull()).select(
+        "host", F.col("full_name").alias("repository"), "path", "encoding", value, F.lit(True).alias("_landed")
     )
-    return rows.withColumn("error", error).drop("encoding", "_raw", "_landed")
+
+
+def _has_text(filled: Column) -> Column:
+    """Whether a response has a shape that its provider documents: GitHub sends base64 only."""
+    return filled & (~F.col("provider").isin(GITHUB_PLATFORMS) | F.col("encoding").eqNullSafe("base64"))
+
+
+def _with_error(rows: DataFrame, has_text: Column) -> DataFrame:
+    bad = F.when(F.col("provider").isin(GITHUB_PLATFORMS), BAD_GITHUB_CONTENT).otherwise(BAD_GITLAB_CONTENT)
+    return rows.withColumn("error", F.when(F.col("_landed").isNull(), NO_CONTENT).when(~has_text, bad))
 
 
 def fetched_files(attached: DataFrame) -> DataFrame:
@@ -151,17 +173,51 @@ def fetched_files(attached: DataFrame) -> DataFrame:
 
 
 def fetch_errors(attached: DataFrame) -> DataFrame:
-    return attached.where(F.col("error").isNotNull()).select("repository", "path", "provider", "error")
+    return attached.where(F.col("error").isNotNull()).select("host", "repository", "path", "provider", "error")
 
 
 def fetch_counts(attached: DataFrame) -> DataFrame:
-    """Successes and failures per repository."""
-    return attached.groupBy("repository").agg(
+    """Successes and failures per repository with any candidate file."""
+    return attached.groupBy("host", "repository").agg(
         F.count_if(F.col("error").isNull()).alias("success_count"),
         F.count_if(F.col("error").isNotNull()).alias("error_count"),
     )
 
 
+def repository_outcomes(repositories: DataFrame, tree: DataFrame, attached: DataFrame) -> DataFrame:
+    """A row for each listed repository: did its scan succeed, and how many of its files.
+
+    A repository without a landed tree failed; one whose tree holds no wanted file is a success
+    with zero files. ``attached`` is what ``attach_contents`` or ``attach_outcomes`` give.
+    """
+    scanned = tree.select("host", "full_name").distinct().withColumn("_scanned", F.lit(True))
+    counts = fetch_counts(attached).withColumnRenamed("repository", "full_name")
+    rows = repositories.select("host", "full_name", "provider").join(scanned, ["host", "full_name"], "left")
+    rows = rows.join(counts, ["host", "full_name"], "left")
+    failed = F.col("_scanned").isNull()
+    zero = F.lit(0).cast("bigint")
+    return rows.select(
+        "host",
+        F.col("full_name").alias("repository"),
+        "provider",
+        F.when(failed, "error").otherwise("success").alias("status"),
+        F.when(failed, NO_TREE).alias("error"),
+        F.coalesce("success_count", zero).alias("success_count"),
+        F.coalesce("error_count", zero).alias("error_count"),
+    )
+
+
+def scan_totals(outcomes: DataFrame) -> DataFrame:
+    """One row: repositories and files, succeeded and failed."""
+    zero = F.lit(0).cast("bigint")
+    return outcomes.agg(
+        F.count_if(F.col("status") == "success").alias("repository_successes"),
+        F.count_if(F.col("status") == "error").alias("repository_errors"),
+        F.coalesce(F.sum("success_count"), zero).alias("file_successes"),
+        F.coalesce(F.sum("error_count"), zero).alias("file_errors"),
+    )
+
+
 def repository_file_counts(files: DataFrame) -> DataFrame:
     """Files by type per repository, and over all of them (``repository`` NULL, ``overall`` true)."""
     return files.rollup("repository").agg(

@@ -8,15 +8,17 @@ FEW_SALTS = 2  # where the single side is about as large as the other: fewer cop
 
 
 def join_single(
-    many: DataFrame, single: DataFrame, keys: list[str], how: str, spread: list[str], salts: int = SALTS
+    many: DataFrame, single: DataFrame, keys: list[str], how: str, spread: list[str] | None = None, salts: int = SALTS
 ) -> DataFrame:
     """Inner or left join of ``many`` with ``single``, whatever share of ``many`` one key holds.
 
-    Rows of a key go to several tasks by the hash of ``spread``, and ``single`` is copied to each.
+    Rows of a key go to several tasks by the hash of ``spread`` (without it by their place in the
+    input, so that equal rows part as well), and ``single`` is copied to each.
     Besides, adaptive execution only splits a skewed partition when both sides are shuffled for
     the join itself; a ``single`` side that was just grouped by the same keys would not be. The
     salt makes it so. A side that Spark measures as small is still broadcast.
     """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    by = F.xxhash64(*spread) if spread else F.monotonically_increasing_id()
+    salt = F.pmod(by, F.lit(salts)).cast("int")
     copies = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

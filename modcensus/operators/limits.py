@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
-def first_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: int, spread: str) -> DataFrame:
+def first_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: int, spread: list[str]) -> DataFrame:
     """The first ``n`` rows of every group, in two rounds.
 
     A group is cut into buckets by the hash of ``spread``, each bucket keeps its first ``n``
@@ -17,7 +17,7 @@ def first_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: in
     The repartition is explicit because the rows often come from a join on the group key: its
     partitions would do for the window too, and a big group would stay in one task.
     """
-    bucket = F.pmod(F.xxhash64(spread), F.lit(BUCKETS)).alias("_bucket")
+    bucket = F.pmod(F.xxhash64(*spread), F.lit(BUCKETS)).alias("_bucket")
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     in_group = Window.partitionBy(*keys).orderBy(*order)
     return (

@@ -1,23 +1,37 @@
 """Repository listings: filters, first occurrences, limits and counters."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modcensus.fixed import GITLAB, OWNER_REQUIRED, REPOSITORY_REQUIRED
+from modcensus.fixed import GITHUB, GITLAB_PLATFORMS, OWNER_REQUIRED, PUBLIC_HOSTS, REPOSITORY_REQUIRED
 from modcensus.functions.text import strip_space
 from modcensus.operators.joins import join_single
 from modcensus.operators.limits import first_per_group
 
+KEY = ["host", "full_name"]
+
 
 def skip_archived(repositories: DataFrame, skip: bool = True) -> DataFrame:
     return repositories.where(~F.col("archived")) if skip else repositories
 
 
 def match_name(repositories: DataFrame, pattern: str | None) -> DataFrame:
-    """Keep repositories whose short name contains a match of a (Java) regular expression."""
+    """Keep repositories whose short name contains a match of a (Java) regular expression.
+
+    A pattern that is none raises here and not in the first task.
+    """
+    check_pattern(repositories.sparkSession, pattern)
     return repositories if pattern is None else repositories.where(F.col("name").rlike(pattern))
 
 
+def check_pattern(spark: SparkSession, pattern: str | None) -> None:
+    if pattern is not None:
+        try:
+            spark.range(1).select(F.lit("").rlike(pattern)).collect()  # one row
+        except Exception as error:
+            raise ValueError(f"Invalid name pattern: {pattern!r}") from error
+
+
 def match_visibility(repositories: DataFrame, visibility: str = "all") -> DataFrame:
     if visibility == "all":
         return repositories
@@ -26,16 +40,17 @@ def match_visibility(repositories: DataFrame, visibility: str = "all") -> DataFr
     return repositories.where(F.col("private") == F.lit(visibility == "private"))
 
 
-def first_listed(repositories: DataFrame) -> DataFrame:
-    """First occurrence of every full name in listing order.
+def first_listed(repositories: DataFrame, per: list[str] | None = None) -> DataFrame:
+    """First occurrence of every (host, full name), in each ``per`` group, in listing order.
 
     A minimum over structs combines before the shuffle, so a name listed any number of
     times reaches its task once per input partition; a window would move all copies.
     """
-    others = [c for c in repositories.columns if c not in ("list_pos", "full_name")]
+    keys = list(dict.fromkeys([*KEY, *(per or [])]))
+    others = [c for c in repositories.columns if c not in ("list_pos", *keys)]
     first = F.min(F.struct("list_pos", *others)).alias("_first")
-    return repositories.groupBy("full_name").agg(first).select(
-        *[F.col(c) if c == "full_name" else F.col(f"_first.{c}").alias(c) for c in repositories.columns]
+    return repositories.groupBy(*keys).agg(first).select(
+        *[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in repositories.columns]
     )
 
 
@@ -47,11 +62,11 @@ def limit_repositories(repositories: DataFrame, n: int | None, per: list[str] |
         raise ValueError("limit must be a positive number")
     if per is None:
         return repositories.orderBy("list_pos").limit(n)
-    return first_per_group(repositories, per, [F.col("list_pos")], n, spread="full_name")
+    return first_per_group(repositories, per, [F.col("list_pos")], n, spread=KEY)
 
 
 def owned_by(repositories: DataFrame, owners: DataFrame) -> DataFrame:
-    """Repositories with each (``provider``, ``owner``, ``is_group``) row that owns them, as ``_owner``.
+    """Repositories with each (``host``, ``owner``, ``is_group``) row that owns them, as ``_owner``.
 
     An owner has what carries its name; a GitLab group also has all that lies below its path.
     Each repository lists the owners it could have, so this is an equi-join and not a prefix
@@ -61,12 +76,13 @@ def owned_by(repositories: DataFrame, owners: DataFrame) -> DataFrame:
     above = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
     )
-    is_nested = (F.col("provider") == GITLAB) & (F.size(parts) > 1)
+    is_nested = F.col("provider").isin(GITLAB_PLATFORMS) & (F.size(parts) > 1)
     candidates = F.when(is_nested, F.array_distinct(F.concat(F.array("owner"), above))).otherwise(F.array("owner"))
-    wanted = owners.select("provider", F.col("owner").alias("_owner"), "is_group")
+    wanted = owners.select("host", F.col("owner").alias("_owner"), "is_group")
     return (
-        repositories.withColumn("_owner", F.explode(candidates))
-        .join(wanted, ["provider", "_owner"])
+        join_single(
+            repositories.withColumn("_owner", F.explode(candidates)), wanted, ["host", "_owner"], "inner", spread=KEY
+        )
         .where((F.col("owner") == F.col("_owner")) | F.col("is_group"))
     )
 
@@ -81,11 +97,11 @@ def list_repositories(
 ) -> DataFrame:
     """A listing as a scan uses it.
 
-    Order matters: duplicates go first, then archived ones (unless ``archived``), then names
+    With ``per``, duplicates and limits are those of each group. Order matters: duplicates go first, then archived ones (unless ``archived``), then names
     that do not match; the limit counts what is left; visibility is tested last and may leave
     fewer than the limit.
     """
-    rows = match_name(skip_archived(first_listed(repositories), not archived), name_pattern)
+    rows = match_name(skip_archived(first_listed(repositories, per), not archived), name_pattern)
     return match_visibility(limit_repositories(rows, max_repositories, per), visibility)
 
 
@@ -94,7 +110,7 @@ def skip_counters(
 ) -> DataFrame:
     """Kept, archived, pattern-filtered and duplicate listings; each row is in one of them.
 
-    The first occurrence of a name decides; later ones only count as duplicates.
+    The first occurrence of a name on its host decides; later ones only count as duplicates.
     """
     keys = per or []
     matches = F.lit(True) if name_pattern is None else F.col("_first.name").rlike(name_pattern)
@@ -103,7 +119,7 @@ def skip_counters(
         .when(~matches, "pattern")
         .otherwise("kept")
     )
-    per_name = repositories.groupBy(*keys, "full_name").agg(
+    per_name = repositories.groupBy(*dict.fromkeys([*keys, *KEY])).agg(
         F.min(F.struct("list_pos", "archived", "name")).alias("_first"), F.count(F.lit(1)).alias("_listed")
     )
     return (
@@ -119,10 +135,10 @@ def skip_counters(
 
 
 def single_repository(
-    repositories: DataFrame, owner: str, name: str, archived: bool = False
+    repositories: DataFrame, owner: str, name: str, archived: bool = False, host: str = PUBLIC_HOSTS[GITHUB]
 ) -> DataFrame:
-    """One repository by its exact name; pattern and limit do not apply. Empty when not found."""
-    chosen = repositories.where(F.col("full_name") == f"{owner}/{name}")
+    """One repository of a host by its exact name; pattern and limit do not apply. Empty when not found."""
+    chosen = repositories.where((F.col("host") == host) & (F.col("full_name") == f"{owner}/{name}"))
     return skip_archived(first_listed(chosen), not archived)
 
 
@@ -135,8 +151,11 @@ def name_error(owner: Column, name: Column) -> Column:
 
 
 def repository_exists(wanted: DataFrame, repositories: DataFrame, archived: bool = False) -> DataFrame:
-    """Adds ``found`` (true, false, or NULL when archived and skipped) and ``error`` to (owner, name) rows."""
-    listed = first_listed(repositories).select("full_name", F.col("archived").alias("_archived"))
+    """Adds ``found`` (true, false, or NULL when archived and skipped) and ``error`` to (host, owner, name) rows.
+
+    Any number of rows may ask for the same name.
+    """
+    listed = first_listed(repositories).select(*KEY, F.col("archived").alias("_archived"))
     error = name_error(F.col("owner"), F.col("name"))
     found = (
         F.when(error.isNotNull(), F.lit(None).cast("boolean"))
@@ -146,7 +165,7 @@ def repository_exists(wanted: DataFrame, repositories: DataFrame, archived: bool
     )
     named = wanted.withColumn("full_name", F.concat_ws("/", "owner", "name"))
     return (
-        join_single(named, listed, ["full_name"], "left", spread=wanted.columns)
+        join_single(named, listed, KEY, "left")
         .withColumn("found", found)
         .withColumn("error", error)
         .drop("full_name", "_archived")

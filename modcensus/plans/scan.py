@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modcensus.fixed import GITHUB_PLATFORMS, GITLAB
+from modcensus.fixed import GITHUB_PLATFORMS, GITLAB, PUBLIC_HOSTS
 from modcensus.functions.classify import file_type
-from modcensus.functions.text import none_if_empty
+from modcensus.functions.text import looked_up, none_if_empty
 from modcensus.operators.extract import module_calls
 from modcensus.operators.files import attach_contents, candidate_files, decoded_content
 from modcensus.operators.repositories import first_listed, list_repositories, owned_by, skip_archived
@@ -16,23 +16,25 @@ def selected_repositories(targets: DataFrame, repositories: DataFrame, archived:
     """Repositories that parsed targets ask for.
 
     A target with a repository takes exactly that one; name pattern, visibility and limit
-    (see ``list_repositories``) only apply to targets that name a whole owner. GitLab owners
-    count as groups unless the targets say otherwise in ``is_group``.
+    (see ``list_repositories``) only apply to targets that name a whole owner, to each target on
+    its own. A target without a host means the public one of its platform. GitLab owners count
+    as groups unless the targets say otherwise in ``is_group``.
     """
     wanted = targets.where(F.col("error").isNull()).select(
-        F.regexp_replace("platform", "-self-hosted$", "").alias("provider"),
+        F.coalesce(F.col("host"), looked_up(F.col("platform"), PUBLIC_HOSTS)).alias("host"),
         F.col("identifier").alias("owner"),
         none_if_empty(F.col("repository")).alias("_repository"),
         (F.col("is_group") if "is_group" in targets.columns else F.lit(True)).alias("is_group"),
     )
-    owners = wanted.where(F.col("_repository").isNull()).select("provider", "owner", "is_group").distinct()
+    owners = wanted.where(F.col("_repository").isNull()).select("host", "owner", "is_group").distinct()
     singles = wanted.where(F.col("_repository").isNotNull()).select(
-        "provider", F.concat_ws("/", "owner", "_repository").alias("full_name")
+        "host", F.concat_ws("/", "owner", "_repository").alias("full_name")
     )
-    owned = owned_by(repositories, owners).select(*repositories.columns)
-    whole = list_repositories(owned, archived=archived, **listing)
+    # the host and the owner asked for are the target
+    owned = owned_by(repositories, owners).select(*repositories.columns, "_owner").distinct()
+    whole = list_repositories(owned, archived=archived, per=["host", "_owner"], **listing)
     exact = skip_archived(
-        first_listed(repositories.join(singles, ["provider", "full_name"], "left_semi")), not archived
+        first_listed(repositories.join(singles, ["host", "full_name"], "left_semi")), not archived
     )
     return first_listed(whole.select(*repositories.columns).unionByName(exact.select(*repositories.columns)))
 
@@ -55,18 +57,19 @@ def scan_module_calls(repositories: DataFrame, tree: DataFrame, contents: DataFr
     ).select(
         file_type(F.col("path")).alias("file_type"),
         F.col("full_name").alias("repository"),
+        "host",
         "path",
         "content",
         F.lit(None).cast("string").alias("url"),
         encoding.eqNullSafe("base64").alias("_is_base64"),
     )
-    calls = module_calls(landed, carry=["_is_base64"])
-    columns = [c for c in calls.columns if c != "_is_base64"]
+    calls = module_calls(landed, carry=["_is_base64", "host"])
+    columns = [c for c in calls.columns if c not in ("_is_base64", "host")]
     wanted = candidate_files(tree, repositories, **files).select(
-        "repository", F.col("path").alias("file_path"), F.col("url").alias("file_url"), "provider"
+        "host", "repository", F.col("path").alias("file_path"), F.col("url").alias("file_url"), "provider"
     )
     # the GitLab reading also takes plain text; from GitHub that is a failed file
     readable = F.col("_is_base64") | ~F.col("provider").isin(GITHUB_PLATFORMS)
     return (
-        calls.drop("file_url").join(wanted, ["repository", "file_path"]).where(readable).select(*columns)
+        calls.drop("file_url").join(wanted, ["host", "repository", "file_path"]).where(readable).select(*columns)
     )

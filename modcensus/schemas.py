@@ -1,7 +1,11 @@
-"""Table schemas (DDL strings, usable with ``spark.read.schema``)."""
+"""Table schemas (DDL strings, usable with ``spark.read.schema``).
+
+A repository is known by (``host``, ``full_name``); a host is written ``https://name[:port]``. Calls and
+files carry the full name alone, as reports do: they show and count by it.
+"""
 
 REPOSITORIES = (
-    "provider STRING, list_pos BIGINT, owner STRING, name STRING, full_name STRING, default_branch STRING, "
+    "provider STRING, host STRING, list_pos BIGINT, owner STRING, name STRING, full_name STRING, default_branch STRING, "
     "archived BOOLEAN, private BOOLEAN, url STRING, clone_url STRING"
 )
 
@@ -16,10 +20,10 @@ GITLAB_PROJECT = (
 )
 
 TREE_ENTRIES = (
-    "full_name STRING, path STRING, entry_type STRING, sha STRING, size BIGINT, tree_pos BIGINT"
+    "host STRING, full_name STRING, path STRING, entry_type STRING, sha STRING, size BIGINT, tree_pos BIGINT"
 )
 
-FILE_CONTENTS = "full_name STRING, path STRING, encoding STRING, content STRING"
+FILE_CONTENTS = "host STRING, full_name STRING, path STRING, encoding STRING, content STRING"
 
 IAC_FILES = (
     "file_type STRING, repository STRING, path STRING, content STRING, url STRING, sha STRING, size BIGINT"

@@ -10,16 +10,19 @@ from modcensus.plans.scan import scan_files, scan_module_calls
 from modcensus.schemas import FILE_CONTENTS, REPOSITORIES, TREE_ENTRIES
 
 
+HOSTS = {"hub": "https://github.com", "lab": "https://gitlab.com", "other": "https://other"}
+
+
 def repositories(spark):
     rows = [
-        (provider, i, "o", name, f"o/{name}", branch, False, False, f"https://gl/o/{name}", "c")
+        (provider, HOSTS[name], i, "o", name, f"o/{name}", branch, False, False, f"https://gl/o/{name}", "c")
         for i, (provider, name, branch) in enumerate([("github", "hub", "main"), ("gitlab", "lab", "dev")])
     ]
     return spark.createDataFrame(rows, REPOSITORIES)
 
 
 def tree(spark, rows):
-    full = [(f"o/{repo}", path, kind, sha, 1, i) for i, (repo, path, kind, sha) in enumerate(rows)]
+    full = [(HOSTS[repo], f"o/{repo}", path, kind, sha, 1, i) for i, (repo, path, kind, sha) in enumerate(rows)]
     return spark.createDataFrame(full, TREE_ENTRIES)
 
 
@@ -119,7 +122,7 @@ CONTENTS = [  # name, encoding, content, text on GitHub, text on GitLab; an Exce
 def test_contents_and_errors(spark):
     entries = [(repo, f"{name}.tf", "blob", "1") for name, *_ in CONTENTS for repo in ("hub", "lab")]
     entries.append(("hub", "gone.tf", "blob", "1"))
-    landed = [(f"o/{repo}", f"{name}.tf", enc, text) for name, enc, text, *_ in CONTENTS for repo in ("hub", "lab")]
+    landed = [(HOSTS[repo], f"o/{repo}", f"{name}.tf", enc, text) for name, enc, text, *_ in CONTENTS for repo in ("hub", "lab")]
     contents = spark.createDataFrame(landed, FILE_CONTENTS)
     attached = scan_files(repositories(spark), tree(spark, entries), contents)
     good = {(r.repository, r.path): r.content for r in files.fetched_files(attached).collect()}
@@ -135,13 +138,35 @@ def test_contents_and_errors(spark):
     assert bad == {("o/hub", "gone.tf"): files.NO_CONTENT} and good == {}
     counts = {r.repository: (r.success_count, r.error_count) for r in files.fetch_counts(attached).collect()}
     assert counts == {"o/hub": (7, 4), "o/lab": (9, 1)}
+    outcomes = files.attach_outcomes(files.candidate_files(tree(spark, entries), repositories(spark)), contents)
+    columns = ["host", "repository", "path", "provider", "error"]
+    flags = sorted(map(str, outcomes.select(*columns).collect()))
+    assert flags == sorted(map(str, attached.select(*columns).collect()))
+
+
+def test_equal_names_keep_their_files(spark):
+    """One repository name on two hosts: entries and contents stay on theirs."""
+    listed = spark.createDataFrame(
+        [("github", "https://github.com", 0, "acme", "x", "acme/x", "main", False, False, "u", "c"),
+         ("gitlab", "https://gitlab.com", 1, "acme", "x", "acme/x", "main", False, False, "u", "c")], REPOSITORIES)
+    entries = spark.createDataFrame([("https://gitlab.com", "acme/x", "a.tf", "blob", "1", 1, 0)], TREE_ENTRIES)
+    contents = spark.createDataFrame([(h, "acme/x", "a.tf", "text", "a = 1") for h in HOSTS.values()], FILE_CONTENTS)
+    attached = scan_files(listed, entries, contents).collect()
+    assert [(r.host, r.content, r.error) for r in attached] == [("https://gitlab.com", "a = 1", None)]
+    outcomes = files.repository_outcomes(listed, entries, scan_files(listed, entries, contents))
+    got = {r.host: (r.status, r.error, r.success_count, r.error_count) for r in outcomes.collect()}
+    assert got == {"https://gitlab.com": ("success", None, 1, 0), "https://github.com": ("error", files.NO_TREE, 0, 0)}
+    bare = spark.createDataFrame([("https://github.com", "acme/x", "README.md", "blob", "1", 1, 0)], TREE_ENTRIES)
+    outcomes = files.repository_outcomes(listed, bare, scan_files(listed, bare, contents))
+    assert {r.host: r.status for r in outcomes.collect()} == {"https://github.com": "success", "https://gitlab.com": "error"}
+    assert files.scan_totals(outcomes).first().asDict() == {"repository_successes": 1, "repository_errors": 1, "file_successes": 0, "file_errors": 0}
 
 
 def test_early_extraction_gives_the_same_calls(spark):
     block = 'module "a" {\n source = "x?ref=1"\n}\n'
     entries = [(repo, f"{i}.tf", "blob", "1" if i % 3 else None) for i in range(12) for repo in ("hub", "lab")]
     landed = [
-        (f"o/{repo}", f"{i}.tf", "text" if i % 2 else "base64", block * i if i % 2 else b64(block * i))
+        (HOSTS[repo], f"o/{repo}", f"{i}.tf", "text" if i % 2 else "base64", block * i if i % 2 else b64(block * i))
         for i in range(11) for repo in ("hub", "lab", "other")
     ]
     inputs = (repositories(spark), tree(spark, entries), spark.createDataFrame(landed, FILE_CONTENTS))

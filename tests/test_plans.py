@@ -7,7 +7,7 @@ import pytest
 from checks import corpus
 from modcensus.operators import calls as call_ops
 from modcensus.operators.extract import call_sources, module_calls
-from modcensus.operators.files import candidate_files
+from modcensus.operators.files import attach_outcomes, candidate_files
 from modcensus.operators.repositories import first_listed
 from modcensus.operators.usage import normalized_summary, raw_summary, usage_counts
 from modcensus.plans.scan import scan_module_calls
@@ -86,6 +86,19 @@ def test_early_extraction_never_shuffles_contents(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_outcomes_never_move_or_decode_contents(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        candidates = candidate_files(stored(spark, tmp_path, TREE_ENTRIES, "tree"), stored(spark, tmp_path, REPOSITORIES, "repositories"))
+        plan = plan_of(attach_outcomes(candidates, stored(spark, tmp_path, FILE_CONTENTS, "contents")))
+        lines = plan.splitlines()
+        shuffled = [lines[i + 1] for i, line in enumerate(lines) if "Exchange" in line]
+        assert len(shuffled) >= 4 and not any(re.search(r"[\[ ](content|_raw)#", line) for line in shuffled)
+        assert "base64" not in plan.replace("<=> base64", "").replace("= base64", "") and "make_valid_utf8" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_report_order_is_a_range_sort(spark, files):
     plan = plan_of(call_ops.sorted_calls(module_calls(files)))
     assert "rangepartitioning" in plan and "SinglePartition" not in plan
@@ -133,11 +146,11 @@ def test_hot_keys_are_split(spark, small_skew, tmp_path):
 
     tree = str(tmp_path / "hot-tree")
     spark.range(60000).selectExpr(
-        "CASE WHEN id % 3 = 0 THEN 'o/hot' ELSE 'o/r' || id % 1000 END AS full_name", "id || '.tf' AS path",
+        "'h' AS host", "CASE WHEN id % 3 = 0 THEN 'o/hot' ELSE 'o/r' || id % 1000 END AS full_name", "id || '.tf' AS path",
         "'blob' AS entry_type", "'1' AS sha", "1L AS size", "id AS tree_pos",
     ).write.parquet(tree)
     repositories = spark.range(-1, 1000).selectExpr(
-        "'github' AS provider", "id AS list_pos", "'o' AS owner", "IF(id < 0, 'hot', 'r' || id) AS name",
+        "'github' AS provider", "'h' AS host", "id AS list_pos", "'o' AS owner", "IF(id < 0, 'hot', 'r' || id) AS name",
         "'o/' || IF(id < 0, 'hot', 'r' || id) AS full_name", "'main' AS default_branch", "false AS archived",
         "false AS private", "'u' AS url", "'c' AS clone_url",
     )

@@ -14,7 +14,7 @@ from modcensus.sources import payloads
 def listing(spark, rows):
     """rows: (full_name, list_pos, archived, private)"""
     full = [
-        ("gitlab" if "/sub/" in name else "github", pos, name.split("/")[0], name.split("/")[-1], name, "main", archived,
+        ("gitlab" if "/sub/" in name else "github", "https://gitlab.com" if "/sub/" in name else "https://github.com", pos, name.split("/")[0], name.split("/")[-1], name, "main", archived,
          private, f"https://h/{name}", f"https://h/{name}.git")
         for name, pos, archived, private in rows
     ]
@@ -82,7 +82,7 @@ def test_single_repository(spark):
 def test_repository_exists(spark):
     wanted = spark.createDataFrame(
         [("o", "app"), ("o", "old"), ("o", "none"), (" ", "app"), ("o", ""), (None, "x")], "owner STRING, name STRING"
-    )
+    ).selectExpr("'https://github.com' AS host", "*")
     rows = listing(spark, ROWS + [("o/old", 8, True, False)])
     got = {(r.owner, r.name): (r.found, r.error) for r in repos.repository_exists(wanted, rows).collect()}
     owner = "Owner name is required and must be a non-empty string"
@@ -101,7 +101,7 @@ def test_repository_exists(spark):
 
 def test_first_per_group_with_one_hot_group(spark):
     rows = spark.sql("SELECT id, CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'g' || id % 50 END AS g FROM range(3000)")
-    got = sorted((r.g, r.id) for r in first_per_group(rows, ["g"], [rows.id], 4, spread="id").collect())
+    got = sorted((r.g, r.id) for r in first_per_group(rows, ["g"], [rows.id], 4, spread=["id"]).collect())
     groups = {}
     for i in range(3000):
         groups.setdefault("hot" if i % 3 == 0 else f"g{i % 50}", []).append(i)
@@ -147,13 +147,53 @@ def test_gitlab_payloads_and_ownership(spark):
     assert [r.id for r in payloads.owned_projects(rows, user).collect()] == [1]
 
 
+TARGETS = "platform STRING, identifier STRING, repository STRING, host STRING, error STRING"
+
+
+def test_equal_names_on_several_hosts(spark):
+    hosts = ["https://github.com", "https://gitlab.com", "https://git.corp.io"]
+    kinds = ["github", "gitlab", "gitlab-self-hosted"]
+    rows = spark.createDataFrame(
+        [(kind, host, i, "acme", name, f"acme/{name}", "main", False, False, f"{host}/acme/{name}", "c")
+         for kind, host in zip(kinds, hosts) for i, name in enumerate(["x", "y", "z"])] * 2,
+        REPOSITORIES,
+    )
+    assert repos.first_listed(rows).count() == 9
+    assert repos.skip_counters(rows).first().asDict() == {"kept": 9, "skipped_archived": 0, "skipped_pattern": 0, "duplicates": 9}
+    assert [r.host for r in repos.single_repository(rows, "acme", "x", host=hosts[2]).collect()] == [hosts[2]]
+
+    def selected(*targets, **options):
+        frame = spark.createDataFrame(list(targets), TARGETS)
+        return sorted((r.host, r.full_name) for r in selected_repositories(frame, rows, **options).collect())
+
+    assert selected(("gitlab-self-hosted", "acme", None, hosts[2], None)) == [(hosts[2], f"acme/{n}") for n in "xyz"]
+    both = [("gitlab", "acme", None, None, None), ("github", "acme", None, None, None)]
+    assert selected(*both) == sorted((h, f"acme/{n}") for h in hosts[:2] for n in "xyz")
+    assert selected(*both, max_repositories=1) == sorted((h, "acme/x") for h in hosts[:2])
+    wanted = spark.createDataFrame([(hosts[2], "acme", "x"), ("https://other", "acme", "x")] * 3, "host STRING, owner STRING, name STRING")
+    found = repos.repository_exists(wanted, rows).collect()
+    assert sorted((r.host, r.found) for r in found) == sorted([(hosts[2], True), ("https://other", False)] * 3)
+
+
+def test_bad_name_pattern_fails_at_once(spark):
+    with pytest.raises(ValueError, match="Invalid name pattern"):
+        repos.match_name(listing(spark, ROWS), "infra(")
+
+
+def test_pages_with_too_many_items_fail(spark):
+    body = json.dumps([{"name": f"r{i}"} for i in range(101)])
+    rows = payloads.github_payloads(spark.createDataFrame([(0, body)], "page BIGINT, body STRING"))
+    with pytest.raises(Exception, match="too many items"):
+        rows.collect()
+
+
 def test_selected_repositories(spark):
     rows = listing(spark, ROWS + [("p/x", 20, False, False), ("g/sub/y", 21, False, False), ("o/old", 22, True, False)])
     rows = rows.withColumn("owner", rows.owner)
     targets = spark.createDataFrame(
-        [("github", "o", None, None), ("github", "p", "x", None), ("gitlab-self-hosted", "g", "", None),
-         ("github", "o", "old", None), (None, None, None, "bad")],
-        "platform STRING, identifier STRING, repository STRING, error STRING",
+        [("github", "o", None, None, None), ("github", "p", "x", None, None), ("gitlab", "g", "", None, None),
+         ("github", "o", "old", "https://github.com", None), (None, None, None, None, "bad")],
+        TARGETS,
     )
     got = names(selected_repositories(targets, rows, name_pattern="infra-[ab]|y"))
     assert got == ["o/infra-b", "o/infra-a", "p/x", "g/sub/y"]
