@@ -14,15 +14,15 @@ def first_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: in
     rows, and only those meet in one task. The result is exact: every row among the first
     ``n`` of its group is also among the first ``n`` of its bucket.
 
-    The repartition is explicit because the rows often come from a join on the group key: its
-    partitions would do for the window too, and a big group would stay in one task.
+    Each task drops what its own rows rule out before the first shuffle. Rows that come from a
+    join or aggregate on the group key alone would stay in its partitions, a big group in one:
+    hand over rows spread by a further key, as ``join_single`` leaves them.
     """
     bucket = F.pmod(F.xxhash64(*spread), F.lit(BUCKETS)).alias("_bucket")
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     in_group = Window.partitionBy(*keys).orderBy(*order)
     return (
         rows.select("*", bucket)
-        .repartition(*keys, "_bucket")
         .withColumn("_rank", F.row_number().over(in_bucket))
         .where(F.col("_rank") <= n)
         .withColumn("_rank", F.row_number().over(in_group))

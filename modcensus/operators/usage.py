@@ -100,7 +100,7 @@ def percent_text(part: Column, whole: Column) -> Column:
     The share is a double; the decimal nearest to its exact binary value is shown, the upper one
     when two are equally near. So 3 of 2000 gives 0.1: the double next to 0.15 lies below it.
     """
-    share = part.cast("double") / whole * 100
+    share = F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0)) * 100  # nothing of nothing is 0
     tenths = F.floor(share * 10)
     middle = (tenths * 2 + 1) / F.lit(20.0)
     # the double next to the middle may lie below it: compare twenty times its value, the rounding

@@ -1,8 +1,9 @@
 """Shared scratch tables and positions that survive the loss of executors."""
 
-import tempfile
 import uuid
-from functools import cache
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
@@ -11,22 +12,37 @@ from pyspark.sql import functions as F
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints.
+_own_folder: list[Callable[[SparkSession], str]] = []
+_open_scope: ContextVar[list[str] | None] = ContextVar("landed tables", default=None)
 
-    Only a local session without that setting gets a temporary folder of its own.
-    """
+
+def use_folder(folder: str | Callable[[SparkSession], str]) -> None:
+    """A folder for sessions that do not name one; it must be one that all executors share."""
+    _own_folder[:] = [folder if callable(folder) else lambda spark: folder]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints, else the one given to ``use_folder``."""
     folder = spark.conf.get(CHECKPOINT_SETTING, "")
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"Set {CHECKPOINT_SETTING} to a folder that all executors share.")
-    return _local_folder()
+    if not _own_folder:
+        raise ValueError(f"Set {CHECKPOINT_SETTING} to a folder that all executors share, or call use_folder.")
+    return _own_folder[0](spark)
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="modcensus-")
+@contextmanager
+def landed_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables landed inside are removed at the end: read what needs them before."""
+    paths: list[str] = []
+    token = _open_scope.set(paths)
+    try:
+        yield
+    finally:
+        _open_scope.reset(token)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -42,10 +58,13 @@ def evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
 def land(rows: DataFrame, label: str) -> DataFrame:
     """Write ``rows`` once to the shared folder and read them back.
 
-    For frames that are read several times and whose input is costly to recompute.
+    For frames that are read several times and whose input is costly to recompute. The table
+    stays until the enclosing ``landed_tables`` ends, or else until its folder is cleaned.
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/modcensus/{label}-{uuid.uuid4().hex}"
+    if (scope := _open_scope.get()) is not None:
+        scope.append(path)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

@@ -25,14 +25,14 @@ from modcensus.operators.usage import (
     summary_order,
     usage_counts,
 )
-from modcensus.runtime import land, with_position
+from modcensus.runtime import land, landed_tables, with_position
 
 # --- fixed values: output formats ------------------------------------------------
 CSV_HEADER = "module,source_type,file_type,version,repository,file_path,line_number,file_link"
 REPORT_KINDS = {
-    (TERRAFORM,): "Terraform",
-    (TERRAGRUNT,): "Terragrunt",
-    (TERRAFORM, TERRAGRUNT): "Infrastructure as Code",
+    frozenset([TERRAFORM]): "Terraform",
+    frozenset([TERRAGRUNT]): "Terragrunt",
+    frozenset([TERRAFORM, TERRAGRUNT]): "Infrastructure as Code",
 }
 REPORT_RULE = "============================"
 
@@ -49,9 +49,13 @@ class ScanInfo:
     timestamp: str | None = None
     file_types: list[str] = field(default_factory=lambda: list(FILE_TYPES))
 
+    def __post_init__(self) -> None:
+        if frozenset(self.file_types) not in REPORT_KINDS:
+            raise ValueError(f"file_types must be some of {FILE_TYPES}, not {self.file_types!r}")
+
     @property
     def both_types(self) -> bool:
-        return len(self.file_types) == len(FILE_TYPES)
+        return set(self.file_types) == set(FILE_TYPES)
 
 
 # --- CSV ---------------------------------------------------------------------------
@@ -258,7 +262,7 @@ def _report_head(counts: DataFrame, info: ScanInfo) -> DataFrame:
         return F.concat(plain, split)
 
     lines = [
-        F.lit(f"\n{REPORT_KINDS[tuple(info.file_types)]} Module Usage Report"),
+        F.lit(f"\n{REPORT_KINDS[frozenset(info.file_types)]} Module Usage Report"),
         F.lit(REPORT_RULE),
         F.lit(f"Platform: {info.platform}"),
         F.lit(f"Target: {info.target}"),
@@ -348,27 +352,27 @@ def report_lines(files: DataFrame, usage: DataFrame, info: ScanInfo) -> DataFram
 # --- export ------------------------------------------------------------------------
 
 
-def export(
-    files: DataFrame, info: ScanInfo, output_format: str = "table", path: str | None = None, shown: int = 1000
-) -> bool:
-    """Write a scan as ``json``, ``csv`` or text report, or show its first lines without a path.
+def document(files: DataFrame, info: ScanInfo, output_format: str = "table") -> DataFrame | None:
+    """All lines of a scan as ``json``, ``csv`` or text report, in order; None without calls.
 
-    Format names are not case-sensitive; an unknown one gives the report. Without files or
-    without calls nothing is written, and the result is False.
+    Format names are not case-sensitive; an unknown one gives the report. The lines read landed
+    tables: use them inside ``runtime.landed_tables`` to have those removed at its end.
     """
     kind = output_format.lower()
     if kind in ("json", "csv"):
         calls = land(module_calls(files), "calls")
         if calls.isEmpty():
+            return None
+        return json_lines(calls, files, info) if kind == "json" else csv_lines(calls)
+    usage = land(usage_counts(call_sources(files)), "usage")
+    return None if usage.isEmpty() else report_lines(files, usage, info)
+
+
+def export(files: DataFrame, info: ScanInfo, output_format: str, path: str) -> bool:
+    """Write ``document`` as text files, whole. Without calls nothing is written, and the result is False."""
+    with landed_tables(files.sparkSession):
+        lines = document(files, info, output_format)
+        if lines is None:
             return False
-        lines = json_lines(calls, files, info) if kind == "json" else csv_lines(calls)
-    else:
-        usage = land(usage_counts(call_sources(files)), "usage")
-        if usage.isEmpty():
-            return False
-        lines = report_lines(files, usage, info)
-    if path is None:
-        lines.show(shown, truncate=False)
-    else:
         lines.write.mode("overwrite").text(path)
-    return True
+        return True

@@ -2,6 +2,9 @@
 
 Extraction keeps no state, so the stream needs none either. Usage counts add up, so every
 batch writes its own counts and a summary only sums them; nothing is read again.
+
+The landing folder is append-only: a file that is landed anew, with other contents, is a further
+file to the summary. Land changed repositories in a folder of their own, or scan them whole.
 """
 
 from pyspark.sql import DataFrame, SparkSession

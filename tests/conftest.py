@@ -10,6 +10,12 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 
+from checks import own_folder  # noqa: E402
+from modcensus import runtime  # noqa: E402
+
+runtime.use_folder(own_folder)
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (

@@ -3,11 +3,12 @@
 import csv
 import io
 import json
-import re
+from contextlib import contextmanager
 
 import pytest
 
-from modcensus.operators.usage import usage_counts
+from modcensus import runtime
+from modcensus.operators.usage import file_type_share, usage_counts
 from modcensus.operators.extract import module_calls
 from modcensus.runtime import land
 from modcensus.schemas import IAC_FILES
@@ -149,6 +150,39 @@ def test_nothing_is_written_without_calls(files, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
-def test_show(files, capfd):
-    assert documents.export(files, INFO)
-    assert re.search(r"Platform: GitHub", capfd.readouterr().out)
+def test_documents_are_whole(spark, tmp_path):
+    block = 'module "m" { source = "b/c/d" }\n'
+    rows = spark.createDataFrame([("terraform", "o/r", f"{i}.tf", block * 15, "u", None, None) for i in range(100)], IAC_FILES)
+    assert documents.document(rows, INFO, "csv").count() == 1501
+    assert "Platform: GitHub" in [r.value for r in documents.document(rows, INFO).collect()]
+    assert documents.export(rows, INFO, "csv", str(tmp_path / "out"))
+    assert len(written(tmp_path / "out").splitlines()) == 1501
+
+
+def test_no_landed_table_is_left(spark, files, tmp_path):
+    with open_folder(tmp_path / "scratch"):
+        for kind in ("json", "csv", "table"):
+            assert documents.export(files, INFO, kind, str(tmp_path / kind))
+        assert not [p for p in (tmp_path / "scratch").rglob("*") if p.is_file()]
+
+
+@contextmanager
+def open_folder(path):
+    before = list(runtime._own_folder)
+    runtime.use_folder(str(path))
+    try:
+        yield
+    finally:
+        runtime._own_folder[:] = before
+
+
+def test_types_of_a_report(spark, files):
+    info = documents.ScanInfo("GitHub", "s", "t", "c", file_types=["terragrunt", "terraform"])
+    assert "Infrastructure as Code Module" in documents.document(files, info).first().value
+    with pytest.raises(ValueError):
+        documents.ScanInfo("GitHub", "s", "t", "c", file_types=["hcl"])
+
+
+def test_shares_of_nothing(spark):
+    empty = spark.createDataFrame([], "type STRING, source STRING, version STRING, n BIGINT")
+    assert [(r.type, r.n, r.percent) for r in file_type_share(empty).orderBy("rank").collect()] == [("terraform", 0, "0.0"), ("terragrunt", 0, "0.0")]
