@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,11 +15,26 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from modcensus.llm.vectext import portions
-from modcensus.runtime import land, shared_folder
+from modcensus.runtime import CHECKPOINT_SETTING, land, shared_folder, use_folder
 
 __all__ = ["fresh_folder", "file_system", "fold", "land", "sampled_labels", "sampled_texts", "shared_folder", "table", "whole_text", "with_results"]
 
 
+@cache
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="modcensus-llm-")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """A local folder, for local sessions that name none."""
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError(f"Set {CHECKPOINT_SETTING} to a folder that all executors share.")
+    return _temporary()
+
+
+use_folder(_own_folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
