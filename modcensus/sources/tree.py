@@ -37,13 +37,15 @@ def check_root(root: str) -> None:
         raise PermissionError(f"Permission denied reading directory: {root}")
 
 
-class _Directory(InputPartition):
-    """A directory to list: below itself, or only its own entries."""
+BATCH_BYTES, BATCH_FILES = 8 << 20, 1_000
 
-    def __init__(self, path: str, deep: bool):
-        super().__init__(path)
-        self.path = path
-        self.deep = deep
+
+class _Directories(InputPartition):
+    """Directories to list in one task, each with all below it, or only its own entries."""
+
+    def __init__(self, directories: list[tuple[str, bool]]):
+        super().__init__(directories)
+        self.directories = directories
 
 
 class _TreeReader(DataSourceReader):
@@ -52,22 +54,25 @@ class _TreeReader(DataSourceReader):
         self.wanted = int(options.get("directories", "64"))
 
     def partitions(self) -> list[InputPartition]:
-        """Open the top of the tree until there are enough subtrees to list in parallel."""
+        """Open the top of the tree until there are enough subtrees, and deal them to at most as many tasks."""
         check_root(self.root)
         done, open_ones = [], [self.root]
         while open_ones and len(done) + len(open_ones) < self.wanted:
             path = open_ones.pop(0)
-            done.append(_Directory(path, deep=False))
+            done.append((path, False))
             try:
                 with os.scandir(path) as entries:
                     below = sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and _enters(e.name))
             except OSError:
                 continue  # its own partition reports it
             open_ones += below
-        return done + [_Directory(path, deep=True) for path in open_ones]
+        found = done + [(path, True) for path in open_ones]
+        tasks = max(1, min(self.wanted, len(found)))
+        return [_Directories(found[i::tasks]) for i in range(tasks)]
 
-    def read(self, partition: _Directory) -> Iterator[tuple]:
-        yield from self._list(partition.path, partition.deep)
+    def read(self, partition: _Directories) -> Iterator[tuple]:
+        for path, deep in partition.directories:
+            yield from self._list(path, deep)
 
     def _row(self, kind: str, path: str, error: str | None = None) -> tuple:
         return kind, os.path.relpath(path, self.root).replace(os.sep, "/"), path, error
@@ -130,10 +135,16 @@ class TreeListing(DataSource):
 
 
 def _read_bodies(batches: Iterator) -> Iterator:
-    """Bytes of the listed files, one output batch per file so that a batch stays small."""
+    """Bytes of the listed files, in batches of about ``BATCH_BYTES``; a larger file is one of its own."""
     import pandas as pd
 
+    def made(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["path", "full_path", "body", "size", "error"])
+        return frame.astype({"size": "Int64"})
+
     for batch in batches:
+        rows: list[tuple] = []
+        held = 0
         for path, full_path in zip(batch["path"], batch["full_path"]):
             try:
                 with open(full_path, "rb") as file:
@@ -141,9 +152,14 @@ def _read_bodies(batches: Iterator) -> Iterator:
                 row = (path, full_path, body, os.stat(full_path).st_size, None)
             except OSError as problem:
                 row = (path, full_path, None, None, f"Failed to read file: {full_path} - {problem}")
-            yield pd.DataFrame([row], columns=["path", "full_path", "body", "size", "error"]).astype(
-                {"size": "Int64"}
-            )
+            size = len(row[2] or b"")
+            if rows and (held + size > BATCH_BYTES or len(rows) >= BATCH_FILES):
+                yield made(rows)
+                rows, held = [], 0
+            rows.append(row)
+            held += size
+        if rows:
+            yield made(rows)
 
 
 def list_tree(spark: SparkSession, root: str, directories: int = 64) -> DataFrame:

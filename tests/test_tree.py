@@ -5,7 +5,7 @@ import os
 import pytest
 
 from modcensus.fixed import SKIP_DIRECTORIES
-from modcensus.sources.tree import read_directory_tree, read_tree, tree_errors
+from modcensus.sources.tree import list_tree, read_directory_tree, read_tree, tree_errors
 
 
 @pytest.fixture
@@ -105,3 +105,15 @@ def test_failed_file_is_an_error_row(spark, root, monkeypatch):
     rows = {r.path: r for r in read_tree(spark, str(root)).collect()}
     assert rows["proc.tf"].content is None and "Failed to read file" in rows["proc.tf"].error
     assert rows["main.tf"].error is None
+
+
+def test_many_directories_make_few_tasks(spark, tmp_path):
+    for i in range(700):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.tf").write_text("x = 1\n" * (i % 5))
+    listed = list_tree(spark, str(tmp_path), directories=16)
+    assert listed.rdd.getNumPartitions() <= 16 and listed.where("kind = 'file'").count() == 700
+    (tmp_path / "big.tf").write_text("y" * (9 << 20))
+    rows = read_tree(spark, str(tmp_path)).selectExpr("path", "length(content) AS n", "size", "error").collect()
+    assert len(rows) == 701 and {r.n for r in rows if r.path == "big.tf"} == {9 << 20}
+    assert sum(r.n for r in rows if r.path != "big.tf") == sum(6 * (i % 5) for i in range(700)) and not any(r.error for r in rows)
