@@ -86,6 +86,24 @@ def test_early_extraction_never_shuffles_contents(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_short_list_of_repositories_narrows_the_contents(spark, tmp_path):
+    """Contents of other repositories go before they are decoded, by a broadcast semi join."""
+    plan = plan_of(
+        scan_module_calls(
+            stored(spark, tmp_path, REPOSITORIES, "repositories"),
+            stored(spark, tmp_path, TREE_ENTRIES, "tree"),
+            stored(spark, tmp_path, FILE_CONTENTS, "contents"),
+        )
+    )
+    lines = plan.splitlines()
+    start = next(i for i, line in enumerate(lines) if "posexplode" in line)
+    semi = next(i for i in range(start, len(lines)) if "LeftSemi" in lines[i])
+    assert "BroadcastHashJoin" in lines[semi]
+    assert any("make_valid_utf8" in line or "inline" in line for line in lines[start:semi])
+    scan = next(i for i in range(semi, len(lines)) if "FileScan" in lines[i] and "content" in lines[i])
+    assert not any("Exchange hash" in line for line in lines[start:scan])
+
+
 def test_outcomes_never_move_or_decode_contents(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
