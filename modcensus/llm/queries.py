@@ -19,6 +19,7 @@ from modcensus.llm import (
     op8_neighbours,
     op9_sharding,
     op10_packing,
+    sql,
 )
 from modcensus.llm.common import fold, table
 
@@ -106,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_sharding": sql.sharding(SHARDS)}

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -254,6 +255,15 @@ def test_rendezvous_moves_rows_only_into_the_new_shard(spark):
     assert 10 < sum(row.grown_shard != row.shard for row in rows) < 90
 
 
+def test_sharding_in_sql(spark):
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    wanted = connection.sql(queries.oracle_sql()["op9_sharding"]).df()[columns].sort_values("doc_id")
+    found = queries.op9_sharding_query(spark, SMALL).toPandas()[columns].sort_values("doc_id")
+    assert found.values.tolist() == wanted.values.tolist()
+
+
 def test_weighted_shards(spark):
     rows = op9_sharding.with_shard(spark.range(20_000).select(F.col("id").alias("doc_id")), [1.0, 3.0]).groupBy("shard").count().collect()
     share = {row["shard"]: row["count"] / 20_000 for row in rows}
