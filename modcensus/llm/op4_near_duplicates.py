@@ -37,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from modcensus.llm.common import land, whole_text
 from modcensus.llm.components import components
 from modcensus.llm.vectext import lower_ascii, mix, portions, texts, uniform, word_windows
+from modcensus.operators.joins import join_single
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -238,22 +239,23 @@ def _ordered(one, other) -> list:
 def links(prepared: DataFrame, members: DataFrame, similar: float, size: int, width: int, weighted: bool) -> DataFrame:
     """(a, b): links between different texts whose closure is that of all links found in buckets.
 
-    ``members`` (bucket, uid, sketch); ``size`` is the signature's.
+    ``members`` (bucket, uid); ``size`` is the signature's.
     """
     spark = prepared.sparkSession
     limit, widest = most_differing(size, similar), 1 - similar + 1e-9
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = land(members.join(land(buckets, "buckets"), "bucket"), "members")
-    meets = land(rows.groupBy("uid").agg(F.sum("n").alias("meets")), "meets")
-    rows = rows.join(meets, "uid").withColumn("class", F.col("uid")).withColumn("size", F.lit(1).cast("long"))
+    # hinted, so that the plan is the same at every size
+    rows = land(join_single(members, buckets.hint("merge"), ["bucket"], "inner", spread=["uid"]), "members")
+    sketched = prepared.select("uid", "sketch").hint("merge")
+    rows = rows.join(rows.groupBy("uid").agg(F.sum("n").alias("meets")), "uid").join(sketched, "uid").withColumn("class", F.col("uid")).withColumn("size", F.lit(1).cast("long"))
     rows = land(rows.withColumn("far", F.lit(None).cast("double")).select(*_MEMBER), "members")
     # only the texts that meet another one are moved again
-    met_texts = land(prepared.select("uid", "text").join(meets.select("uid").hint("merge"), "uid", "left_semi"), "texts")
+    met_texts = land(prepared.select("uid", "text").join(rows.select("uid").distinct().hint("merge"), "uid", "left_semi"), "texts")
     tested = spark.createDataFrame([], "a LONG, b LONG, similarity DOUBLE")
     leaders, most = 1, FIRST_FEW
     while True:
-        sizes = land(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        sized = rows.join(sizes, "bucket")
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        sized = join_single(rows, sizes, ["bucket"], "inner", spread=["uid"])
         many = land(sized.where(F.col("n") > most).drop("n"), "many")
         few = sized.where(F.col("n") <= most).groupBy("bucket").agg(F.collect_list(F.struct("uid", "class", "sketch")).alias("u"))
         # the window's limit is applied before its shuffle: a few rows of a bucket from each task
@@ -266,7 +268,7 @@ def links(prepared: DataFrame, members: DataFrame, similar: float, size: int, wi
         wanted = F.when(F.col("far").isNull(), F.lit(True)).otherwise(apart & _near("led_sketch", "sketch", limit))
         met = first.where((F.col("class") != F.col("led_class")) & (F.col("uid") != F.col("led_uid")) & wanted)
         pairs = few.select(F.inline(_pairs("u", limit))).unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid")))).distinct()
-        pairs = land(pairs, "pairs").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = land(tested.unionAll(_checked(pairs, met_texts, width, weighted)), "tested")
         if many.head(1):
             rows = _left_over(many, led.withColumnRenamed("led_uid", "leader"), tested, similar)
@@ -295,19 +297,20 @@ def _left_over(many: DataFrame, led: DataFrame, tested: DataFrame, similar: floa
     only be linked if theirs differ by at most the widest link, so a member of the bucket's largest
     class is done if that holds for nobody outside of it.
     """
-    roots = land(components(tested.where(F.col("similarity") >= similar).select("a", "b")), "roots")
+    roots = components(tested.where(F.col("similarity") >= similar).select("a", "b"))
     rows = many.drop("class", "size").join(roots.toDF("uid", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
     firsts = led.where("_place = 1").select("bucket", "leader")
     rows = rows.join(firsts, "bucket").withColumns({"a": F.least("leader", "uid"), "b": F.greatest("leader", "uid")})
     rows = rows.join(tested, ["a", "b"], "left").withColumn("far", F.coalesce("far", 1 - F.col("similarity"), F.lit(0.0)))
     rows = rows.join(led.select("bucket", F.col("leader").alias("uid")), ["bucket", "uid"], "left_anti")
     rows = land(rows.select("bucket", "uid", "sketch", "meets", "class", "far"), "judged")
-    sizes = land(rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"), F.min("far").alias("low"), F.max("far").alias("high")), "class-sizes")
-    largest = land(sizes.groupBy("bucket").agg(F.max(F.struct("size", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1"), "largest")
+    sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"), F.min("far").alias("low"), F.max("far").alias("high"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     outside = sizes.join(largest, "bucket").where("class != largest").groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    edges = land(largest.join(outside, "bucket").select("bucket", "largest", "low", "high"), "edges")
+    edges = largest.join(outside, "bucket").select("bucket", "largest", "low", "high")
     widest = 1 - similar + 1e-9
-    rows = rows.join(land(sizes.select("bucket", "class", "size"), "class-sizes"), ["bucket", "class"]).join(edges, "bucket")
+    rows = join_single(rows, sizes.select("bucket", "class", "size"), ["bucket", "class"], "inner", spread=["uid"])
+    rows = join_single(rows, edges, ["bucket"], "inner", spread=["uid"])
     reach = (F.col("class") != F.col("largest")) | F.col("far").between(F.col("low") - widest, F.col("high") + widest)
     return land(rows.where(reach).select(*_MEMBER), "members")
 
@@ -319,14 +322,14 @@ def classes_of(prepared: DataFrame, similar: float = SIMILAR, size: int = BANDS
     """
     same = land(prepared.where("form IS NOT NULL").groupBy("form").agg(F.min("uid").alias("one")), "forms")
     single = prepared.join(same.select(F.col("one").alias("uid")), "uid", "left_semi")
-    members = single.select("uid", "sketch", F.explode("bands").alias("bucket")).select("bucket", "uid", "sketch")
-    found = land(components(links(prepared, members, similar, size, width, weighted)), "classes")
+    members = single.select("uid", F.explode("bands").alias("bucket"))
+    found = components(links(prepared, members, similar, size, width, weighted))
     classed = prepared.select("uid", "doc_id", "form").join(same, "form", "left").withColumn("one", F.coalesce("one", "uid"))
     classed = classed.join(found.toDF("one", "root"), "one", "left")
     classed = land(classed.select("uid", "doc_id", F.coalesce("root", "one").alias("root")), "classed")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"]
-    names = land(classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), least.alias("first")), "names")
-    return classed.join(names, "root").select("uid", "doc_id", "class_id", (F.col("uid") == F.col("first")).alias("kept"))
+    names = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), least.alias("first"))
+    return join_single(classed, names, ["root"], "inner", spread=["uid"]).select("uid", "doc_id", "class_id", (F.col("uid") == F.col("first")).alias("kept"))
 
 
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, weighted: bool = False) -> DataFrame:
