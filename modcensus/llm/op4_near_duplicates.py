@@ -256,17 +256,20 @@ def links(prepared: DataFrame, members: DataFrame, similar: float, size: int, wi
     while True:
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
         sized = join_single(rows, sizes, ["bucket"], "inner", spread=["uid"])
-        many = land(sized.where(F.col("n") > most).drop("n"), "many")
+        large = sized.where(F.col("n") > most).drop("n")
+        many = land(large.join(large.groupBy("uid").agg(_buckets("buckets")), "uid"), "many")
         few = sized.where(F.col("n") <= most).groupBy("bucket").agg(F.collect_list(F.struct("uid", "class", "sketch")).alias("u"))
         # the window's limit is applied before its shuffle: a few rows of a bucket from each task
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("meets"), "uid"))
         led = many.withColumn("_place", place).where(F.col("_place") <= leaders)
         led = land(led.select("bucket", *(F.col(name).alias("led_" + name) for name in ("uid", "class", "sketch", "far")), "_place"), "leaders")
-        first = led.alias("led").join(many.alias("met"), "bucket")
+        first = led.join(led.groupBy("led_uid").agg(_buckets("led_buckets")), "led_uid").join(many, "bucket")
+        # a pair is made in the first bucket that it shares and that it has a leader in
+        once = F.try_element_at(F.array_intersect("led_buckets", "buckets"), F.lit(1)) == F.col("bucket")
         apart = F.coalesce(F.abs(F.col("led_far") - F.col("far")) <= widest, F.lit(True))
         # the first leader's distances to all are wanted, so it meets everyone once
         wanted = F.when(F.col("far").isNull(), F.lit(True)).otherwise(apart & _near("led_sketch", "sketch", limit))
-        met = first.where((F.col("class") != F.col("led_class")) & (F.col("uid") != F.col("led_uid")) & wanted)
+        met = first.where((F.col("class") != F.col("led_class")) & (F.col("uid") != F.col("led_uid")) & wanted & once)
         pairs = few.select(F.inline(_pairs("u", limit))).unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid")))).distinct()
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = land(tested.unionAll(_checked(pairs, met_texts, width, weighted)), "tested")
@@ -277,6 +280,11 @@ def links(prepared: DataFrame, members: DataFrame, similar: float, size: int, wi
         leaders, most = leaders * LEADERS, FEW
 
 
+def _buckets(name: str) -> Column:
+    """A member's buckets, at most one for each band."""
+    return F.sort_array(F.collect_set("bucket")).alias(name)
+
+
 _MEMBER = ["bucket", "uid", "sketch", "meets", "class", "size", "far"]
 
 
@@ -298,7 +306,7 @@ def _left_over(many: DataFrame, led: DataFrame, tested: DataFrame, similar: floa
     class is done if that holds for nobody outside of it.
     """
     roots = components(tested.where(F.col("similarity") >= similar).select("a", "b"))
-    rows = many.drop("class", "size").join(roots.toDF("uid", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
+    rows = many.drop("class", "size", "buckets").join(roots.toDF("uid", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
     firsts = led.where("_place = 1").select("bucket", "leader")
     rows = rows.join(firsts, "bucket").withColumns({"a": F.least("leader", "uid"), "b": F.greatest("leader", "uid")})
     rows = rows.join(tested, ["a", "b"], "left").withColumn("far", F.coalesce("far", 1 - F.col("similarity"), F.lit(0.0)))
