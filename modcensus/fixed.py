@@ -91,6 +91,31 @@ USER_MESSAGES = {
     "invalid_configuration": "Invalid configuration. Please check your settings.",
 }
 
+# --- fixed values: messages about scan targets, {} stands for a value --------------
+NO_TARGET = "Source must be a non-empty string"
+NO_PLATFORM = 'Invalid source format: "{}". Expected format: platform:identifier (e.g., github:myorg, local:/path/to/dir)'
+NO_IDENTIFIER = 'Missing identifier after "{}:"'
+UNSUPPORTED_PLATFORM = 'Unsupported platform: "{}". Supported platforms: {}'
+BAD_IDENTIFIER_FORM = 'Invalid {} identifier: "{}". Expected format: org[/repo]'
+BAD_IDENTIFIER = 'Invalid {} identifier: "{}". Must contain only alphanumeric characters, dots, hyphens, and underscores.'
+BAD_REPOSITORY = (
+    'Invalid {} repository: "{}". Must contain only alphanumeric characters, dots, hyphens, underscores, and slashes.'
+)
+BAD_URL_FORMAT = 'Invalid URL format: "{}". {}'
+BAD_URL = "Invalid URL"
+URL_WITHOUT_OWNER = "Invalid URL: missing group/organization in path"
+
+# --- fixed values: scopes of a scan -------------------------------------------------
+LOCAL_SCOPE = "Local directory: {}"
+REPOSITORY_SCOPE = "Single repository: {}"
+OWNER_SCOPE = "All repositories in {}"
+
+# --- fixed values: messages about directories ---------------------------------------
+NO_DIRECTORY = "Directory does not exist: {}"
+NOT_A_DIRECTORY = "Unable to access directory: {} - Path is not a directory: {}"
+DIRECTORY_DENIED = "Permission denied reading directory: {}"
+
+# --- fixed values: messages about repositories and contents -------------------------
 OWNER_REQUIRED = "Owner name is required and must be a non-empty string"
 REPOSITORY_REQUIRED = "Repository name is required and must be a non-empty string"
 BAD_GITHUB_CONTENT = "Unexpected response format from GitHub API"

@@ -3,8 +3,16 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from modcensus.fixed import GITHUB_PLATFORMS, GITLAB_PLATFORMS, LOCAL, PLATFORM_NAMES
-from modcensus.functions.text import looked_up, none_if_empty
+from modcensus.fixed import (
+    GITHUB_PLATFORMS,
+    GITLAB_PLATFORMS,
+    LOCAL,
+    LOCAL_SCOPE,
+    OWNER_SCOPE,
+    PLATFORM_NAMES,
+    REPOSITORY_SCOPE,
+)
+from modcensus.functions.text import filled, looked_up, none_if_empty
 
 
 def blob_url(
@@ -36,10 +44,10 @@ def target_text(identifier: Column, repository: Column) -> Column:
 def scope_text(platform: Column, identifier: Column, repository: Column) -> Column:
     base = F.regexp_extract(identifier, r"([^/]*)/*\z", 1)
     return (
-        F.when(platform == LOCAL, F.concat(F.lit("Local directory: "), base))
+        F.when(platform == LOCAL, filled(LOCAL_SCOPE, base))
         .when(
             none_if_empty(repository).isNotNull(),
-            F.concat(F.lit("Single repository: "), repository),
+            filled(REPOSITORY_SCOPE, repository),
         )
-        .otherwise(F.concat(F.lit("All repositories in "), identifier))
+        .otherwise(filled(OWNER_SCOPE, identifier))
     )

@@ -30,6 +30,12 @@ def in_locale_order(text: Column) -> Column:
     return F.collate(text, "UNICODE")
 
 
+def filled(template: str, *values: Column) -> Column:
+    """The template with its {} replaced by the values, NULL if one is."""
+    first, *others = template.split("{}")
+    return F.concat(F.lit(first), *(part for value, text in zip(values, others, strict=True) for part in (value, F.lit(text))))
+
+
 def looked_up(key: Column, table: dict) -> Column:
     """Value of ``key`` in a small fixed table, NULL when it is not there."""
     return F.create_map(*[F.lit(item) for pair in table.items() for item in pair])[key]

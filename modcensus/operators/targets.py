@@ -4,16 +4,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modcensus.fixed import (
+    BAD_IDENTIFIER,
+    BAD_IDENTIFIER_FORM,
+    BAD_REPOSITORY,
+    BAD_URL,
+    BAD_URL_FORMAT,
     GITHUB,
     GITHUB_SELF_HOSTED,
     GITLAB,
     GITLAB_SELF_HOSTED,
     LOCAL,
+    NO_IDENTIFIER,
+    NO_PLATFORM,
+    NO_TARGET,
     PLATFORM_ALIASES,
     SCANNABLE_PLATFORMS,
+    UNSUPPORTED_PLATFORM,
+    URL_WITHOUT_OWNER,
 )
 from modcensus.functions.links import platform_name, scope_text, target_text
-from modcensus.functions.text import looked_up
+from modcensus.functions.text import filled, looked_up
 from modcensus.runtime import evaluated
 
 # characters that a web address path, or a host, writes as %XX
@@ -27,12 +37,7 @@ def _platform(alias: Column) -> Column:
 
 
 def _unsupported(alias: Column) -> Column:
-    names = ", ".join(PLATFORM_ALIASES)
-    return F.concat(F.lit('Unsupported platform: "'), alias, F.lit(f'". Supported platforms: {names}'))
-
-
-def _quoted(before: str, text: Column, after: str) -> Column:
-    return F.concat(F.lit(before + '"'), text, F.lit('"' + after))
+    return filled(UNSUPPORTED_PLATFORM, alias, F.lit(", ".join(PLATFORM_ALIASES)))
 
 
 def _escaped(text: Column, pattern: str) -> Column:
@@ -137,13 +142,11 @@ def scan_targets(inputs: DataFrame, base_dir: str = "/") -> DataFrame:
         .otherwise(base)
     )
     url_problem = (
-        F.when(F.col("_bad_url"), "Invalid URL")
+        F.when(F.col("_bad_url"), BAD_URL)
         .when(base.isNull(), _unsupported(F.col("_url_alias")))
-        .when(F.size("_url_parts") == 0, "Invalid URL: missing group/organization in path")
-    )
-    url_error = F.when(
-        url_problem.isNotNull(), F.concat(_quoted("Invalid URL format: ", text, ". "), url_problem)
+        .when(F.size("_url_parts") == 0, URL_WITHOUT_OWNER)
     )
+    url_error = filled(BAD_URL_FORMAT, text, url_problem)
     url_parts = F.col("_url_parts")
     url_repository = F.when(
         F.size(url_parts) > 1, F.array_join(F.slice(url_parts, F.lit(2), F.size(url_parts)), "/")
@@ -157,43 +160,22 @@ def scan_targets(inputs: DataFrame, base_dir: str = "/") -> DataFrame:
         F.size("_parts") > 1, F.array_join(F.slice("_parts", F.lit(2), F.size("_parts")), "/")
     )
     vcs_error = (
-        F.when(
-            first == "",
-            F.concat(
-                F.lit("Invalid "), platform, _quoted(" identifier: ", F.col("_remainder"), ""),
-                F.lit(". Expected format: org[/repo]"),
-            ),
-        )
-        .when(
-            ~first.rlike(r"\A[a-zA-Z0-9._-]+\z"),
-            F.concat(
-                F.lit("Invalid "), platform, _quoted(" identifier: ", first, ""),
-                F.lit(". Must contain only alphanumeric characters, dots, hyphens, and underscores."),
-            ),
-        )
+        F.when(first == "", filled(BAD_IDENTIFIER_FORM, platform, F.col("_remainder")))
+        .when(~first.rlike(r"\A[a-zA-Z0-9._-]+\z"), filled(BAD_IDENTIFIER, platform, first))
         .when(
             (repository != "") & ~repository.rlike(r"\A[a-zA-Z0-9._/-]+\z"),
-            F.concat(
-                F.lit("Invalid "), platform, _quoted(" repository: ", repository, ""),
-                F.lit(". Must contain only alphanumeric characters, dots, hyphens, underscores, and slashes."),
-            ),
+            filled(BAD_REPOSITORY, platform, repository),
         )
     )
     short_error = (
-        F.when(
-            ~text.contains(":"),
-            _quoted(
-                "Invalid source format: ", text,
-                ". Expected format: platform:identifier (e.g., github:myorg, local:/path/to/dir)",
-            ),
-        )
-        .when(F.col("_remainder") == "", F.concat(F.lit('Missing identifier after "'), F.col("_alias"), F.lit(':"')))
+        F.when(~text.contains(":"), filled(NO_PLATFORM, text))
+        .when(F.col("_remainder") == "", filled(NO_IDENTIFIER, F.col("_alias")))
         .when(platform.isNull(), _unsupported(F.col("_alias")))
         .when(platform != LOCAL, vcs_error)
     )
 
     is_url = F.col("_is_url")
-    error = F.when(text.isNull() | (text == ""), "Source must be a non-empty string").when(
+    error = F.when(text.isNull() | (text == ""), NO_TARGET).when(
         is_url, url_error
     ).otherwise(short_error)
     rows = evaluated(rows, error=error)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from modcensus.fixed import SKIP_DIRECTORIES
+from modcensus.fixed import DIRECTORY_DENIED, NO_DIRECTORY, NOT_A_DIRECTORY, SKIP_DIRECTORIES
 from modcensus.functions.classify import file_type
 from modcensus.operators.files import keep_file_types, match_paths
 from modcensus.schemas import IAC_FILES
@@ -28,13 +28,11 @@ def _enters(name: str) -> bool:
 def check_root(root: str) -> None:
     """Raise unless ``root`` is a directory that can be read."""
     if not os.path.lexists(root):
-        raise FileNotFoundError(f"Directory does not exist: {root}")
+        raise FileNotFoundError(NO_DIRECTORY.format(root))
     if not os.path.isdir(root):
-        raise NotADirectoryError(
-            f"Unable to access directory: {root} - Path is not a directory: {root}"
-        )
+        raise NotADirectoryError(NOT_A_DIRECTORY.format(root, root))
     if not os.access(root, os.R_OK):
-        raise PermissionError(f"Permission denied reading directory: {root}")
+        raise PermissionError(DIRECTORY_DENIED.format(root))
 
 
 BATCH_BYTES, BATCH_FILES = 8 << 20, 1_000
