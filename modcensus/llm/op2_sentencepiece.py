@@ -353,12 +353,13 @@ def scan(matrices: DataFrame, fan: int = FAN) -> DataFrame:
     else:
         products = land(ends.groupBy("uid", "block").applyInPandas(_multiply, "uid LONG, place LONG, pairs ARRAY<ARRAY<LONG>>"), "products")
         ends = ends.join(scan(products, fan).withColumnRenamed("place", "block"), ["uid", "block"])
-    found = ends.select("uid", "block", "place", "pairs", "entry", "exit")
+    tasks = int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are small, the work is not
+    found = ends.select("uid", "block", "place", "pairs", "entry", "exit").repartition(tasks, "uid", "block")
     return land(found.groupBy("uid", "block").applyInPandas(_settle, "uid LONG, place LONG, entry LONG, exit LONG"), "states")
 
 
-def encoded(docs: DataFrame, model: str, size: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """(uid, doc_id, text_crc32, chunk, chunks, ids): a row for each chunk of each document.
+def encoded(docs: DataFrame, model: str, size: int = CHUNK, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """(uid, doc_id, text_crc32, chunk, chunks, ids): rows of documents in one chunk, and of the others' chunks.
 
     A document of fewer than ``size`` characters is one chunk; the others are landed in theirs.
     ids are little-endian u32, text_crc32 is that of the whole text, uid numbers the documents.
@@ -372,7 +373,7 @@ def encoded(docs: DataFrame, model: str, size: int = CHUNK, fan: int = FAN) -> D
     matrices = land(giant.mapInArrow(_transfer(model, size), "uid LONG, place LONG, pairs ARRAY<ARRAY<LONG>>"), "matrices")
     states = scan(matrices, fan).select("uid", F.col("place").cast("int").alias("chunk"), "entry", "exit")
     traced = giant.join(states, ["uid", "chunk"]).mapInArrow(_retrace(model, size), ROWS + ", ids BINARY")
-    return whole.unionByName(traced)
+    return whole, traced
 
 
 def _decode(path: str):
@@ -391,10 +392,10 @@ def decoded(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.mapInArrow(_decode(model), ROWS + ", ids BINARY, text STRING")
 
 
-def whole_documents(chunks: DataFrame) -> DataFrame:
-    """(uid, doc_id, text_crc32, chunks, ids, text) of decoded chunks; one row a document, as long as it."""
+def whole_documents(whole: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(uid, doc_id, text_crc32, chunks, ids, text) of both decoded parts; one row a document, as long as it."""
     columns = ["uid", "doc_id", "text_crc32", "chunks"]
-    parts = chunks.where("chunks > 1").groupBy(*columns).agg(F.sort_array(F.collect_list(F.struct("chunk", "ids", "text"))).alias("parts"))
+    parts = chunks.groupBy(*columns).agg(F.sort_array(F.collect_list(F.struct("chunk", "ids", "text"))).alias("parts"))
     ids = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), ""))
     text = F.array_join(F.transform("parts", lambda x: x["text"]), "")
-    return chunks.where("chunks = 1").select(*columns, "ids", "text").unionByName(parts.select(*columns, ids.alias("ids"), text.alias("text")))
+    return whole.select(*columns, "ids", "text").unionByName(parts.select(*columns, ids.alias("ids"), text.alias("text")))

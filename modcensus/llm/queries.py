@@ -35,8 +35,8 @@ def op1_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    chunks = op2_sentencepiece.encoded(table(spark, sf_dir, "documents"), model)
-    rows = op2_sentencepiece.whole_documents(op2_sentencepiece.decoded(chunks, model))
+    parts = op2_sentencepiece.encoded(table(spark, sf_dir, "documents"), model)
+    rows = op2_sentencepiece.whole_documents(*(op2_sentencepiece.decoded(part, model) for part in parts))
     return rows.select(
         "doc_id",
         "chunks",

@@ -69,8 +69,8 @@ def test_scan_over_levels(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = {1: "internationalization of " * 90, 2: "aaaaaaab" * 200, 3: "short", 4: ""}
     frame = spark.createDataFrame(list(docs.items()), "doc_id LONG, text STRING")
-    chunks = op2_sentencepiece.encoded(frame, path, 100, fan=2)
-    rows = op2_sentencepiece.whole_documents(op2_sentencepiece.decoded(chunks, path)).collect()
+    parts = op2_sentencepiece.encoded(frame, path, 100, fan=2)
+    rows = op2_sentencepiece.whole_documents(*(op2_sentencepiece.decoded(part, path) for part in parts)).collect()
     library = op2_sentencepiece.Pieces(path).library
     for row in rows:
         assert np.frombuffer(row.ids, "<u4").tolist() == library.encode(docs[row.doc_id])
