@@ -1,9 +1,10 @@
 """Toxicity after noisy-channel deobfuscation.
 
-A character trigram model is counted over all texts. Tokens that may be disguised (letters written as
-digits or signs, letters set apart, letters repeated) become lattices of what each character may
-stand for; the Viterbi path under channel costs and the character model restores them. A logistic
-regression over hashed words and parts of words, fitted on labelled rows, scores the restored text.
+A character trigram model is counted over all texts. Every token that may be read in another way
+(letters written as digits or signs, letters repeated) and every run of three or more single
+characters becomes a lattice of what each character may stand for; the Viterbi path under channel
+costs and the character model restores it, or keeps it as written. A logistic regression over hashed
+words and parts of words, fitted on labelled rows, scores the restored text.
 
 Defined cases: null and empty texts are scored like any text without features (the calibrated bias);
 without labels the score is 0, with labels of one kind that kind's share; repeated rows get equal
@@ -37,22 +38,23 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
 #: log chances of the channel
-SUBSTITUTED, LITERAL_SIGN, REPEATED, SET_APART, REAL_BREAK = -1.0, -12.0, -2.0, -0.3, -1.0
+SUBSTITUTED, DOUBLED, REPEATED, SET_APART, REAL_BREAK = -1.0, -4.0, -2.0, -0.3, -1.0
+#: log chances of a sign that is meant as written: before or between letters, standing apart, and
+#: (digits, other signs) behind the last letter, where more of the same sign cost nothing
+LITERAL_SIGN, LITERAL_APART, LITERAL_DIGIT, LITERAL_END = -12.0, -4.0, -4.0, -1.0
+BETWEEN = -3.0  # a sign that only sets letters apart
 SYMBOLS = 64
 _BREAK = 0
 _OTHER = 59
 _TOKEN = r"[^\W_]|[@$!|+]"
-_TRIGGER = re.compile(r"[0-9@$!|+](?=[^\W\d_])|(?<=[^\W\d_])[0-9](?!\w)|([^\W\d_])\1\1")
+_NO_TOKEN = r"(?:(?![^\W_]|[@$!|+])[\s\S])"
+#: a token with more than one reading has a sign next to a letter or a letter twice in a row
+_TRIGGER = re.compile(r"[0-9@$!|+](?=[^\W\d_])|(?<=[^\W\d_])[0-9@$!|+]|([^\W\d_])(?i:\1)")
 _IN_TOKEN = re.compile(_TOKEN)
 _REST = re.compile(f"(?:{_TOKEN})*")
-_ONE = r"(?:[^\W\d_]|[0-9@$!|+])"
-_APART = re.compile(rf"(?<![\w@$!|+]){_ONE}([ .\-_*])(?:{_ONE}\1){{2,}}{_ONE}(?![^\W_]|[@$!|+])")
-_SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in STANDS_FOR]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_GAP = np.zeros(256, bool)
-_GAP[list(b" .-_*")] = True
+_ONE = rf"(?:{_TOKEN})(?!{_TOKEN})"
+#: three or more single characters, up to three others between them
+_APART = re.compile(rf"(?<![^\W_])(?<![@$!|+]){_ONE}(?:{_NO_TOKEN}{{1,3}}{_ONE}){{2,}}")
 
 
 def _symbol_of(character: str) -> int:
@@ -114,34 +116,55 @@ class Restorer:
             self._known[token] = self._viterbi(token)
         return self._known[token]
 
-    def _options(self, token: str, i: int) -> list[tuple[str, float]]:
-        """What character i may stand for, with the channel's log chances."""
+    def _options(self, token: str, i: int, last: int, apart: bool) -> list[tuple[str, float]]:
+        """What character i may stand for, with the channel's log chances.
+
+        ``last`` is the place of the token's last letter; ``apart`` tells a run of single characters.
+        """
         character = token[i]
         if character.isalpha():
-            again = i and token[i - 1].lower() == character.lower()
-            return [(character, 0.0), ("", REPEATED)] if again else [(character, 0.0)]
-        found = [(letter, SUBSTITUTED) for letter in STANDS_FOR.get(character, "")]
-        if found:
-            again = i and token[i - 1] == character
-            return found + [(" ", LITERAL_SIGN)] + [("", REPEATED)] * bool(again)
-        return [("", SET_APART), (" ", REAL_BREAK)]
+            again = [i >= n and token[i - n].lower() == character.lower() for n in (1, 2)]
+            return [(character, 0.0)] + [("", REPEATED if again[1] else DOUBLED)] * again[0]
+        if character not in STANDS_FOR:
+            return [(character, 0.0)] if _IN_TOKEN.match(character) else [("", SET_APART), (character, REAL_BREAK)]
+        again = i > 0 and token[i - 1] == character
+        found = [(letter, SUBSTITUTED) for letter in STANDS_FOR[character]] + [("", REPEATED)] * again
+        if apart:
+            return [*found, (character, LITERAL_APART)]
+        if i > last:
+            return [*found, (character, LITERAL_DIGIT if character.isdigit() else 0.0 if again else LITERAL_END)]
+        between = [("", BETWEEN)] if i and not character.isdigit() else []
+        return [*found, *between, (character, LITERAL_SIGN)]
 
     def _viterbi(self, token: str) -> str:
-        """The best reading; a state is the last two symbols, paths are linked backwards."""
+        """The best reading; a state is the last two symbols, paths are linked backwards.
+
+        Without any letter the token stays.
+        """
+        last = max((i for i, character in enumerate(token) if character.isalpha()), default=-1)
+        if last < 0:
+            return token
+        apart = not all(map(_IN_TOKEN.match, token))
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(_BREAK, _BREAK): (0.0, None)}
         for i in range(len(token)):
             following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for text, cost in self._options(token, i):
+            for text, cost in self._options(token, i, last, apart):
                 symbol = _symbol_of(text) if text else None
                 for (a, b), (score, path) in best.items():
-                    if symbol is None or (symbol == _BREAK and b == _BREAK):
+                    if symbol is None:
                         state, total, linked = (a, b), score + cost, path
+                    elif symbol == _BREAK and b == _BREAK:  # breaks do not repeat in the model
+                        state, total, linked = (a, b), score + cost, (path, text)
                     else:
                         state, total, linked = (b, symbol), score + cost + float(self._model[a, b, symbol]), (path, text)
                     if state not in following or total > following[state][0]:
                         following[state] = (total, linked)
             best = following
-        _, path = max(((score + float(self._model[a, b, _BREAK]), path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])
+
+        def ended(state: tuple[int, int], score: float) -> float:
+            return score if state[1] == _BREAK else score + float(self._model[*state, _BREAK])
+
+        _, path = max(((ended(state, score), path) for state, (score, path) in best.items()), key=lambda x: x[0])
         parts = []
         while path:
             path, text = path
@@ -149,8 +172,17 @@ class Restorer:
         return "".join(reversed(parts))
 
     def restored(self, text: str) -> str:
-        """The text with its disguised tokens decoded; all else stays."""
-        text = _APART.sub(lambda m: self.decoded(m[0]) if any(map(str.isalpha, m[0])) else m[0], text)
+        """The text with the best readings of its tokens and of its runs of single characters.
+
+        Tokens without a trigger have one reading, that as written.
+        """
+        parts, at = [], 0
+        for run in _APART.finditer(text):
+            parts += [self._restored_tokens(text[at : run.start()]), self.decoded(run[0])]
+            at = run.end()
+        return "".join(parts) + self._restored_tokens(text[at:])
+
+    def _restored_tokens(self, text: str) -> str:
         parts, at = [], 0
         for trigger in _TRIGGER.finditer(text):
             start = trigger.start()
@@ -165,18 +197,10 @@ class Restorer:
 
 
 def suspicious(found: Texts) -> np.ndarray:
-    """Of each text whether its bytes call for a closer look: a sign next to a letter, a letter
-    three times in a row, or two single letters set apart inside a row of such."""
-    data, size = found.data, len(found.data)
-    padded = np.append(data, np.zeros(4, np.uint8))
-    letter, sign, gap = _LETTER[padded], _SIGN[padded], _GAP[padded]
-    marks = (sign[:size] & letter[1 : size + 1]) | (letter[:size] & sign[1 : size + 1])
-    marks |= letter[:size] & (padded[:size] == padded[1 : size + 1]) & (padded[:size] == padded[2 : size + 2])
-    either = letter | sign
-    single = either[1 : size + 1] & gap[2 : size + 2] & either[3 : size + 3] & ~either[4 : size + 4]
-    marks |= single & gap[:size]
-    sums = np.append(0, np.cumsum(marks))
-    return sums[found.offsets[1:]] > sums[found.offsets[:-1]]
+    """Of each text whether it has a token or a run with more than one reading."""
+    data = found.data.tobytes()
+    whole = [data[a:b].decode() for a, b in zip(found.offsets[:-1], found.offsets[1:], strict=True)]
+    return np.array([bool(_TRIGGER.search(text) or _APART.search(text)) for text in whole], bool)
 
 
 def _prepare(model: np.ndarray):

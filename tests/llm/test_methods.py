@@ -89,6 +89,30 @@ def test_disguises_are_restored(spark):
     assert op3_toxicity.suspicious(found).tolist() == [False, True, True, True]
 
 
+def decoded_everywhere(restorer, text):
+    """Unrestricted: every token and every run of single characters is decoded."""
+    token = r"(?:[^\W_]|[@$!|+])"
+    units = re.compile(rf"(?<![^\W_])(?<![@$!|+]){token}(?!{token})(?:(?:(?!{token})[\s\S]){{1,3}}{token}(?!{token})){{2,}}|{token}+")
+    return units.sub(lambda unit: restorer.decoded(unit[0]), text)
+
+
+def test_every_token_that_may_be_disguised_is_decoded(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    restorer = op3_toxicity.Restorer(op3_toxicity.character_model(docs))
+    spelled = ["iiddiioott", "idio+", "idi07", "i  d  i  o  t", "i/d/i/o/t", "i,d,i,o,t", "i. d. i. o. t", "i.d-i.o-t", "i\u2009d\u2009i\u2009o\u2009t", "i·d·i·o·t"]
+    for plain, disguised in [*(("idiot", x) for x in spelled), ("moron", "moorroon"), ("stupid", "stuupidd"), ("Trash", "TrRrash"), ("ass", "a s s")]:
+        assert restorer.restored(f"so {disguised} it") == f"so {plain} it"
+        assert op3_toxicity.suspicious(op3_toxicity.texts(pa.array([disguised]))).all()
+    for literal in ("a$$$ as$ that! was!!", "hello 22 hunter22", "3.5 + 4.0 = 7.5", "1/2/3/4"):
+        assert restorer.restored(literal) == literal
+    pick = random.Random(3)
+    odd = ["".join(pick.choice("idotTa$07+!1 .-é/\n漢_²") for _ in range(pick.randint(0, 25))) for _ in range(3000)]
+    for text in [*odd, *nasty(500, 12), *filter(None, texts(MEDIUM).values())]:
+        assert restorer.restored(text) == decoded_everywhere(restorer, text)
+    changed = [text for text in odd if restorer.restored(text) != text]
+    assert op3_toxicity.suspicious(op3_toxicity.texts(pa.array(changed))).all()
+
+
 def test_toxicity_of_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     rows = queries.op3_toxicity_query(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").toPandas()
