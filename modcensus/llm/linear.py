@@ -13,6 +13,7 @@ import numpy as np
 from modcensus.llm.vectext import Texts, mix, span_hashes, words
 
 BITS = 18
+POWER = 4  # how fast features of less significance count less
 
 
 @dataclass(frozen=True)
@@ -105,8 +106,9 @@ def fit(features: Features, rows: list[tuple[np.ndarray, np.ndarray]], labels: n
     The calibration is a slope and a shift of the margin, fitted to probabilities under ``prior``,
     the share of label 1 in the data that the rows were drawn from. Its margins are those of models
     that were fitted without the row (cross-fitting over ``folds``).
-    Features seen in one row only are left out, and with ``significant`` those whose shares of the
-    rows of either label differ by fewer standard errors.
+    Features seen in one row only are left out. With ``significant``, features whose shares of the
+    rows of either label differ by fewer standard errors count less, the ridge penalty on their
+    weights growing with the shortfall; none is left out for it.
     """
     if not len(labels) or labels.min() == labels.max():
         chance = float(labels.mean()) if len(labels) else prior
@@ -120,13 +122,14 @@ def fit(features: Features, rows: list[tuple[np.ndarray, np.ndarray]], labels: n
 
     def trained(own: np.ndarray) -> tuple[np.ndarray, float]:
         """Weights of all features, from the rows ``own``; both labels count alike."""
-        telling = _telling(doc, feature, labels, own, significant)
+        trust = _trust(doc, feature, labels, own, significant)
+        telling = trust > 0
         used = np.flatnonzero(telling)
         keep = telling[feature] & own[doc]
         weight = own * np.where(labels == 1, 0.5 / max((own & (labels == 1)).sum(), 1), 0.5 / max((own & (labels == 0)).sum(), 1))
-        w, b = _descend(doc[keep], (np.cumsum(telling) - 1)[feature[keep]], value[keep], labels, len(used), weight, rounds, step, ridge / 10)
+        w, b = _descend(doc[keep], (np.cumsum(telling) - 1)[feature[keep]], value[keep] * trust[feature[keep]], labels, len(used), weight, rounds, step, ridge / 10)
         full = np.zeros(1 << BITS)
-        full[used] = w
+        full[used] = w * trust[used]
         return full, b
 
     turn = np.empty(len(labels), np.int64)
@@ -143,14 +146,21 @@ def fit(features: Features, rows: list[tuple[np.ndarray, np.ndarray]], labels: n
     return LinearModel(features, w.astype(np.float32), b, slope, shift)
 
 
-def _telling(doc, feature, labels, own, significant) -> np.ndarray:
-    """Of each feature whether it may have a weight; only the rows ``own`` have a say."""
+def _trust(doc, feature, labels, own, significant) -> np.ndarray:
+    """A factor of each feature's value, up to 1; only the rows ``own`` have a say.
+
+    A factor t is a ridge penalty 1 / t ** 2 times as strong; 0 is a feature of fewer than two rows.
+    """
     ones, zeros = (labels == 1) & own, (labels == 0) & own
     seen = [np.bincount(feature, rows[doc], minlength=1 << BITS) for rows in (ones, zeros)]
+    repeated = seen[0] + seen[1] > 1
+    if not significant:
+        return repeated.astype(np.float64)
     n, m = max(ones.sum(), 1), max(zeros.sum(), 1)
     mean = (seen[0] + seen[1]) / (n + m)
     error = np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n + 1 / m))
-    return (seen[0] + seen[1] > 1) & (np.abs(seen[0] / n - seen[1] / m) >= significant * error)
+    away = np.abs(seen[0] / n - seen[1] / m) / (significant * error)
+    return repeated * np.minimum(away, 1) ** POWER
 
 
 def _calibrate(margin: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

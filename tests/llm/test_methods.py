@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from modcensus.llm import op2_sentencepiece, op3_toxicity, op4_near_duplicates, op6_secrets, op9_sharding, op10_packing, queries
 from modcensus.llm.bpe import TextEncoder
 from modcensus.llm.components import components
+from modcensus.llm.linear import Features, fit
 from modcensus.llm.vectext import mix
 from tests.llm.conftest import MEDIUM, SMALL
 
@@ -120,6 +121,18 @@ def test_toxicity_of_held_out_rows(spark):
     assert rows[rows.toxic == 0].predicted.mean() < 0.01
 
 
+def test_rare_toxic_words_keep_a_weight():
+    features, pick = Features(presence=True), random.Random(2)
+    for ones, zeros in ((1000, 1000), (300, 2000)):
+        labels = np.array([1] * ones + [0] * zeros)
+        plain = [" ".join(pick.choice("abcdefgh") for _ in range(6)) + " filler" for _ in labels]
+        told = [f"{text} slur" if i % (ones // 8) == 0 and label else f"{text} insult" if label and i % 2 else text for i, (text, label) in enumerate(zip(plain, labels, strict=True))]
+        rows = [features.of(op3_toxicity.texts(pa.array([text])))[1:] for text in told]
+        model = fit(features, rows, labels, 0.1, op3_toxicity.SIGNIFICANT)
+        with_slur, without = model.margins(op3_toxicity.texts(pa.array(["a b filler slur", "a b filler"])))
+        assert with_slur > without + 0.1
+
+
 def shingles(text):
     words = text.encode().lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
