@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from modcensus.llm.common import whole_text, with_results
 
 UNKNOWN = "und"
-DICTIONARY = 1 << 17  # bytes of a language's dictionary
-SAMPLE = 250  # documents that a dictionary is made from
-SAMPLE_BYTES = 1 << 15  # longer texts are not used for dictionaries
+SAMPLE = 250  # documents that a language's dictionary is made from
+SAMPLE_BYTES = 1 << 15  # of a longer text, a piece of so many bytes
 PIECE = 1_000  # letters compressed at once
 LEVEL = 3
 NARROW = 0.01
@@ -40,8 +39,15 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[zstandard.
     made = []
     for _, content in dictionaries:
         raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        raw.precompute_compress(LEVEL)
-        made.append(zstandard.ZstdCompressor(LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False))
+        # the level's own tables and window reach back one megabyte only
+        bits = len(content).bit_length()
+        if len(content) > 1 << 20:
+            chosen = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), source_size=PIECE, hash_log=bits - 2, chain_log=bits - 2, window_log=bits + 1, write_content_size=False, write_dict_id=False)
+            raw.precompute_compress(compression_params=chosen)
+            made.append(zstandard.ZstdCompressor(compression_params=chosen, dict_data=raw))
+        else:
+            raw.precompute_compress(LEVEL)
+            made.append(zstandard.ZstdCompressor(LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False))
     return made
 
 
@@ -57,24 +63,32 @@ def classify(text: str, dictionaries: tuple[tuple[str, bytes], ...]) -> tuple[st
     return dictionaries[best][0], 1 - sizes[best] / min(others) if others else 1.0
 
 
+def _piece() -> Column:
+    """The whole text, or the middle of one of more than ``SAMPLE_BYTES``, of so many bytes at most."""
+    size, most = F.octet_length("text"), F.lit(SAMPLE_BYTES)
+    # characters have up to four bytes
+    middle = F.substring("text", F.greatest(F.lit(1), F.length("text") / 2 - SAMPLE_BYTES // 8).cast("int"), F.lit(SAMPLE_BYTES // 4))
+    return F.when(size <= most, F.col("text")).otherwise(middle)
+
+
 def learn(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> tuple[tuple[str, bytes], ...]:
-    """A dictionary of equal bound for each language of the allowed documents.
+    """A dictionary of an equal sample for each language of the allowed documents.
 
-    One row a language and about ``sample`` short texts of each come to the driver.
+    One row a language and about ``sample`` texts of each, or pieces of long ones, come to the driver.
     """
     known = docs.where(allowed & F.col("lang").isNotNull()).select("doc_id", "lang", whole_text().alias("text"))
-    known = known.where((F.octet_length("text") <= SAMPLE_BYTES) & (F.octet_length("text") > 0))
+    known = known.where(F.octet_length("text") > 0)
     counts = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return ()
     space = 1 << 30
     below = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(space * min(1, sample / n)))))
     order = F.xxhash64("text")
-    chosen = known.where(F.pmod(order, F.lit(space)) < below[F.col("lang")]).groupBy("lang", order.alias("order")).agg(F.min("text").alias("text"))
+    chosen = known.where(F.pmod(order, F.lit(space)) < below[F.col("lang")]).groupBy("lang", order.alias("order")).agg(F.min(_piece()).alias("text"))
     found: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts)}
     for row in sorted(chosen.collect(), key=lambda row: row["order"]):
         found[row["lang"]].append(letters(row["text"]).encode())
-    return tuple((lang, b" ".join(parts)[-DICTIONARY:]) for lang, parts in found.items() if sum(map(len, parts)) >= 8)
+    return tuple((lang, b" ".join(parts)) for lang, parts in found.items() if sum(map(len, parts)) >= 8)
 
 
 def _identify(dictionaries, narrow: float):

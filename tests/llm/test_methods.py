@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from modcensus.llm import op2_sentencepiece, op3_toxicity, op4_near_duplicates, op6_secrets, op9_sharding, op10_packing, queries
+from modcensus.llm import op1_language, op2_sentencepiece, op3_toxicity, op4_near_duplicates, op6_secrets, op9_sharding, op10_packing, queries
 from modcensus.llm.bpe import TextEncoder
 from modcensus.llm.components import components
 from modcensus.llm.linear import Features, fit
@@ -49,6 +49,25 @@ def test_language_of_held_out_rows(spark):
     assert right > 0.95
 
 
+def test_dictionaries_hold_the_whole_sample(spark):
+    def words(start, n):
+        return " ".join("".join(chr(97 + int(d)) for d in str(i)) for i in range(start, start + n))
+
+    rows = [("xx", words(10_000 + 1000 * i, 1000)) for i in range(40)] + [("yy", words(900_000, 9_000)), ("zz", "漢" * 30_000)]
+    docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id LONG, lang STRING, text STRING")
+    made = dict(op1_language.learn(docs, F.lit(True)))
+    assert sorted(made) == ["xx", "yy", "zz"]
+    assert all(text.encode() in made["xx"] for lang, text in rows if lang == "xx")
+    assert all(4_000 < len(made[lang]) <= op1_language.SAMPLE_BYTES for lang in ("yy", "zz"))
+
+
+def test_all_of_a_long_dictionary_is_used():
+    pick = random.Random(1)
+    content = bytes(pick.choices(b"abcdefghijklmnopqrstuvwxyz ", k=2_500_000))
+    compressor = op1_language._compressors((("xx", content),))[0]
+    assert all(len(compressor.compress(content[at : at + 1000])) < 100 for at in range(0, len(content), 100_000))
+
+
 def test_pieces_of_chunks_are_those_of_the_library():
     model = op2_sentencepiece.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     for text in [*nasty(40, 200), "a" * 700, " " * 700, "internationalization" * 40, "漢字" * 100]:
