@@ -27,7 +27,6 @@ from modcensus.llm.common import land, whole_text
 
 PIECES = "doc_id LONG, piece INT, start LONG, length LONG, ids_crc32 LONG"
 GROUP = 20_000  # pieces that one task packs together
-ROUNDS = 3
 OUT_ROWS = 20_000
 
 
@@ -118,7 +117,8 @@ def _pack_group(most: int, packing_round: int):
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["length"].to_numpy(np.int64)
         into, offset, held = best_fit_decreasing(lengths, most)
-        rows["sequence_id"] = ((np.int64(packing_round) << 31 | np.int64(key[0])) << 24) | into
+        # 18 bits for the round, 25 for the group and 20 for its sequence
+        rows["sequence_id"] = ((np.int64(packing_round) << 25 | np.int64(key[0])) << 20) | into
         rows["offset"] = offset
         gap = len(held) - lower_bound(lengths, most)
         # a certified group is final, and so are full sequences
@@ -135,11 +135,11 @@ def _packed(rows: DataFrame, count: int, most: int, packing_round: int, group: i
     return land(dealt.groupBy("_group").applyInPandas(_pack_group(most, packing_round), schema), f"packed-{packing_round}")
 
 
-def pack(pieces: DataFrame, most: int, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, most: int, group: int = GROUP) -> DataFrame:
     """All columns of ``pieces`` (``length`` from 1 to ``most``), sequence_id and offset.
 
-    Groups have ``group`` pieces on average whatever the table's size; ``rounds`` bounds how often
-    documents are exchanged. Every round's rows are landed, so nothing is packed twice.
+    Groups have ``group`` pieces on average whatever the table's size; documents are exchanged
+    until a round saves no sequence. Every round's rows are landed, so nothing is packed twice.
     """
     landed = land(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     full = F.col("length") == most
@@ -153,7 +153,7 @@ def pack(pieces: DataFrame, most: int, group: int = GROUP, rounds: int = ROUNDS)
         settled, released = current.where("_final"), current.where("NOT _final")
         count, before = released.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
         packing_round += 1
-        if not count or packing_round > rounds:
+        if not count:
             done.append(current)
             break
         again = _packed(released.drop("sequence_id", "offset", "_final"), count, most, packing_round, group)

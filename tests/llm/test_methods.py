@@ -249,6 +249,24 @@ def test_packing_exchanges_between_groups(spark):
     assert found["sequence_id"].nunique() <= 1.03 * len(alone)
 
 
+def test_packing_exchanges_until_a_round_saves_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(200, 600, 1500))], "doc_id LONG, length LONG")
+    counts, packed = [], op10_packing._packed
+
+    def counted(rows, *bounds):
+        made = packed(rows, *bounds)
+        open_ones = made.where("NOT _final")
+        counts.append((made.select("sequence_id").distinct().count(), open_ones.select("sequence_id").distinct().count()))
+        return made
+
+    monkeypatch.setattr(op10_packing, "_packed", counted)
+    found = op10_packing.pack(pieces, 1024, group=30).toPandas()
+    assert len(found) == 1500 and found.groupby("sequence_id")["length"].sum().max() <= 1024 and found["sequence_id"].min() >= 0
+    assert len(counts) > 4
+    assert counts[-1][1] == 0 or counts[-1][0] >= counts[-2][1]
+
+
 def test_bounds_hold_for_best_packings():
     assert op10_packing.lower_bound(np.array([600, 600, 600]), 1024) == 3
     assert op10_packing.lower_bound(np.array([512] * 4), 1024) == 2
