@@ -8,8 +8,8 @@ Two sets agree in a coordinate with the probability of their weighted Jaccard si
 weighs every window 1, as its similarity is that of window sets.
 
 Signatures are cut into bands; texts with an equal band meet in a bucket. Texts with equal windows
-are one text from here on. Pairs whose sketches (four bits of each coordinate) differ too much are no
-candidates. At first all pairs are made in the smallest buckets only. In the others the text that
+are one text from here on. Pairs whose sets differ too much in size for any link are no candidates.
+At first all pairs are made in the smallest buckets only. In the others the text that
 meets most others leads: it alone is checked against the others, and texts linked to it are in its
 class. Only what may still link different classes stays; then buckets of at most ``FEW`` are done
 with all such pairs, and in larger ones the next leaders, of the smallest classes, are checked
@@ -116,30 +116,9 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, 16 coordinates in a 64-bit integer."""
-    lanes = np.zeros((len(signatures), -(-signatures.shape[1] // 16) * 16), np.uint64)
-    lanes[:, : signatures.shape[1]] = signatures & np.uint64(15)
-    shifts = np.arange(0, 64, 4, dtype=np.uint64)
-    return (lanes.reshape(len(signatures), -1, 16) << shifts).sum(2, dtype=np.uint64)
-
-
-def most_differing(size: int, similar: float) -> int:
-    """In how many coordinates the sketches of a link differ at most.
-
-    Four bits agree with the chance similarity + (1 - similarity) / 16; the bound is four standard
-    errors beyond the mean of a link that is just similar enough.
-    """
-    differ = (1 - similar) * 15 / 16
-    return math.ceil(size * differ + 4 * math.sqrt(size * differ * (1 - differ)))
-
-
-def _near(x, y, limit: int) -> Column:
-    """Whether two sketches differ in at most ``limit`` coordinates."""
-    other = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
-    halves = F.transform(other, lambda d: d.bitwiseOR(F.shiftrightunsigned(d, 2)))
-    lanes = F.transform(halves, lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x1111111111111111))))
-    return F.aggregate(lanes, F.lit(0), lambda total, d: total + d) <= limit
+def _near(x, y, similar: float) -> Column:
+    """Whether sets of these total weights can be a link; the lesser in the greater is the most."""
+    return F.least(x, y) >= (similar - 1e-9) * F.greatest(x, y)
 
 
 def _distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,9 +146,8 @@ def _sign(bands: int, rows: int, width: int, weighted: bool, out: pa.Schema):
             forms = np.stack(sums, 1).tobytes()
             form = [forms[16 * i : 16 * i + 16] if some[i] else None for i in range(len(found))]
             lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(some * bands)).astype(np.int32), keys[some].ravel())
-            bits = sketches(signatures).astype(np.int64)
-            bits = pa.ListArray.from_arrays((np.arange(len(bits) + 1) * bits.shape[1]).astype(np.int32), bits.ravel())
-            made = [*batch.columns[:2], pa.array(form, pa.binary()), lists, bits, *batch.columns[2:]]
+            total = pa.array(np.bincount(doc, weights, minlength=len(found)).astype(np.int64))
+            made = [*batch.columns[:2], pa.array(form, pa.binary()), lists, total, *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(made, schema=out)
 
     return read
@@ -183,13 +161,13 @@ def _sums(values: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, weighted: bool = False, carried: list[str] | None = None) -> DataFrame:
-    """uid, doc_id, form (equal for equal window sets), band keys, sketch, text and ``row`` of each document.
+    """uid, doc_id, form (equal for equal window sets), band keys, windows (total weight), text and ``row`` of each document.
 
     ``row`` is a struct of the columns ``carried`` and of whether the text was null.
     """
     row = F.struct(*(F.col(name) for name in carried or []), F.col("text").isNull().alias("_no_text_"))
     read = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), row.alias("row"))
-    made = T._parse_datatype_string("form BINARY, bands ARRAY<LONG>, sketch ARRAY<LONG>")
+    made = T._parse_datatype_string("form BINARY, bands ARRAY<LONG>, windows LONG")
     schema = T.StructType([*read.schema.fields[:2], *made, *read.schema.fields[2:]])
     return read.mapInArrow(_sign(bands, rows, width, weighted, to_arrow_schema(schema)), schema)
 
@@ -236,18 +214,18 @@ def _ordered(one, other) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def links(prepared: DataFrame, members: DataFrame, similar: float, size: int, width: int, weighted: bool) -> DataFrame:
+def links(prepared: DataFrame, members: DataFrame, similar: float, width: int, weighted: bool) -> DataFrame:
     """(a, b): links between different texts whose closure is that of all links found in buckets.
 
-    ``members`` (bucket, uid); ``size`` is the signature's.
+    ``members`` (bucket, uid).
     """
     spark = prepared.sparkSession
-    limit, widest = most_differing(size, similar), 1 - similar + 1e-9
+    widest = 1 - similar + 1e-9
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # hinted, so that the plan is the same at every size
     rows = land(join_single(members, buckets.hint("merge"), ["bucket"], "inner", spread=["uid"]), "members")
-    sketched = prepared.select("uid", "sketch").hint("merge")
-    rows = rows.join(rows.groupBy("uid").agg(F.sum("n").alias("meets")), "uid").join(sketched, "uid").withColumn("class", F.col("uid")).withColumn("size", F.lit(1).cast("long"))
+    sized_sets = prepared.select("uid", "windows").hint("merge")
+    rows = rows.join(rows.groupBy("uid").agg(F.sum("n").alias("meets")), "uid").join(sized_sets, "uid").withColumn("class", F.col("uid")).withColumn("size", F.lit(1).cast("long"))
     rows = land(rows.withColumn("far", F.lit(None).cast("double")).select(*_MEMBER), "members")
     # only the texts that meet another one are moved again
     met_texts = land(prepared.select("uid", "text").join(rows.select("uid").distinct().hint("merge"), "uid", "left_semi"), "texts")
@@ -258,19 +236,19 @@ def links(prepared: DataFrame, members: DataFrame, similar: float, size: int, wi
         sized = join_single(rows, sizes, ["bucket"], "inner", spread=["uid"])
         large = sized.where(F.col("n") > most).drop("n")
         many = land(large.join(large.groupBy("uid").agg(_buckets("buckets")), "uid"), "many")
-        few = sized.where(F.col("n") <= most).groupBy("bucket").agg(F.collect_list(F.struct("uid", "class", "sketch")).alias("u"))
+        few = sized.where(F.col("n") <= most).groupBy("bucket").agg(F.collect_list(F.struct("uid", "class", "windows")).alias("u"))
         # the window's limit is applied before its shuffle: a few rows of a bucket from each task
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("meets"), "uid"))
         led = many.withColumn("_place", place).where(F.col("_place") <= leaders)
-        led = land(led.select("bucket", *(F.col(name).alias("led_" + name) for name in ("uid", "class", "sketch", "far")), "_place"), "leaders")
+        led = land(led.select("bucket", *(F.col(name).alias("led_" + name) for name in ("uid", "class", "windows", "far")), "_place"), "leaders")
         first = led.join(led.groupBy("led_uid").agg(_buckets("led_buckets")), "led_uid").join(many, "bucket")
         # a pair is made in the first bucket that it shares and that it has a leader in
         once = F.try_element_at(F.array_intersect("led_buckets", "buckets"), F.lit(1)) == F.col("bucket")
         apart = F.coalesce(F.abs(F.col("led_far") - F.col("far")) <= widest, F.lit(True))
         # the first leader's distances to all are wanted, so it meets everyone once
-        wanted = F.when(F.col("far").isNull(), F.lit(True)).otherwise(apart & _near("led_sketch", "sketch", limit))
+        wanted = F.when(F.col("far").isNull(), F.lit(True)).otherwise(apart & _near("led_windows", "windows", similar))
         met = first.where((F.col("class") != F.col("led_class")) & (F.col("uid") != F.col("led_uid")) & wanted & once)
-        pairs = few.select(F.inline(_pairs("u", limit))).unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid")))).distinct()
+        pairs = few.select(F.inline(_pairs("u", similar))).unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid")))).distinct()
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = land(tested.unionAll(_checked(pairs, met_texts, width, weighted)), "tested")
         if many.head(1):
@@ -285,14 +263,14 @@ def _buckets(name: str) -> Column:
     return F.sort_array(F.collect_set("bucket")).alias(name)
 
 
-_MEMBER = ["bucket", "uid", "sketch", "meets", "class", "size", "far"]
+_MEMBER = ["bucket", "uid", "windows", "meets", "class", "size", "far"]
 
 
-def _pairs(members: str, limit: int) -> Column:
-    """The near pairs of an array of (uid, class, sketch) with different classes."""
+def _pairs(members: str, similar: float) -> Column:
+    """The near pairs of an array of (uid, class, windows) with different classes."""
 
     def after(x, i):
-        others = F.filter(F.slice(members, i + 2, F.size(members)), lambda y: (y["class"] != x["class"]) & _near(x["sketch"], y["sketch"], limit))
+        others = F.filter(F.slice(members, i + 2, F.size(members)), lambda y: (y["class"] != x["class"]) & _near(x["windows"], y["windows"], similar))
         return F.transform(others, lambda y: F.struct(*_ordered(x["uid"], y["uid"])))
 
     return F.flatten(F.transform(members, after))
@@ -311,7 +289,7 @@ def _left_over(many: DataFrame, led: DataFrame, tested: DataFrame, similar: floa
     rows = rows.join(firsts, "bucket").withColumns({"a": F.least("leader", "uid"), "b": F.greatest("leader", "uid")})
     rows = rows.join(tested, ["a", "b"], "left").withColumn("far", F.coalesce("far", 1 - F.col("similarity"), F.lit(0.0)))
     rows = rows.join(led.select("bucket", F.col("leader").alias("uid")), ["bucket", "uid"], "left_anti")
-    rows = land(rows.select("bucket", "uid", "sketch", "meets", "class", "far"), "judged")
+    rows = land(rows.select("bucket", "uid", "windows", "meets", "class", "far"), "judged")
     sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"), F.min("far").alias("low"), F.max("far").alias("high"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     outside = sizes.join(largest, "bucket").where("class != largest").groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -323,7 +301,7 @@ def _left_over(many: DataFrame, led: DataFrame, tested: DataFrame, similar: floa
     return land(rows.where(reach).select(*_MEMBER), "members")
 
 
-def classes_of(prepared: DataFrame, similar: float = SIMILAR, size: int = BANDS * ROWS, width: int = WIDTH, weighted: bool = False) -> DataFrame:
+def classes_of(prepared: DataFrame, similar: float = SIMILAR, width: int = WIDTH, weighted: bool = False) -> DataFrame:
     """uid, doc_id, class_id and ``kept`` (true for one row of each class) of the landed ``signed`` rows.
 
     class_id is the least doc_id of the class.
@@ -331,7 +309,7 @@ def classes_of(prepared: DataFrame, similar: float = SIMILAR, size: int = BANDS
     same = land(prepared.where("form IS NOT NULL").groupBy("form").agg(F.min("uid").alias("one")), "forms")
     single = prepared.join(same.select(F.col("one").alias("uid")), "uid", "left_semi")
     members = single.select("uid", F.explode("bands").alias("bucket"))
-    found = components(links(prepared, members, similar, size, width, weighted))
+    found = components(links(prepared, members, similar, width, weighted))
     classed = prepared.select("uid", "doc_id", "form").join(same, "form", "left").withColumn("one", F.coalesce("one", "uid"))
     classed = classed.join(found.toDF("one", "root"), "one", "left")
     classed = land(classed.select("uid", "doc_id", F.coalesce("root", "one").alias("root")), "classed")
@@ -342,7 +320,7 @@ def classes_of(prepared: DataFrame, similar: float = SIMILAR, size: int = BANDS
 
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, weighted: bool = False) -> DataFrame:
     """uid, doc_id, class_id and kept of each row of ``docs``; uid numbers the rows."""
-    return classes_of(land(signed(docs, bands, rows, width, weighted), "signed"), similar, bands * rows, width, weighted)
+    return classes_of(land(signed(docs, bands, rows, width, weighted), "signed"), similar, width, weighted)
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

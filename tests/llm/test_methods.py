@@ -201,6 +201,11 @@ def test_near_duplicates_are_all_found(spark, monkeypatch, few):
     assert found == classes(docs)
 
 
+def test_sizes_exclude_no_link(spark):
+    sizes = spark.createDataFrame([(8, 10), (10, 8), (4, 5), (1, 1), (7, 10)], "x LONG, y LONG")
+    assert [row[0] for row in sizes.select(op4_near_duplicates._near("x", "y", 0.8)).collect()] == [True] * 4 + [False]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = mix(np.arange(300, dtype=np.uint64) * np.uint64(7919))
