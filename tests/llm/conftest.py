@@ -35,6 +35,7 @@ def odd_rows():
 
 
 SCHEMA = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, uid INT, score DOUBLE, shard STRING, bucket INT, row INT, length INT, key STRING, label INT"
+TURNS = "conv_id LONG, turn LONG, role STRING, text STRING, audit STRING"
 VECTORS = "vec_id LONG, embedding ARRAY<FLOAT>, label INT, score DOUBLE"
 
 
@@ -47,12 +48,14 @@ def odd_folder(spark, tmp_path_factory):
     vectors = [(i, [float(i % 7), 1.0, -2.0], 0, 0.0) for i in range(45)]
     vectors += [(100, None, 0, 0.0), (101, [], 0, 0.0), (102, [0.0, 0.0, 0.0], 0, 0.0), (103, [1.0, None, 1.0], 0, 0.0), (104, [1.0, float("nan"), 0.0], 0, 0.0), (105, [float("inf"), 0.0, 0.0], 0, 0.0), (None, [1.0, 1.0, 1.0], 0, 0.0), (20, [6.0, 1.0, -2.0], 0, 0.0), (140, [1.0, 2.0], 0, 0.0)]
     spark.createDataFrame(vectors, VECTORS).write.parquet(f"{folder}/embeddings.parquet")
+    turns = [(1, 0, "user", "Hi.", "x"), (1, 0, "user", "Hi.", "x"), (1, None, None, None, "x"), (None, 2, "system", " \n", "x"), (2, 1, "", "a" * 40_000, "x"), (2, 9, "assistant", "b?", "x")]
+    spark.createDataFrame(turns, TURNS).write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
 @pytest.fixture(scope="session")
 def empty_folder(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", SCHEMA), ("labels", "doc_id LONG, quality INT, toxic INT"), ("embeddings", VECTORS)):
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id LONG, quality INT, toxic INT"), ("embeddings", VECTORS), ("conversations", TURNS)):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return folder

@@ -6,7 +6,7 @@ import corpus_pipeline
 from modcensus.llm import queries
 from tests.llm.conftest import TEXTS, odd_rows
 
-PER_DOCUMENT = [name for name in queries.queries() if name not in ("op8_neighbours", "op10_packing")]
+PER_DOCUMENT = [name for name in queries.queries() if name not in ("op8_neighbours", "op10_packing", "op12_conversations", "op13_spellings")]
 
 
 @pytest.fixture(scope="module")
@@ -115,6 +115,24 @@ def test_packing(results):
         assert at <= 1024
 
 
+def test_token_counts(results):
+    rows = by_id(results["op11_token_counts"])
+    assert (rows[0].n_bytes, rows[0].n_tokens, rows[0].over_limit) == (rows[1].n_bytes, rows[1].n_tokens, False) == (0, 0, False)
+    assert rows[8].over_limit and rows[10].n_bytes == 40_000
+
+
+def test_conversations(results):
+    rows = {row.conv_id: row for row in results["op12_conversations"]}
+    assert set(rows) == {None, 1, 2}
+    assert rows[None].audit == "D" * rows[None].blank
+
+
+def test_spellings(results):
+    rows = {row.word: row for row in results["op13_spellings"]}
+    assert rows["consectetur"].n >= 1800 and rows["schnelle"].n >= 2
+    assert all((row.form is None) == (row.form_n is None) for row in rows.values())
+
+
 def test_a_pipeline_of_odd_rows(spark, odd_folder, empty_folder):
     for folder in (odd_folder, empty_folder):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
