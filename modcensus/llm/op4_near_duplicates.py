@@ -11,11 +11,15 @@ Signatures are cut into bands; texts with an equal band meet in a bucket. Texts
 are one text from here on. Pairs whose sets differ too much in size for any link are no candidates.
 At first all pairs are made in the smallest buckets only. In the others the text that
 meets most others leads: it alone is checked against the others, and texts linked to it are in its
-class. Only what may still link different classes stays; then buckets of at most ``FEW`` are done
-with all such pairs, and in larger ones the next leaders, of the smallest classes, are checked
-against the other classes until one class is left. Members that the
-triangle inequality of the Jaccard distance keeps away from all other classes leave early. So no
-link between different classes is lost in a bucket, and the pairs of a large one are not all made.
+class. Members that the triangle inequality of the Jaccard distance keeps away from all other classes
+leave. What may still link different classes is dealt anew, by an exact prefix filter: windows are ordered by
+how few of these texts have them, and two texts of Jaccard similarity s share one of the first n + 1 - o
+windows of each, o being the overlap that s asks for at their sizes. So texts meet in buckets of one window
+(and two classes of sizes) only if one of their rarest windows is common: copies with edits of their own
+have windows of their own in front and meet nobody. Buckets of at most ``FEW`` are done with all pairs of
+different classes, in larger ones the next leaders, of the smallest classes, are checked, and the rest is dealt
+again until one class is left in each. No link between different classes is lost, and the pairs of a large
+bucket are not all made.
 
 Defined cases: null texts and texts without words are alone in their class; repeated rows and ids
 are in one class with their equals; an empty table gives no rows; other columns are not read. Memory
@@ -42,8 +46,9 @@ from modcensus.operators.joins import join_single
 WIDTH = 5
 SIMILAR = 0.8
 BANDS, ROWS = 36, 6
-LEADERS = 256  # times more leaders of a bucket in each round
-FIRST_FEW, FEW = 4, 128  # texts of a bucket whose pairs are all candidates, at first and later
+LEADERS = 4  # times more leaders of a bucket in each round after the second
+FIRST_FEW, FEW = 4, 24  # texts of a bucket whose pairs are all candidates, at first and later
+SIZE_STEP = 1.02  # between classes of sizes
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: chances of at most n darts in a cell of area 1
 _DARTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(20)])
@@ -251,11 +256,63 @@ def links(prepared: DataFrame, members: DataFrame, similar: float, width: int, w
         pairs = few.select(F.inline(_pairs("u", similar))).unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid")))).distinct()
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = land(tested.unionAll(_checked(pairs, met_texts, width, weighted)), "tested")
-        if many.head(1):
-            rows = _left_over(many, led.withColumnRenamed("led_uid", "leader"), tested, similar)
-        if not many.head(1) or not rows.head(1):
+        left = _left_over(many, led.withColumnRenamed("led_uid", "leader"), tested, similar) if many.head(1) else None
+        if left is None or not left.head(1):
             return tested.where(F.col("similarity") >= similar).select("a", "b")
-        leaders, most = leaders * LEADERS, FEW
+        rows = rare_buckets(left, met_texts, tested, similar, width, weighted)
+        leaders, most = leaders * LEADERS if most == FEW else leaders, FEW
+
+
+def _elements(width: int, weighted: bool):
+    out = pa.schema([("uid", pa.int64()), ("elements", pa.list_(pa.int64()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 1):
+            found = lower_ascii(texts(batch.column(1)))
+            hashes, doc, times = _distinct(*word_windows(found, width))
+            if weighted:  # each further copy of a window is an element of its own
+                copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                hashes, doc = mix(np.repeat(hashes, times) + copy.astype(np.uint64) * _GOLDEN), np.repeat(doc, times)
+            edges = np.searchsorted(doc, np.arange(len(found) + 1)).astype(np.int32)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(edges, hashes.astype(np.int64))], schema=out)
+
+    return read
+
+
+def rare_buckets(left: DataFrame, texts_of: DataFrame, tested: DataFrame, similar: float, width: int, weighted: bool) -> DataFrame:
+    """The members again, in buckets that two of them share if their similarity is ``similar`` or more.
+
+    A bucket is a window that two members have among their rarest, and the two classes of their sizes.
+    Rarest are the windows of the fewest members; those of one member alone come first, and name no bucket.
+    """
+    members = land(left.groupBy("uid").agg(F.first("windows").alias("windows"), F.first("class").alias("class")), "left-over")
+    read = texts_of.join(members.select("uid").hint("merge"), "uid", "left_semi").select("uid", "text")
+    elements = land(read.mapInArrow(_elements(width, weighted), "uid LONG, elements ARRAY<LONG>").select("uid", F.explode("elements").alias("element")), "elements")
+    sized = members.withColumn("step", F.floor(F.ln("windows") / math.log(SIZE_STEP) + 1e-9).cast("int"))
+    of_sizes = join_single(elements, sized.select("uid", "windows", "step").hint("merge"), ["uid"], "inner", spread=["element"], salts=1)
+    # as many steps as there are orders of size: a short array
+    shared = of_sizes.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.collect_set("step").alias("steps")).where("n > 1")
+    common = join_single(of_sizes, shared, ["element"], "inner", spread=["uid"])
+    own = Window.partitionBy("uid")
+    alone = F.col("windows") - F.count(F.lit(1)).over(own)
+    placed = common.withColumn("place", F.row_number().over(own.orderBy("n", "element")) + alone)
+    placed = placed.select("uid", "element", "windows", "step", "place", F.explode("steps").alias("other"))
+    # of all sizes of that step, the least and the most that can be linked at all
+    least = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6, F.col("windows") * similar)
+    possible = (F.pow(F.lit(SIZE_STEP), F.col("other") + 1) + 1e-6) >= F.col("windows") * similar
+    overlap = F.ceil((F.col("windows") + least) * (similar / (1 + similar)) - 1e-6)
+    reaches = possible & (least * similar <= F.col("windows") + 1e-6) & (F.col("place") <= F.col("windows") - overlap + 1)
+    steps = F.array_sort(F.array("step", "other"))
+    dealt = placed.where(reaches).select(F.xxhash64("element", steps).alias("bucket"), "uid").distinct()
+    counts = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = land(join_single(dealt, counts, ["bucket"], "inner", spread=["uid"]), "rare-buckets")
+    # who was checked against many others does not lead again
+    asked = tested.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("asked"))
+    totals = dealt.groupBy("uid").agg(F.sum("n").alias("meets")).join(asked, "uid", "left")
+    totals = totals.select("uid", (F.col("meets") - F.coalesce("asked", F.lit(0))).alias("meets"))
+    members = join_single(members, members.groupBy("class").agg(F.count(F.lit(1)).alias("size")), ["class"], "inner", spread=["uid"]).join(totals, "uid")
+    rows = dealt.select("bucket", "uid").join(members.hint("merge"), "uid").withColumn("far", F.lit(None).cast("double"))
+    return land(rows.select(*_MEMBER), "members")
 
 
 def _buckets(name: str) -> Column:
