@@ -17,6 +17,8 @@ from functools import cache
 from tokenizers import Tokenizer
 
 ID_BYTES = 4
+ENTRY_BYTES = 170  # of a remembered word besides its letters and ids: two objects and a place in the table
+LONGEST_KEPT = 256
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: white space other than blank and line feed
 _ODD = tuple(chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) if c != 10)
@@ -37,11 +39,11 @@ def _byte_letters() -> dict[int, str]:
 class TextEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``remembered`` bounds the words kept between texts; it changes the speed only. Strings of
-    special tokens in a text are ordinary text.
+    ``remembered`` bounds the bytes of the words kept between texts; it changes the speed only.
+    Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 1 << 25):
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
         self._model = self._library.model
@@ -81,8 +83,9 @@ class TextEncoder:
         return ids
 
     def _forget(self) -> None:
-        if len(self._words) > self._remembered:
+        if self._words.size > self._remembered:
             self._words.clear()
+            self._words.size = 0
             self._ends.clear()
 
     def _word(self, key: str) -> bytes:
@@ -104,18 +107,27 @@ class TextEncoder:
         return line + _packed([token.id for token in self._model.tokenize(blank + bare)]) + end
 
     def _end(self, points: str) -> bytes:
+        if len(points) > 4:
+            return self._whole(points)
         if points not in self._ends:
             self._ends[points] = self._whole(points)
+            self._words.size += ENTRY_BYTES
         return self._ends[points]
 
 
 class _Words(dict):
+    """Ids by word; ``size`` is about the bytes that all take. Long words are not kept."""
+
     def __init__(self, of):
         super().__init__()
         self._of = of
+        self.size = 0
 
     def __missing__(self, key: str) -> bytes:
-        self[key] = ids = self._of(key)
+        ids = self._of(key)
+        if len(key) <= LONGEST_KEPT:
+            self[key] = ids
+            self.size += ENTRY_BYTES + len(key) + len(ids)
         return ids
 
 

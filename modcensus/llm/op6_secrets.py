@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from modcensus.llm.common import with_results
 from modcensus.llm.vectext import Texts, lower_ascii, texts
 
+SLOT_BITS = 16
 MANY = 64  # alternatives kept apart while a pattern is read
 
 # fixed values: the patterns of the base kinds
@@ -173,6 +174,11 @@ def trigram_query(pattern: str) -> Query | None:
 
 
 # --- index, candidates, spans ------------------------------------------------------------------
+def _slot(codes: np.ndarray) -> np.ndarray:
+    """A small hash of three bytes: most that are not asked for are told apart by it."""
+    return (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+
+
 @dataclass
 class Scanner:
     rules: list[Rule]
@@ -182,10 +188,10 @@ class Scanner:
         self._queries = [trigram_query(rule.pattern) for rule in self.rules]
         asked = sorted({t for query in self._queries if query for part in query for t in part})
         self._number = {trigram: i for i, trigram in enumerate(asked)}
-        self._table = np.full(1 << 24, -1, np.int16)
-        for trigram, i in self._number.items():
-            a, b, c = trigram.encode()
-            self._table[a << 16 | b << 8 | c] = i
+        codes = np.array([int.from_bytes(t.encode(), "big") for t in asked], np.uint32)
+        self._codes = codes  # ascending, as the trigrams are
+        self._asked_slots = np.zeros(1 << SLOT_BITS, bool)
+        self._asked_slots[_slot(codes)] = True
 
     def postings(self, found: Texts) -> list[np.ndarray]:
         """For each asked trigram the texts that have it, ascending."""
@@ -193,11 +199,14 @@ class Scanner:
         size = len(self._number)
         if len(data) < 3 or not size:
             return [np.zeros(0, np.int64)] * size
-        number = self._table[data[:-2] << 16 | data[1:-1] << 8 | data[2:]]
-        at = np.flatnonzero(number >= 0)
+        code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+        at = np.flatnonzero(self._asked_slots[_slot(code)])
+        number = np.minimum(np.searchsorted(self._codes, code[at]), size - 1)
+        is_asked = self._codes[number] == code[at]
+        at, number = at[is_asked], number[is_asked]
         doc = np.searchsorted(found.offsets, at, "right") - 1
         inside = at + 3 <= found.offsets[doc + 1]
-        cells = np.unique(number[at[inside]].astype(np.int64) * len(found) + doc[inside])
+        cells = np.unique(number[inside] * len(found) + doc[inside])
         edges = np.searchsorted(cells, np.arange(size + 1) * len(found))
         return [cells[a:b] % len(found) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 

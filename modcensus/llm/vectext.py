@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21  # bytes hashed at once
+BLOCK = 1 << 18  # bytes of a portion, and hashed at once: a dozen arrays of eight bytes for each are alive
 _FACTOR = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
