@@ -4,6 +4,11 @@ Each language has a raw zstandard dictionary of sampled texts. A text is reduced
 cut into pieces of about a kilobyte, and compressed with every dictionary; the language of the least
 size wins. The margin is the share by which the next language needs more. Narrow margins are rejected.
 
+The sample of a language is about ``SAMPLE`` of its distinct texts, so copies count once. At most the
+``LANGUAGES`` most frequent values of ``lang`` are learned, and all dictionaries together take at most about
+``DICTIONARIES`` bytes: with many languages, pieces of long texts get shorter. All dictionaries are used
+with the same tables and window.
+
 Defined cases: null texts and texts without letters are ``und`` with score 0, and rejected; ties go
 to the first language in order; repeated rows get equal results; without learned languages every text
 is ``und``; an empty table gives no rows. Memory follows the longest text.
@@ -11,10 +16,10 @@ is ``und``; an empty table gives no rows. Memory follows the longest text.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +27,14 @@ from pyspark.sql import functions as F
 from modcensus.llm.common import whole_text, with_results
 
 UNKNOWN = "und"
-SAMPLE = 250  # documents that a language's dictionary is made from
+SAMPLE = 250  # distinct texts that a language's dictionary is made from
 SAMPLE_BYTES = 1 << 15  # of a longer text, a piece of so many bytes
+LANGUAGES = 200  # learned at most
+DICTIONARIES = 1 << 26  # bytes of all samples together
 PIECE = 1_000  # letters compressed at once
 LEVEL = 3
 NARROW = 0.01
-_NO_LETTER = re.compile(r"[\W\d_]+")
+_NO_LETTER = regex.compile(r"[^\p{L}]+")
 
 
 def letters(text: str) -> str:
@@ -36,18 +43,15 @@ def letters(text: str) -> str:
 
 @lru_cache(1)
 def _compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[zstandard.ZstdCompressor]:
+    # sizes are compared, so one set of parameters for all: it fits the longest dictionary
+    longest = max(len(content) for _, content in dictionaries)
+    bits = max(longest.bit_length(), 12)
+    chosen = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=longest, source_size=PIECE, hash_log=bits - 2, chain_log=bits - 2, window_log=bits + 1, write_content_size=False, write_dict_id=False)
     made = []
     for _, content in dictionaries:
         raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        # the level's own tables and window reach back one megabyte only
-        bits = len(content).bit_length()
-        if len(content) > 1 << 20:
-            chosen = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), source_size=PIECE, hash_log=bits - 2, chain_log=bits - 2, window_log=bits + 1, write_content_size=False, write_dict_id=False)
-            raw.precompute_compress(compression_params=chosen)
-            made.append(zstandard.ZstdCompressor(compression_params=chosen, dict_data=raw))
-        else:
-            raw.precompute_compress(LEVEL)
-            made.append(zstandard.ZstdCompressor(LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False))
+        raw.precompute_compress(compression_params=chosen)
+        made.append(zstandard.ZstdCompressor(compression_params=chosen, dict_data=raw))
     return made
 
 
@@ -63,28 +67,29 @@ def classify(text: str, dictionaries: tuple[tuple[str, bytes], ...]) -> tuple[st
     return dictionaries[best][0], 1 - sizes[best] / min(others) if others else 1.0
 
 
-def _piece() -> Column:
-    """The whole text, or the middle of one of more than ``SAMPLE_BYTES``, of so many bytes at most."""
-    size, most = F.octet_length("text"), F.lit(SAMPLE_BYTES)
+def _piece(most: int) -> Column:
+    """The whole text, or the middle of one of more than ``most`` bytes, of so many bytes at most."""
     # characters have up to four bytes
-    middle = F.substring("text", F.greatest(F.lit(1), F.length("text") / 2 - SAMPLE_BYTES // 8).cast("int"), F.lit(SAMPLE_BYTES // 4))
-    return F.when(size <= most, F.col("text")).otherwise(middle)
+    middle = F.substring("text", F.greatest(F.lit(1), F.length("text") / 2 - most // 8).cast("int"), F.lit(most // 4))
+    return F.when(F.octet_length("text") <= most, F.col("text")).otherwise(middle)
 
 
 def learn(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> tuple[tuple[str, bytes], ...]:
     """A dictionary of an equal sample for each language of the allowed documents.
 
-    One row a language and about ``sample`` texts of each, or pieces of long ones, come to the driver.
+    One row for each of at most ``LANGUAGES`` languages, and the samples, come to the driver.
     """
-    known = docs.where(allowed & F.col("lang").isNotNull()).select("doc_id", "lang", whole_text().alias("text"))
-    known = known.where(F.octet_length("text") > 0)
-    counts = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = docs.where(allowed & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), whole_text().alias("text"))
+    known = known.where(F.octet_length("text") > 0).withColumn("order", F.xxhash64("text"))
+    distinct = known.groupBy("lang", "order").agg(F.count(F.lit(1)).alias("times"))
+    sizes = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
+    counts = {row["lang"]: row["n"] for row in sizes.orderBy(F.desc("times"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return ()
     space = 1 << 30
     below = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(space * min(1, sample / n)))))
-    order = F.xxhash64("text")
-    chosen = known.where(F.pmod(order, F.lit(space)) < below[F.col("lang")]).groupBy("lang", order.alias("order")).agg(F.min(_piece()).alias("text"))
+    most = min(SAMPLE_BYTES, DICTIONARIES // (sample * len(counts)))
+    chosen = known.where(F.pmod("order", F.lit(space)) < below[F.col("lang")]).groupBy("lang", "order").agg(F.min(_piece(most)).alias("text"))
     found: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts)}
     for row in sorted(chosen.collect(), key=lambda row: row["order"]):
         found[row["lang"]].append(letters(row["text"]).encode())
