@@ -10,7 +10,7 @@ A task writes under a name of its own attempt, and the manifest names only parts
 were committed, so lost executors leave at most files that nobody reads.
 
 Defined cases: null texts are empty ones; each document gets the end id, so none has no ids; null
-keys come first; repeated keys stay, ordered by text; an empty table gives an empty data set.
+keys come first; repeated keys stay, ordered by a hash of their texts; an empty table gives an empty data set.
 """
 
 from __future__ import annotations
@@ -67,21 +67,23 @@ def _write_part(folder: str, tokenizer: str, end_id: int):
     return write
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Encode whole texts, write the parts below ``folder``, and return the manifest.
 
-    The manifest's columns: part, stem, dtype, documents, ids, base, folder. It is also kept as
+    Without ``parts``, Spark chooses their number. Equal rows part by the task they were read in, so that
+    any number of them is spread. The manifest's columns: part, stem, dtype, documents, ids, base, folder. It is also kept as
     Parquet in ``<folder>/manifest``.
     """
     files, path = file_system(folder)
     files.create_dir(path, recursive=True)
-    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
-    ordered = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", "text")
+    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"), F.spark_partition_id().alias("_from_"))
+    spread = [*([parts] if parts else []), "key", F.xxhash64("text"), "_from_"]
+    ordered = rows.repartitionByRange(*spread).select("key", "text").sortWithinPartitions("key", F.xxhash64("text"))
     ordered.mapInArrow(_write_part(folder, tokenizer, end_id), PART).write.parquet(f"{folder}/parts")
-    parts = docs.sparkSession.read.schema(PART).parquet(f"{folder}/parts")
+    written = docs.sparkSession.read.schema(PART).parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each written part, so the window is over as many rows as there were tasks
-    manifest = parts.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).withColumn("folder", F.lit(folder))
+    manifest = written.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).withColumn("folder", F.lit(folder))
     manifest.coalesce(1).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
@@ -118,7 +120,8 @@ def _read_parts(key_type: pa.DataType):
 def read_token_files(manifest: DataFrame, key_type: str = "LONG") -> DataFrame:
     """A row for each document: key, start (ids before it), n_tokens, ids (little-endian u32)."""
     types = {"LONG": pa.int64(), "INT": pa.int32(), "STRING": pa.string()}
-    rows = manifest.repartition("part")
+    # a number is kept by adaptive execution, which would merge the manifest's few bytes into one task
+    rows = manifest.repartitionByRange(max(1, manifest.count()), "part")
     return rows.mapInArrow(_read_parts(types[key_type.upper()]), f"key {key_type}, start LONG, n_tokens LONG, ids BINARY")
 
 
