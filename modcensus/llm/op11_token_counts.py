@@ -11,7 +11,8 @@ counts, and a pre-token's pieces are counted once for the whole table, however o
    there; the frequencies of all others are joined with the counts and summed by document.
 
 No ids are kept anywhere. Keys of the join are at most 64 bytes: a longer pre-token is known by its
-SHA-256. As the most frequent pre-tokens never reach the join, none of its keys is hot.
+SHA-256. As the most frequent pre-tokens never reach the join, none of its keys is hot; should more than ``frequent``
+be about as frequent as the first, each of them is a small part of all.
 
 Strings of special tokens inside a text are one token each, as is the library's default; a text is cut
 there first.
@@ -41,6 +42,7 @@ from modcensus.llm.common import land, whole_text
 from modcensus.llm.vectext import portions
 
 FREQUENT = 1 << 18  # pre-tokens that travel with the tasks: with keys of 64 bytes, 16 MB
+STEPS = 16  # of a doubling of occurrences
 KEY_BYTES = 64
 HELD = 1 << 17  # distinct pre-tokens that a task holds before it passes them on
 HELD_BYTES = 1 << 24
@@ -149,8 +151,22 @@ def pre_token_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
 
 
 def most_frequent(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
-    """Pieces of the ``most`` most frequent pre-tokens; they come to the driver."""
-    rows = counts.orderBy(F.desc("occurrences"), "key").limit(most).select("key", "pieces").toArrow()
+    """Pieces of the most frequent pre-tokens, ``most`` at most; they come to the driver.
+
+    A histogram of the logarithms of ``occurrences``, some hundred rows, tells from where on they are
+    so few; a sort would bring ``most`` rows of every task to one.
+    """
+    counts = counts.withColumn("step", F.floor(F.log2("occurrences") * STEPS))
+    steps = sorted(((row["step"], row["n"]) for row in counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for step, n in steps:
+        total += n
+        if total > most:
+            break
+        least = step
+    if least is None:
+        return {}
+    rows = counts.where(F.col("step") >= least).select("key", "pieces").toArrow()
     return dict(zip(rows.column("key").to_pylist(), rows.column("pieces").to_pylist(), strict=True))
 
 

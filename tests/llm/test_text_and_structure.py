@@ -48,6 +48,13 @@ def test_each_pre_token_is_counted_once(spark):
     assert found[op11_token_counts.key_of("x" * 100)] == 1
 
 
+def test_the_most_frequent_are_at_most_so_many(spark):
+    rows = [(bytes([65 + i]), 2**i, i) for i in range(20)]
+    counts = spark.createDataFrame(rows, "key BINARY, occurrences LONG, pieces LONG")
+    for most in (0, 1, 7, 50):
+        assert op11_token_counts.most_frequent(counts, most) == {key: pieces for key, _, pieces in rows[::-1][:most]}
+
+
 # conversations
 
 
