@@ -153,7 +153,8 @@ def name_error(owner: Column, name: Column) -> Column:
 def repository_exists(wanted: DataFrame, repositories: DataFrame, archived: bool = False) -> DataFrame:
     """Adds ``found`` (true, false, or NULL when archived and skipped) and ``error`` to (host, owner, name) rows.
 
-    Any number of rows may ask for the same name.
+    Any number of rows may ask for the same name. Distinct names are looked up, and what was found, never more
+    than is listed or asked for, is joined back to the rows.
     """
     listed = first_listed(repositories).select(*KEY, F.col("archived").alias("_archived"))
     error = name_error(F.col("owner"), F.col("name"))
@@ -164,8 +165,9 @@ def repository_exists(wanted: DataFrame, repositories: DataFrame, archived: bool
         .otherwise(True)
     )
     named = wanted.withColumn("full_name", F.concat_ws("/", "owner", "name"))
+    answers = listed.join(named.where(error.isNull()).select(*KEY).distinct(), KEY, "left_semi")
     return (
-        join_single(named, listed, KEY, "left")
+        join_single(named, answers, KEY, "left")
         .withColumn("found", found)
         .withColumn("error", error)
         .drop("full_name", "_archived")
