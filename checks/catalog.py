@@ -339,11 +339,11 @@ def q_target_limit(spark, folder):
 
 
 def q_scan_owner(spark, folder):
-    """Calls of all listed repositories, found where the contents are read."""
-    rows = scan_module_calls(
-        _listed(spark, folder), corpus.tree_entries(spark, folder), corpus.file_contents(spark, folder)
+    """Calls of all listed repositories, found where the contents are read; other owners' partitions are not."""
+    layout = corpus.contents_layout(spark, folder)
+    return scan_module_calls(
+        _listed(spark, folder), corpus.tree_entries(spark, folder), layout.read(spark), owner_buckets=layout.owner_buckets
     )
-    return rows
 
 
 # --- request log ---------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """The corpus in Spark: projections of the driver's tables (see ``rules``)."""
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from checks import rules
 from modcensus.fixed import GITLAB_SELF_HOSTED
 from modcensus.functions.classify import file_type
 from modcensus.functions.links import blob_url
-from modcensus.runtime import land
+from modcensus.runtime import land, shared_folder
+from modcensus.sources.layout import ContentsLayout
 from modcensus.sources.payloads import (
     github_payloads,
     github_repositories,
@@ -164,7 +166,7 @@ def tree_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @cache
-def _landed_contents(application: str, spark: SparkSession, folder: str) -> DataFrame:
+def _landed_contents(application: str, spark: SparkSession, folder: str) -> ContentsLayout:
     encoded = "base64(content)"
     rows = (
         _on_hosts(files(spark, folder).where(rules.IS_LANDED))
@@ -178,14 +180,21 @@ def _landed_contents(application: str, spark: SparkSession, folder: str) -> Data
             f"ELSE substr({encoded}, 1, 60) || chr(10) || substr({encoded}, 61) END AS content",
         )
     )
-    return land(rows, "contents")
+    place = f"{shared_folder(spark).rstrip('/')}/modcensus/contents-{uuid.uuid4().hex}"
+    layout = ContentsLayout(place, owner_buckets=8, buckets=8)
+    layout.write(rows)
+    return layout
 
 
-def file_contents(spark: SparkSession, folder: str) -> DataFrame:
+def contents_layout(spark: SparkSession, folder: str) -> ContentsLayout:
     """Landed responses: base64 bodies broken into lines, as the providers send them."""
     return _landed_contents(spark.sparkContext.applicationId, spark, folder)
 
 
+def file_contents(spark: SparkSession, folder: str) -> DataFrame:
+    return contents_layout(spark, folder).read(spark)
+
+
 def scan_inputs(spark: SparkSession, folder: str) -> DataFrame:
     return _customers(spark, folder).selectExpr("c", f"{rules.TARGET} AS original_input")
 

@@ -10,6 +10,7 @@ from modcensus.operators.extract import module_calls
 from modcensus.operators.files import attach_contents, candidate_files, decoded_content
 from modcensus.operators.repositories import first_listed, list_repositories, owned_by, skip_archived
 from modcensus.runtime import evaluated
+from modcensus.sources.layout import of_listed_owners
 
 
 def selected_repositories(targets: DataFrame, repositories: DataFrame, archived: bool = False, **listing) -> DataFrame:
@@ -44,25 +45,18 @@ def scan_files(repositories: DataFrame, tree: DataFrame, contents: DataFrame, **
     return attach_contents(candidate_files(tree, repositories, **files), contents)
 
 
-def _may_broadcast(rows: DataFrame) -> bool:
-    """Whether the optimizer's estimate of the size is within ``spark.sql.autoBroadcastJoinThreshold``."""
-    session = rows.sparkSession._jsparkSession.sessionState().conf()
-    estimate = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= session.autoBroadcastJoinThreshold()
-
-
-def scan_module_calls(repositories: DataFrame, tree: DataFrame, contents: DataFrame, **files) -> DataFrame:
+def scan_module_calls(
+    repositories: DataFrame, tree: DataFrame, contents: DataFrame, owner_buckets: int | None = None, **files
+) -> DataFrame:
     """Module calls of all given repositories, the way for large contents.
 
     Same rows as extraction after ``scan_files``. Here contents are searched where they are
-    read and then dropped, so the joins move small call rows and never a file's text. If Spark
-    estimates the list of repositories below its broadcast threshold, contents of others are left
-    out before they are decoded; a longer list would have to shuffle the texts and is joined later.
+    read and then dropped, so the joins move small call rows and never a file's text. For contents of a
+    ``ContentsLayout`` give its ``owner_buckets``: partitions of other owners are not read.
     """
     encoding = F.col("encoding")
-    listed = repositories.select("host", "full_name")
-    if _may_broadcast(listed):
-        contents = contents.join(F.broadcast(listed.distinct()), ["host", "full_name"], "left_semi")
+    if owner_buckets is not None:
+        contents = of_listed_owners(contents, repositories, owner_buckets)
     landed = evaluated(
         contents.where(file_type(F.col("path")).isNotNull()).withColumnRenamed("content", "_raw"),
         content=decoded_content(F.lit(GITLAB), encoding, F.col("_raw")),

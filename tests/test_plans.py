@@ -7,12 +7,13 @@ import pytest
 from checks import corpus
 from modcensus.operators import calls as call_ops
 from modcensus.operators.extract import call_sources, module_calls
-from modcensus.operators.files import attach_outcomes, candidate_files
+from modcensus.operators.files import attach_contents, attach_outcomes, candidate_files
 from modcensus.operators.repositories import first_listed
 from modcensus.operators.usage import normalized_summary, raw_summary, usage_counts
 from modcensus.plans.scan import scan_module_calls
 from modcensus.runtime import land
 from modcensus.schemas import FILE_CONTENTS, IAC_FILES, REPOSITORIES, TREE_ENTRIES
+from modcensus.sources.layout import ContentsLayout
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -86,22 +87,44 @@ def test_early_extraction_never_shuffles_contents(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_a_short_list_of_repositories_narrows_the_contents(spark, tmp_path):
-    """Contents of other repositories go before they are decoded, by a broadcast semi join."""
-    plan = plan_of(
-        scan_module_calls(
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_a_list_of_repositories_prunes_partitions_of_contents(spark, tmp_path, threshold):
+    """For a list of any size: the wanted buckets, not the list, are broadcast."""
+    layout = ContentsLayout(str(tmp_path / "layout"), owner_buckets=4, buckets=4)
+    layout.write(spark.createDataFrame([("h", "a/b", "x.tf", "text", "t")], FILE_CONTENTS))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        frame = scan_module_calls(
             stored(spark, tmp_path, REPOSITORIES, "repositories"),
             stored(spark, tmp_path, TREE_ENTRIES, "tree"),
-            stored(spark, tmp_path, FILE_CONTENTS, "contents"),
+            layout.read(spark),
+            owner_buckets=4,
         )
-    )
-    lines = plan.splitlines()
-    start = next(i for i, line in enumerate(lines) if "posexplode" in line)
-    semi = next(i for i in range(start, len(lines)) if "LeftSemi" in lines[i])
-    assert "BroadcastHashJoin" in lines[semi]
-    assert any("make_valid_utf8" in line or "inline" in line for line in lines[start:semi])
-    scan = next(i for i in range(semi, len(lines)) if "FileScan" in lines[i] and "content" in lines[i])
-    assert not any("Exchange hash" in line for line in lines[start:scan])
+        lines = plan_of(frame).splitlines()
+        scan = next(line for line in lines if "FileScan" in line and "content" in line)
+        assert "dynamicpruning" in scan and "owner_bucket" in scan
+        start = next(i for i, line in enumerate(lines) if "posexplode" in line)
+        end = lines.index(scan)
+        assert not any("Exchange hash" in line or "Exchange range" in line for line in lines[start:end])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_are_attached_where_they_lie(spark, tmp_path):
+    """No exchange carries contents of a layout."""
+    layout = ContentsLayout(str(tmp_path / "layout"), owner_buckets=4, buckets=4)
+    layout.write(spark.createDataFrame([("h", "a/b", "x.tf", "text", "t")], FILE_CONTENTS))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        candidates = candidate_files(stored(spark, tmp_path, TREE_ENTRIES, "tree"), stored(spark, tmp_path, REPOSITORIES, "repositories"))
+        lines = plan_of(attach_contents(candidates, layout.read(spark))).splitlines()
+        scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "content" in line)
+        join = max(i for i in range(scan) if "SortMergeJoin" in lines[i] and "LeftOuter" in lines[i])
+        assert join < scan
+        moved = [lines[i + 1] for i, line in enumerate(lines) if "Exchange" in line]
+        assert moved and not any(re.search(r"content#|_raw#", line) for line in moved)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_outcomes_never_move_or_decode_contents(spark, tmp_path):
