@@ -83,6 +83,11 @@ def _block_starts(chunks: Column) -> Column:
     return F.flatten(moved)
 
 
+def block_count() -> Column:
+    """Number of blocks in ``content``, with a source or without."""
+    return _by_type(lambda t: F.regexp_count("content", F.lit(_BLOCK[t])))
+
+
 def _sourced_blocks(files: DataFrame, with_lines: bool) -> DataFrame:
     """One row per block that names a source, with ``_block``, ``_body`` and ``source``."""
     keep = [c for c in files.columns if c != "content"]
