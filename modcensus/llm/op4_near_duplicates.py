@@ -48,6 +48,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 36, 6
 LEADERS = 4  # times more leaders of a bucket in each round after the second
 FIRST_FEW, FEW = 4, 24  # texts of a bucket whose pairs are all candidates, at first and later
+MIDDLING = 1_000  # so many texts of a bucket too, if their pairs of different classes are at most FEW times as many
 SIZE_STEP = 1.02  # between classes of sizes
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: chances of at most n darts in a cell of area 1
@@ -225,33 +226,30 @@ def links(prepared: DataFrame, members: DataFrame, similar: float, width: int, w
     ``members`` (bucket, uid).
     """
     spark = prepared.sparkSession
-    widest = 1 - similar + 1e-9
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # hinted, so that the plan is the same at every size
     rows = land(join_single(members, buckets.hint("merge"), ["bucket"], "inner", spread=["uid"]), "members")
     sized_sets = prepared.select("uid", "windows").hint("merge")
-    rows = rows.join(rows.groupBy("uid").agg(F.sum("n").alias("meets")), "uid").join(sized_sets, "uid").withColumn("class", F.col("uid")).withColumn("size", F.lit(1).cast("long"))
-    rows = land(rows.withColumn("far", F.lit(None).cast("double")).select(*_MEMBER), "members")
+    rows = rows.join(rows.groupBy("uid").agg(F.sum("n").alias("meets")), "uid").join(sized_sets, "uid")
+    alone = {"class": F.col("uid"), "size": F.lit(1).cast("long"), "small": F.col("n") <= FIRST_FEW}
+    rows = land(rows.withColumns(alone).select(*_MEMBER), "members")
     # only the texts that meet another one are moved again
     met_texts = land(prepared.select("uid", "text").join(rows.select("uid").distinct().hint("merge"), "uid", "left_semi"), "texts")
     tested = spark.createDataFrame([], "a LONG, b LONG, similarity DOUBLE")
-    leaders, most = 1, FIRST_FEW
+    leaders = 1
     while True:
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        sized = join_single(rows, sizes, ["bucket"], "inner", spread=["uid"])
-        large = sized.where(F.col("n") > most).drop("n")
+        large = rows.where("NOT small")
         many = land(large.join(large.groupBy("uid").agg(_buckets("buckets")), "uid"), "many")
-        few = sized.where(F.col("n") <= most).groupBy("bucket").agg(F.collect_list(F.struct("uid", "class", "windows")).alias("u"))
+        few = rows.where("small").groupBy("bucket").agg(F.collect_list(F.struct("uid", "class", "windows")).alias("u"))
         # the window's limit is applied before its shuffle: a few rows of a bucket from each task
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("meets"), "uid"))
         led = many.withColumn("_place", place).where(F.col("_place") <= leaders)
-        led = land(led.select("bucket", *(F.col(name).alias("led_" + name) for name in ("uid", "class", "windows", "far")), "_place"), "leaders")
+        led = land(led.select("bucket", *(F.col(name).alias("led_" + name) for name in ("uid", "class", "windows")), "_place"), "leaders")
         first = led.join(led.groupBy("led_uid").agg(_buckets("led_buckets")), "led_uid").join(many, "bucket")
         # a pair is made in the first bucket that it shares and that it has a leader in
         once = F.try_element_at(F.array_intersect("led_buckets", "buckets"), F.lit(1)) == F.col("bucket")
-        apart = F.coalesce(F.abs(F.col("led_far") - F.col("far")) <= widest, F.lit(True))
-        # the first leader's distances to all are wanted, so it meets everyone once
-        wanted = F.when(F.col("far").isNull(), F.lit(True)).otherwise(apart & _near("led_windows", "windows", similar))
+        # the first leader's distances to all are wanted, so it meets everyone
+        wanted = (F.col("_place") == 1) | _near("led_windows", "windows", similar)
         met = first.where((F.col("class") != F.col("led_class")) & (F.col("uid") != F.col("led_uid")) & wanted & once)
         pairs = few.select(F.inline(_pairs("u", similar))).unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid")))).distinct()
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -260,7 +258,7 @@ def links(prepared: DataFrame, members: DataFrame, similar: float, width: int, w
         if left is None or not left.head(1):
             return tested.where(F.col("similarity") >= similar).select("a", "b")
         rows = rare_buckets(left, met_texts, tested, similar, width, weighted)
-        leaders, most = leaders * LEADERS if most == FEW else leaders, FEW
+        leaders *= LEADERS
 
 
 def _elements(width: int, weighted: bool):
@@ -285,33 +283,36 @@ def rare_buckets(left: DataFrame, texts_of: DataFrame, tested: DataFrame, simila
     A bucket is a window that two members have among their rarest, and the two classes of their sizes.
     Rarest are the windows of the fewest members; those of one member alone come first, and name no bucket.
     """
-    members = land(left.groupBy("uid").agg(F.first("windows").alias("windows"), F.first("class").alias("class")), "left-over")
+    members = left
     read = texts_of.join(members.select("uid").hint("merge"), "uid", "left_semi").select("uid", "text")
     elements = land(read.mapInArrow(_elements(width, weighted), "uid LONG, elements ARRAY<LONG>").select("uid", F.explode("elements").alias("element")), "elements")
     sized = members.withColumn("step", F.floor(F.ln("windows") / math.log(SIZE_STEP) + 1e-9).cast("int"))
-    of_sizes = join_single(elements, sized.select("uid", "windows", "step").hint("merge"), ["uid"], "inner", spread=["element"], salts=1)
+    of_sizes = join_single(elements, sized.select("uid", "class", "windows", "step").hint("merge"), ["uid"], "inner", spread=["element"], salts=1)
     # as many steps as there are orders of size: a short array
     shared = of_sizes.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.collect_set("step").alias("steps")).where("n > 1")
     common = join_single(of_sizes, shared, ["element"], "inner", spread=["uid"])
     own = Window.partitionBy("uid")
     alone = F.col("windows") - F.count(F.lit(1)).over(own)
     placed = common.withColumn("place", F.row_number().over(own.orderBy("n", "element")) + alone)
-    placed = placed.select("uid", "element", "windows", "step", "place", F.explode("steps").alias("other"))
+    placed = placed.select("uid", "class", "element", "windows", "step", "place", F.explode("steps").alias("other"))
     # of all sizes of that step, the least and the most that can be linked at all
     least = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6, F.col("windows") * similar)
     possible = (F.pow(F.lit(SIZE_STEP), F.col("other") + 1) + 1e-6) >= F.col("windows") * similar
     overlap = F.ceil((F.col("windows") + least) * (similar / (1 + similar)) - 1e-6)
     reaches = possible & (least * similar <= F.col("windows") + 1e-6) & (F.col("place") <= F.col("windows") - overlap + 1)
     steps = F.array_sort(F.array("step", "other"))
-    dealt = placed.where(reaches).select(F.xxhash64("element", steps).alias("bucket"), "uid").distinct()
-    counts = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = land(join_single(dealt, counts, ["bucket"], "inner", spread=["uid"]), "rare-buckets")
+    dealt = land(placed.where(reaches).select(F.xxhash64("element", steps).alias("bucket"), "uid", "class").distinct(), "dealt")
+    counts = dealt.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+    counts = counts.agg(F.sum("n").alias("n"), ((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs")).where("pairs > 0")
+    # all pairs of different classes where they are in proportion to the texts
+    small = (F.col("n") <= FEW) | ((F.col("n") <= MIDDLING) & (F.col("pairs") <= FEW * F.col("n")))
+    dealt = join_single(dealt, counts.select("bucket", "n", small.alias("small")), ["bucket"], "inner", spread=["uid"])
     # who was checked against many others does not lead again
     asked = tested.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("asked"))
     totals = dealt.groupBy("uid").agg(F.sum("n").alias("meets")).join(asked, "uid", "left")
     totals = totals.select("uid", (F.col("meets") - F.coalesce("asked", F.lit(0))).alias("meets"))
     members = join_single(members, members.groupBy("class").agg(F.count(F.lit(1)).alias("size")), ["class"], "inner", spread=["uid"]).join(totals, "uid")
-    rows = dealt.select("bucket", "uid").join(members.hint("merge"), "uid").withColumn("far", F.lit(None).cast("double"))
+    rows = dealt.select("bucket", "uid", "small").join(members.hint("merge"), "uid")
     return land(rows.select(*_MEMBER), "members")
 
 
@@ -320,7 +321,7 @@ def _buckets(name: str) -> Column:
     return F.sort_array(F.collect_set("bucket")).alias(name)
 
 
-_MEMBER = ["bucket", "uid", "windows", "meets", "class", "size", "far"]
+_MEMBER = ["bucket", "uid", "windows", "meets", "class", "size", "small"]
 
 
 def _pairs(members: str, similar: float) -> Column:
@@ -334,28 +335,29 @@ def _pairs(members: str, similar: float) -> Column:
 
 
 def _left_over(many: DataFrame, led: DataFrame, tested: DataFrame, similar: float) -> DataFrame:
-    """The members of large buckets between whose classes links may still be found.
+    """uid, windows and class of the members of large buckets between whose classes links may still be found.
 
-    A leader has met all others. ``far`` is the distance to a bucket's first leader: two texts can
-    only be linked if theirs differ by at most the widest link, so a member of the bucket's largest
-    class is done if that holds for nobody outside of it.
+    A leader has met all others. Two texts can only be linked if their distances to a bucket's first
+    leader differ by at most the widest link, so a member of the bucket's largest class is done if that
+    holds for nobody outside of it.
     """
     roots = components(tested.where(F.col("similarity") >= similar).select("a", "b"))
-    rows = many.drop("class", "size", "buckets").join(roots.toDF("uid", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
+    rows = many.select("bucket", "uid", "windows").join(roots.toDF("uid", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
     firsts = led.where("_place = 1").select("bucket", "leader")
     rows = rows.join(firsts, "bucket").withColumns({"a": F.least("leader", "uid"), "b": F.greatest("leader", "uid")})
-    rows = rows.join(tested, ["a", "b"], "left").withColumn("far", F.coalesce("far", 1 - F.col("similarity"), F.lit(0.0)))
+    rows = rows.join(tested, ["a", "b"], "left")
     rows = rows.join(led.select("bucket", F.col("leader").alias("uid")), ["bucket", "uid"], "left_anti")
-    rows = land(rows.select("bucket", "uid", "windows", "meets", "class", "far"), "judged")
-    sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"), F.min("far").alias("low"), F.max("far").alias("high"))
+    # texts of the leader's class were not checked against it again: any distance is possible
+    rows = land(rows.select("bucket", "uid", "windows", "class", (1 - F.col("similarity")).alias("far")), "judged")
+    low, high = F.min(F.coalesce("far", F.lit(0.0))), F.max(F.coalesce("far", F.lit(1.0)))
+    sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"), low.alias("low"), high.alias("high"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    outside = sizes.join(largest, "bucket").where("class != largest").groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    edges = largest.join(outside, "bucket").select("bucket", "largest", "low", "high")
+    outside = sizes.join(largest, "bucket").where("class != largest").groupBy("bucket", "largest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     widest = 1 - similar + 1e-9
-    rows = join_single(rows, sizes.select("bucket", "class", "size"), ["bucket", "class"], "inner", spread=["uid"])
-    rows = join_single(rows, edges, ["bucket"], "inner", spread=["uid"])
-    reach = (F.col("class") != F.col("largest")) | F.col("far").between(F.col("low") - widest, F.col("high") + widest)
-    return land(rows.where(reach).select(*_MEMBER), "members")
+    rows = join_single(rows, outside, ["bucket"], "inner", spread=["uid"])
+    reach = (F.col("class") != F.col("largest")) | F.col("far").isNull() | F.col("far").between(F.col("low") - widest, F.col("high") + widest)
+    left = rows.where(reach).groupBy("uid").agg(F.first("windows").alias("windows"), F.first("class").alias("class"))
+    return land(left, "left-over")
 
 
 def classes_of(prepared: DataFrame, similar: float = SIMILAR, width: int = WIDTH, weighted: bool = False) -> DataFrame:
