@@ -43,7 +43,7 @@ class TextEncoder:
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, remembered: int = 1 << 25):
+    def __init__(self, path: str, remembered: int = 1 << 26):
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
         self._model = self._library.model

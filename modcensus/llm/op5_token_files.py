@@ -28,7 +28,7 @@ from modcensus.llm.bpe import text_encoder
 from modcensus.llm.common import file_system, fresh_folder, whole_text
 
 PART = "part INT, stem STRING, dtype STRING, documents LONG, ids LONG"
-READ_ROWS = 2_000
+READ_ROWS, READ_IDS = 2_000, 1 << 18  # of a batch that is read back, at most; a longer document is one of its own
 
 
 def _write_part(folder: str, tokenizer: str, end_id: int):
@@ -107,12 +107,15 @@ def _read_parts(key_type: pa.DataType):
                 offsets = np.frombuffer(_mapped(files, f"{stem}.offsets"), "<u8").astype("int64")
                 ids = np.frombuffer(_mapped(files, f"{stem}.ids"), part["dtype"])
                 keys = pa.ipc.open_file(pa.BufferReader(_mapped(files, f"{stem}.keys"))).read_all().column("key")
-                for at in range(0, part["documents"], READ_ROWS):
-                    to = min(at + READ_ROWS, part["documents"])
+                at = 0
+                while at < part["documents"]:
+                    to = int(np.searchsorted(offsets, offsets[at] + READ_IDS, "right")) - 1
+                    to = min(max(to, at + 1), at + READ_ROWS, part["documents"])
                     starts, ends = offsets[at:to], offsets[at + 1 : to + 1]
                     found = [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
                     some = pa.array(keys.slice(at, to - at).to_pylist(), key_type)
                     yield pa.record_batch([some, starts + part["base"], ends - starts, pa.array(found, pa.binary())], schema=out)
+                    at = to
 
     return read
 
