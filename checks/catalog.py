@@ -175,7 +175,7 @@ def q_csv_file_type(spark, folder):
 
 
 def q_repo_file_counts(spark, folder):
-    return files.repository_file_counts(corpus.iac_files(spark, folder))
+    return files.repository_file_counts(corpus.hosted_files(spark, folder))
 
 
 # --- documents ---------------------------------------------------------------------------
@@ -324,8 +324,13 @@ def q_fetch_counts(spark, folder):
 
 
 def q_repo_failures(spark, folder):
-    listed, tree = _listed(spark, folder), corpus.tree_entries(spark, folder)
-    return files.repository_outcomes(listed, tree, _outcomes(spark, folder))
+    return files.repository_outcomes(_listed(spark, folder), corpus.landed_trees(spark, folder), _outcomes(spark, folder))
+
+
+def q_scan_errors(spark, folder):
+    attached = land(_outcomes(spark, folder), "outcomes")
+    repositories_of = files.repository_outcomes(_listed(spark, folder), corpus.landed_trees(spark, folder), attached)
+    return files.scan_errors(repositories_of, attached)
 
 
 def q_scan_totals(spark, folder):

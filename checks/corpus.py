@@ -102,6 +102,11 @@ def iac_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def hosted_files(spark: SparkSession, folder: str) -> DataFrame:
+    """host, repository and file_type of the files on all their hosts; twins share their names."""
+    return _on_hosts(files(spark, folder)).select("host", F.col("full_name").alias("repository"), file_type(F.col("path")).alias("file_type"))
+
+
 def _customers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").selectExpr("c_custkey AS c")
 
@@ -165,6 +170,13 @@ def tree_entries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def landed_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest: one row for each landed tree, those without entries too."""
+    hosts = f"array({rules.OWN_HOST}, {rules.TWIN_HOST})"
+    rows = _customers(spark, folder).where(rules.TREE_LANDED).selectExpr("c", f"explode({hosts}) AS h").where("h IS NOT NULL")
+    return rows.selectExpr(f"{rules.REPO_HOST} AS host", f"{rules.REPO_FULL_NAME} AS full_name")
+
+
 @cache
 def _landed_contents(application: str, spark: SparkSession, folder: str) -> ContentsLayout:
     encoded = "base64(content)"

@@ -86,7 +86,7 @@ outcomes AS (
     CASE WHEN any_value(t.host) IS NULL THEN 'error' ELSE 'success' END AS status,
     CASE WHEN any_value(t.host) IS NULL THEN 'No file tree was landed for this repository' END AS error,
     count(*) FILTER (a.path IS NOT NULL AND a.error IS NULL) AS success_count, count(*) FILTER (a.error IS NOT NULL) AS error_count
-  FROM kept k LEFT JOIN (SELECT DISTINCT host, full_name FROM tree) t ON k.host = t.host AND k.full_name = t.full_name
+  FROM kept k LEFT JOIN (SELECT DISTINCT host, full_name FROM repos WHERE {rules.TREE_LANDED}) t ON k.host = t.host AND k.full_name = t.full_name
     LEFT JOIN attached a ON a.host = k.host AND a.repository = k.full_name
   GROUP BY k.host, k.full_name)"""
 
@@ -240,9 +240,13 @@ ORACLES = {
           ELSE 'terraform' END AS type, repository, file_path, line_number, block_pos FROM calls)
         SELECT *, CASE WHEN EXISTS (SELECT 1 FROM relabelled t WHERE t.type = 'terraform' AND t.source = r.source
           AND t.file_path = r.file_path) THEN 'terraform' ELSE 'terragrunt' END AS file_type FROM relabelled r""",
-    "q_repo_file_counts": f"""WITH {FILES} SELECT repository, grouping(repository) = 1 AS overall, count(*) AS files,
+    "q_repo_file_counts": f"""WITH {FILES},
+        placed AS (SELECT h, repository, file_type FROM files
+          UNION ALL SELECT twin, repository, file_type FROM files WHERE twin IS NOT NULL AND {rules.TWIN_HAS}),
+        hosted AS (SELECT {rules.REPO_HOST} AS host, repository, file_type FROM placed)
+        SELECT host, repository, grouping(repository) = 1 AS overall, count(*) AS files,
         count(*) FILTER (file_type = 'terraform') AS terraform_files,
-        count(*) FILTER (file_type = 'terragrunt') AS terragrunt_files FROM files GROUP BY ROLLUP (repository)""",
+        count(*) FILTER (file_type = 'terragrunt') AS terragrunt_files FROM hosted GROUP BY GROUPING SETS ((host, repository), ())""",
     "q_csv_rows": f"""WITH {CALLS} SELECT source AS module, source_type, type AS file_type, coalesce(version, '') AS version,
         repository, file_path, line_number, file_url || '#L' || line_number AS file_link FROM calls""",
     "q_csv_lines": f"WITH {CALLS} SELECT row_number() OVER (ORDER BY {IN_ORDER}) AS position, {CSV_LINE} AS line FROM calls",
@@ -369,6 +373,8 @@ ORACLES = {
     "q_fetch_counts": f"""WITH {ATTACHED} SELECT host, repository, count(*) FILTER (error IS NULL) AS success_count,
         count(*) FILTER (error IS NOT NULL) AS error_count FROM attached GROUP BY host, repository""",
     "q_repo_failures": f"WITH {OUTCOMES} SELECT * FROM outcomes",
+    "q_scan_errors": f"""WITH {OUTCOMES} SELECT 'repository' AS kind, host, repository, NULL AS path, provider, error FROM outcomes WHERE status = 'error'
+        UNION ALL SELECT 'file', host, repository, path, provider, error FROM attached WHERE error IS NOT NULL""",
     "q_scan_totals": f"""WITH {OUTCOMES} SELECT count(*) FILTER (status = 'success') AS repository_successes,
         count(*) FILTER (status = 'error') AS repository_errors, sum(success_count)::BIGINT AS file_successes,
         sum(error_count)::BIGINT AS file_errors FROM outcomes""",

@@ -146,6 +146,8 @@ HAS_SHA = "(o % 37 <> 0)"
 TWIN_HAS = "(o % 3 = 0)"
 TWIN_IS_LANDED = "(o % 2 = 0)"
 HAS_TREE = "(c % 8 <> 3)"
+# trees that were landed, some of them without entries
+TREE_LANDED = f"({HAS_TREE} OR c % 16 = 3)"
 
 # landed contents: some failed, some plain, some without text
 IS_LANDED = "(o % 29 <> 0)"

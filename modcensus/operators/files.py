@@ -184,13 +184,19 @@ def fetch_counts(attached: DataFrame) -> DataFrame:
     )
 
 
-def repository_outcomes(repositories: DataFrame, tree: DataFrame, attached: DataFrame) -> DataFrame:
+def landed_trees(tree: DataFrame) -> DataFrame:
+    """(host, full_name) of the trees with any entry: a manifest for landings that keep none."""
+    return tree.select("host", "full_name").distinct()
+
+
+def repository_outcomes(repositories: DataFrame, trees: DataFrame, attached: DataFrame) -> DataFrame:
     """A row for each listed repository: did its scan succeed, and how many of its files.
 
-    A repository without a landed tree failed; one whose tree holds no wanted file is a success
-    with zero files. ``attached`` is what ``attach_contents`` or ``attach_outcomes`` give.
+    ``trees`` is the manifest of landed trees, one row or more for each (host, full_name), whether the tree
+    has entries or not. A repository that it lacks failed; an empty tree, or one without wanted files, is a
+    success with zero files. ``attached`` is what ``attach_contents`` or ``attach_outcomes`` give.
     """
-    scanned = tree.select("host", "full_name").distinct().withColumn("_scanned", F.lit(True))
+    scanned = trees.select("host", "full_name").distinct().withColumn("_scanned", F.lit(True))
     counts = fetch_counts(attached).withColumnRenamed("repository", "full_name")
     rows = repositories.select("host", "full_name", "provider").join(scanned, ["host", "full_name"], "left")
     rows = rows.join(counts, ["host", "full_name"], "left")
@@ -207,6 +213,15 @@ def repository_outcomes(repositories: DataFrame, tree: DataFrame, attached: Data
     )
 
 
+def scan_errors(outcomes: DataFrame, attached: DataFrame) -> DataFrame:
+    """All failures of a scan in one table: a row for each failed repository (no path) and each failed file."""
+    failed = outcomes.where(F.col("status") == "error")
+    repositories = failed.select(
+        F.lit("repository").alias("kind"), "host", "repository", F.lit(None).cast("string").alias("path"), "provider", "error"
+    )
+    return repositories.unionByName(fetch_errors(attached).withColumn("kind", F.lit("file")))
+
+
 def scan_totals(outcomes: DataFrame) -> DataFrame:
     """One row: repositories and files, succeeded and failed."""
     zero = F.lit(0).cast("bigint")
@@ -219,8 +234,12 @@ def scan_totals(outcomes: DataFrame) -> DataFrame:
 
 
 def repository_file_counts(files: DataFrame) -> DataFrame:
-    """Files by type per repository, and over all of them (``repository`` NULL, ``overall`` true)."""
-    return files.rollup("repository").agg(
+    """Files by type per repository, and over all of them (``repository`` NULL, ``overall`` true).
+
+    Where files carry their ``host``, repositories of one name on several hosts are apart.
+    """
+    keys = [name for name in ("host", "repository") if name in files.columns]
+    return files.groupingSets([keys, []], *keys).agg(
         (F.grouping("repository") == 1).alias("overall"),
         F.count(F.lit(1)).alias("files"),
         F.count_if(F.col("file_type") == TERRAFORM).alias("terraform_files"),

@@ -1,8 +1,10 @@
 """Directory trees as the ``iac_files`` table.
 
 Spark's own file readers leave out names that start with a dot or an underscore, which a
-scan has to see. So a small data source lists the tree, and the files are then read in
-tasks of even size, however the tree is shaped.
+scan has to see. So the tree is listed by tasks of our own, in rounds: each round lists the open
+directories, dealt evenly to all tasks, and a task hands on what it has not opened after ``BUDGET``
+entries. However the tree is shaped, a deep or large part of it is soon spread, and
+the files are then read in tasks of even size.
 """
 
 import os
@@ -10,15 +12,17 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from modcensus.fixed import DIRECTORY_DENIED, NO_DIRECTORY, NOT_A_DIRECTORY, SKIP_DIRECTORIES
 from modcensus.functions.classify import file_type
 from modcensus.operators.files import keep_file_types, match_paths
+from modcensus.runtime import land
 from modcensus.schemas import IAC_FILES
 
 LISTED = "kind STRING, path STRING, full_path STRING, error STRING"
-READ = "path STRING, full_path STRING, body BINARY, size BIGINT, error STRING"
+READ = "path STRING, full_path STRING, is_directory BOOLEAN, body BINARY, size BIGINT, error STRING"
+OPEN, LINKED = "open", "linked"  # directories still to be listed; linked ones are below a followed link
+BUDGET = 5_000  # entries that one open directory, with what is below it, takes of a task
 
 
 def _enters(name: str) -> bool:
@@ -38,98 +42,47 @@ def check_root(root: str) -> None:
 BATCH_BYTES, BATCH_FILES = 8 << 20, 1_000
 
 
-class _Directories(InputPartition):
-    """Directories to list in one task, each with all below it, or only its own entries."""
-
-    def __init__(self, directories: list[tuple[str, bool]]):
-        super().__init__(directories)
-        self.directories = directories
-
+def _walk(root: str, budget: int):
+    """Lists open directories and what is below them, up to ``budget`` entries for each."""
+    import pandas as pd
 
-class _TreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = os.path.abspath(options["path"])
-        self.wanted = int(options.get("directories", "64"))
+    def row(kind: str, path: str, error: str | None = None) -> tuple:
+        return kind, os.path.relpath(path, root).replace(os.sep, "/"), path, error
 
-    def partitions(self) -> list[InputPartition]:
-        """Open the top of the tree until there are enough subtrees, and deal them to at most as many tasks."""
-        check_root(self.root)
-        done, open_ones = [], [self.root]
-        while open_ones and len(done) + len(open_ones) < self.wanted:
-            path = open_ones.pop(0)
-            done.append((path, False))
+    def listed(start: str, mode: str) -> Iterator[tuple]:
+        stack, left = [(start, mode)], budget
+        while stack:
+            if left <= 0:
+                yield from (row(kind, path) for path, kind in stack)
+                return
+            path, kind = stack.pop()
             try:
-                with os.scandir(path) as entries:
-                    below = sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and _enters(e.name))
-            except OSError:
-                continue  # its own partition reports it
-            open_ones += below
-        found = done + [(path, True) for path in open_ones]
-        tasks = max(1, min(self.wanted, len(found)))
-        return [_Directories(found[i::tasks]) for i in range(tasks)]
-
-    def read(self, partition: _Directories) -> Iterator[tuple]:
-        for path, deep in partition.directories:
-            yield from self._list(path, deep)
-
-    def _row(self, kind: str, path: str, error: str | None = None) -> tuple:
-        return kind, os.path.relpath(path, self.root).replace(os.sep, "/"), path, error
-
-    def _list(self, path: str, deep: bool) -> Iterator[tuple]:
-        try:
-            with os.scandir(path) as found:
-                entries = sorted(found, key=lambda e: e.name)
-        except OSError as problem:
-            yield self._row("unreadable", path, str(problem))
-            return
-        for entry in entries:
-            if entry.is_symlink():
-                yield from self._link(entry.path, set())
-            elif entry.is_file():
-                yield self._row("file", entry.path)
-            elif deep and entry.is_dir() and _enters(entry.name):
-                yield from self._list(entry.path, deep)
-
-    def _link(self, path: str, seen: set | None) -> Iterator[tuple]:
-        """A link to a file counts under the link's path, one to a directory under the real path."""
-        target = os.path.realpath(path)
-        if os.path.isfile(target):
-            yield self._row("file", path)
-        elif seen is not None and os.path.isdir(target) and _enters(os.path.basename(path)):
-            yield from self._linked(target, seen)
-
-    def _linked(self, path: str, seen: set) -> Iterator[tuple]:
-        """Below a followed link; links to directories in there are not followed."""
-        if path in seen:
-            return
-        seen.add(path)
-        try:
-            with os.scandir(path) as found:
-                entries = sorted(found, key=lambda e: e.name)
-        except OSError as problem:
-            yield self._row("unreadable", path, str(problem))
-            return
-        for entry in entries:
-            if entry.is_symlink():
-                yield from self._link(entry.path, None)
-            elif entry.is_file():
-                yield self._row("file", entry.path)
-            elif entry.is_dir() and _enters(entry.name):
-                yield from self._linked(entry.path, seen)
-
-
-class TreeListing(DataSource):
-    """Names below a directory: ``spark.read.format("modcensus_tree").load(path)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "modcensus_tree"
-
-    def schema(self) -> str:
-        return LISTED
-
-    def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options)
+                with os.scandir(path) as found:
+                    entries = sorted(found, key=lambda e: e.name, reverse=True)
+            except OSError as problem:
+                yield row("unreadable", path, str(problem))
+                continue
+            left -= len(entries) + 1
+            for entry in entries:
+                if entry.is_symlink():
+                    # a link to a file counts under the link's path, one to a directory under the real path;
+                    # below a followed link no further ones to directories are followed
+                    target = os.path.realpath(entry.path)
+                    if os.path.isfile(target):
+                        yield row("file", entry.path)
+                    elif kind == OPEN and os.path.isdir(target) and _enters(entry.name):
+                        stack.append((target, LINKED))
+                elif entry.is_file():
+                    yield row("file", entry.path)
+                elif entry.is_dir() and _enters(entry.name):
+                    stack.append((entry.path, kind))
+
+    def walk(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for path, kind in zip(batch["full_path"], batch["kind"]):
+                yield pd.DataFrame(list(listed(path, kind)), columns=["kind", "path", "full_path", "error"], dtype=object)
+
+    return walk
 
 
 def _read_bodies(batches: Iterator) -> Iterator:
@@ -137,20 +90,23 @@ def _read_bodies(batches: Iterator) -> Iterator:
     import pandas as pd
 
     def made(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["path", "full_path", "body", "size", "error"])
+        frame = pd.DataFrame(rows, columns=["path", "full_path", "is_directory", "body", "size", "error"])
         return frame.astype({"size": "Int64"})
 
     for batch in batches:
         rows: list[tuple] = []
         held = 0
-        for path, full_path in zip(batch["path"], batch["full_path"]):
+        for kind, path, full_path, problem_before in zip(batch["kind"], batch["path"], batch["full_path"], batch["error"]):
+            if kind != "file":
+                rows.append((path, full_path, True, None, None, problem_before))
+                continue
             try:
                 with open(full_path, "rb") as file:
                     body = file.read()
-                row = (path, full_path, body, os.stat(full_path).st_size, None)
+                row = (path, full_path, False, body, os.stat(full_path).st_size, None)
             except OSError as problem:
-                row = (path, full_path, None, None, f"Failed to read file: {full_path} - {problem}")
-            size = len(row[2] or b"")
+                row = (path, full_path, False, None, None, f"Failed to read file: {full_path} - {problem}")
+            size = len(row[3] or b"")
             if rows and (held + size > BATCH_BYTES or len(rows) >= BATCH_FILES):
                 yield made(rows)
                 rows, held = [], 0
@@ -160,12 +116,23 @@ def _read_bodies(batches: Iterator) -> Iterator:
             yield made(rows)
 
 
-def list_tree(spark: SparkSession, root: str, directories: int = 64) -> DataFrame:
-    """Names below ``root``; every executor must see the folder under the same path."""
+def list_tree(spark: SparkSession, root: str, tasks: int | None = None, budget: int = BUDGET) -> DataFrame:
+    """Names below ``root`` and directories that cannot be read; every executor must see the folder under the same path.
+
+    Each round is landed, so a lost executor does not list a tree that has changed meanwhile.
+    """
     root = os.path.abspath(root)
     check_root(root)
-    spark.dataSource.register(TreeListing)
-    return spark.read.format("modcensus_tree").option("directories", directories).load(root)
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    frontier = spark.createDataFrame([(OPEN, root)], "kind STRING, full_path STRING")
+    listed = None
+    while listed is None or frontier.head(1):
+        dealt = frontier.select("kind", "full_path").repartition(tasks, "full_path")
+        found = land(dealt.mapInPandas(_walk(root, budget), LISTED), "tree")
+        names = found.where(~F.col("kind").isin(OPEN, LINKED))
+        listed = names if listed is None else listed.unionByName(names)
+        frontier = found.where(F.col("kind").isin(OPEN, LINKED))
+    return listed
 
 
 def read_tree(
@@ -176,15 +143,19 @@ def read_tree(
     exclude: list[str] | None = None,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Files with ``content`` or ``error``; names are filtered before anything is read."""
+    """Files with ``content`` or ``error``; names are filtered before anything is read.
+
+    Directories that could not be listed are rows too, with an ``error`` and without a ``file_type``: one
+    pass over the tree gives all that a scan has to tell.
+    """
     root = os.path.abspath(root)
     listed = list_tree(spark, root)
-    names = listed.where(F.col("kind") == "file").select("path", "full_path")
-    names = match_paths(keep_file_types(names, file_types, local=True), include, exclude)
+    names = match_paths(keep_file_types(listed.where(F.col("kind") == "file"), file_types, local=True), include, exclude)
+    names = names.unionByName(listed.where(F.col("kind") == "unreadable"))
     spread = names.repartition(tasks or spark.sparkContext.defaultParallelism, "full_path")
     read = spread.mapInPandas(_read_bodies, READ)
     return read.select(
-        file_type(F.col("path")).alias("file_type"),
+        F.when(~F.col("is_directory"), file_type(F.col("path"))).alias("file_type"),
         F.lit(os.path.basename(root)).alias("repository"),
         "path",
         F.make_valid_utf8(F.col("body").cast("string")).alias("content"),
@@ -201,6 +172,10 @@ def read_directory_tree(spark: SparkSession, root: str, **filters) -> DataFrame:
     return rows.to(spark.createDataFrame([], IAC_FILES).schema)
 
 
-def tree_errors(spark: SparkSession, root: str) -> DataFrame:
-    """Directories below ``root`` that could not be listed; the scan goes on without them."""
-    return list_tree(spark, root).where(F.col("kind") == "unreadable").select("path", "error")
+def tree_errors(read: DataFrame) -> DataFrame:
+    """Directories that could not be listed and files that could not be read, of a landed ``read_tree``.
+
+    The scan goes on without them. The tree is not listed again.
+    """
+    kind = F.when(F.col("file_type").isNull(), "directory").otherwise("file")
+    return read.where(F.col("error").isNotNull()).select(kind.alias("kind"), "path", "error")

@@ -153,11 +153,11 @@ def test_equal_names_keep_their_files(spark):
     contents = spark.createDataFrame([(h, "acme/x", "a.tf", "text", "a = 1") for h in HOSTS.values()], FILE_CONTENTS)
     attached = scan_files(listed, entries, contents).collect()
     assert [(r.host, r.content, r.error) for r in attached] == [("https://gitlab.com", "a = 1", None)]
-    outcomes = files.repository_outcomes(listed, entries, scan_files(listed, entries, contents))
+    outcomes = files.repository_outcomes(listed, files.landed_trees(entries), scan_files(listed, entries, contents))
     got = {r.host: (r.status, r.error, r.success_count, r.error_count) for r in outcomes.collect()}
     assert got == {"https://gitlab.com": ("success", None, 1, 0), "https://github.com": ("error", files.NO_TREE, 0, 0)}
     bare = spark.createDataFrame([("https://github.com", "acme/x", "README.md", "blob", "1", 1, 0)], TREE_ENTRIES)
-    outcomes = files.repository_outcomes(listed, bare, scan_files(listed, bare, contents))
+    outcomes = files.repository_outcomes(listed, files.landed_trees(bare), scan_files(listed, bare, contents))
     assert {r.host: r.status for r in outcomes.collect()} == {"https://github.com": "success", "https://gitlab.com": "error"}
     assert files.scan_totals(outcomes).first().asDict() == {"repository_successes": 1, "repository_errors": 1, "file_successes": 0, "file_errors": 0}
 
@@ -184,3 +184,25 @@ def test_repository_file_counts(spark):
     got = {r.repository: (r.overall, r.files, r.terraform_files, r.terragrunt_files)
            for r in files.repository_file_counts(rows).collect()}
     assert got == {"r1": (False, 2, 1, 1), "r2": (False, 1, 1, 0), None: (True, 3, 2, 1)}
+
+
+def test_file_counts_of_one_name_on_two_hosts(spark):
+    rows = spark.createDataFrame(
+        [("h1", "r", "terraform"), ("h2", "r", "terragrunt"), ("h2", "r", "terraform"), (None, "r", "terraform")], "host STRING, repository STRING, file_type STRING"
+    )
+    got = {(r.host, r.overall): (r.files, r.terraform_files, r.terragrunt_files) for r in files.repository_file_counts(rows).collect()}
+    assert got == {("h1", False): (1, 1, 0), ("h2", False): (2, 1, 1), (None, False): (1, 1, 0), (None, True): (4, 3, 1)}
+
+
+def test_an_empty_landed_tree_is_a_success(spark):
+    listed = spark.createDataFrame(
+        [("gitlab", "https://gitlab.com", i, "o", name, f"o/{name}", "main", False, False, "u", "c") for i, name in enumerate(("full", "empty", "missing"))], REPOSITORIES)
+    entries = spark.createDataFrame([("https://gitlab.com", "o/full", f"{i}.tf", "blob", "1", 1, i) for i in range(2)], TREE_ENTRIES)
+    contents = spark.createDataFrame([("https://gitlab.com", "o/full", "0.tf", "text", "a")], FILE_CONTENTS)
+    trees = spark.createDataFrame([("https://gitlab.com", f"o/{name}") for name in ("full", "empty", "empty")], "host STRING, full_name STRING")
+    attached = files.attach_outcomes(files.candidate_files(entries, listed), contents)
+    outcomes = files.repository_outcomes(listed, trees, attached)
+    got = {r.repository: (r.status, r.success_count, r.error_count) for r in outcomes.collect()}
+    assert got == {"o/full": ("success", 1, 1), "o/empty": ("success", 0, 0), "o/missing": ("error", 0, 0)}
+    errors = sorted((r.kind, r.repository, r.path, r.error) for r in files.scan_errors(outcomes, attached).collect())
+    assert errors == [("file", "o/full", "1.tf", files.NO_CONTENT), ("repository", "o/missing", None, files.NO_TREE)]
