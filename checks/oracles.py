@@ -253,7 +253,7 @@ ORACLES = {
     "q_json_modules": f"WITH {CALLS} SELECT row_number() OVER (ORDER BY {IN_ORDER}) AS position, {JSON_OBJECT} AS line FROM calls",
     "q_json_document": f"""WITH {MERGED},
         counters AS (SELECT {COUNTERS}),
-        placed AS (SELECT *, row_number() OVER (ORDER BY {IN_ORDER}) = (SELECT count(*) FROM calls) AS is_last FROM calls),
+        placed AS (SELECT *, row_number() OVER (ORDER BY {IN_ORDER}) = 1 AS is_first FROM calls),
         versions AS (SELECT source, string_agg('        ' || to_json(version) || ': ' || n, '#next#' ORDER BY version COLLATE en_us, version) AS lines
           FROM merged WHERE entry = 'version' GROUP BY source),
         sources AS (SELECT m.source, n, lines, row_number() OVER (ORDER BY m.source COLLATE en_us DESC, m.source DESC) = 1 AS is_last
@@ -268,13 +268,13 @@ ORACLES = {
           || '    "terragruntFileCount": ' || terragrunt_file_count || chr(10) || '  }},' || chr(10) || '  "modules": [' AS value
         FROM counters
         UNION ALL
-        SELECT '    {{' || chr(10) || '      "name": ' || to_json(name) || ',' || chr(10) || '      "source": ' || to_json(source) || ',' || chr(10)
+        SELECT CASE WHEN is_first THEN '' ELSE '    }},' || chr(10) END || '    {{' || chr(10) || '      "name": ' || to_json(name) || ',' || chr(10) || '      "source": ' || to_json(source) || ',' || chr(10)
           || '      "sourceType": ' || to_json(source_type) || ',' || chr(10)
           || coalesce('      "version": ' || to_json(version) || ',' || chr(10), '')
           || '      "repository": ' || to_json(repository) || ',' || chr(10) || '      "filePath": ' || to_json(file_path) || ',' || chr(10)
           || '      "fileUrl": ' || to_json(file_url) || ',' || chr(10) || '      "lineNumber": ' || line_number || ',' || chr(10)
-          || '      "type": ' || to_json(type) || chr(10) || '    }}' || CASE WHEN is_last THEN '' ELSE ',' END FROM placed
-        UNION ALL SELECT '  ],' || chr(10) || '  "summary": {{'
+          || '      "type": ' || to_json(type) FROM placed
+        UNION ALL SELECT '    }}' || chr(10) || '  ],' || chr(10) || '  "summary": {{'
         UNION ALL
         SELECT '    ' || to_json(source) || ': {{' || chr(10) || '      "count": ' || n || ',' || chr(10) || '      "versions": {{'
           || CASE WHEN lines IS NULL THEN '}}' || chr(10) || '    }}' || CASE WHEN is_last THEN '' ELSE ',' END ELSE '' END FROM sources

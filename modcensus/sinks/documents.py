@@ -1,11 +1,12 @@
 """CSV, JSON and report as frames of text lines, and their writers.
 
-Every format is first a frame of lines with sort keys; writing it means one range sort
-and a text write, so the part files in name order are the document. No row gathers a
-whole report: in JSON a source and each of its versions are lines of their own.
+Every format is a frame of lines in the order of its partitions; each row is sorted once, and the
+part files in name order are the document. No row gathers a whole report: in JSON a source and each of its
+versions are lines of their own.
 """
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from modcensus.fixed import FILE_TYPES, TERRAFORM, TERRAGRUNT
 from modcensus.functions.links import file_link
 from modcensus.functions.text import in_locale_order
-from modcensus.operators.calls import positioned_calls, report_order, sorted_calls
+from modcensus.operators.calls import report_order, sorted_calls
 from modcensus.operators.extract import call_sources, module_calls
 from modcensus.operators.joins import FEW_SALTS, join_single
 from modcensus.operators.usage import (
@@ -174,13 +175,19 @@ def _json_head(counts: DataFrame, info: ScanInfo) -> DataFrame:
 
 
 def _json_module_rows(calls: DataFrame) -> DataFrame:
+    """Objects in report order, each with the end of the one before it; the last is ended by what follows.
+
+    So no row has to know whether it is the last, only whether it is the first of all: that one is in the first
+    place of the sort's first partition.
+    """
     def entry(name: str, value: Column) -> Column:  # NULL, and so left out, without a value
         shown = value.cast("string") if name == "lineNumber" else json_text(value)
         return F.concat(F.lit(f'      "{name}": '), F.when(value.isNotNull(), shown))
 
     entries = F.concat_ws(",\n", *[entry(name, value) for name, value in _json_fields().items()])
-    text = F.concat(F.lit("    {\n"), entries, F.lit("\n    }"), _comma_unless(F.col("is_last")))
-    return positioned_calls(calls).select("position", text.alias("value"))
+    is_first = F.monotonically_increasing_id() == 0
+    before = F.when(is_first, "").otherwise("    },\n")
+    return sorted_calls(calls).select(F.concat(before, F.lit("    {\n"), entries).alias("value"))
 
 
 def _json_summary_rows(usage: DataFrame) -> DataFrame:
@@ -227,25 +234,23 @@ def _json_summary_rows(usage: DataFrame) -> DataFrame:
 
 
 def json_lines(calls: DataFrame, files: DataFrame, info: ScanInfo) -> DataFrame:
-    """Lines of the JSON document, sorted. ``calls`` is read twice: pass a landed table."""
+    """Lines of the JSON document, in the order of partitions. ``calls`` is read twice: pass a landed table.
+
+    Each section is sorted once and by itself; partitions of a union follow each other, so nothing is sorted
+    over sections.
+    """
     usage = land(usage_counts(calls), "usage")
-    spark = calls.sparkSession
-    between = spark.range(1).select(F.lit('  ],\n  "summary": {').alias("value"))
-    end = spark.range(1).select(F.lit("  }\n}").alias("value"))
-    parts = [
+    last_end = F.when(F.count(F.lit(1)) > 0, "    }\n").otherwise("")
+    between = usage.agg(F.concat(last_end, F.lit('  ],\n  "summary": {')).alias("value"))
+    end = calls.sparkSession.range(1).select(F.lit("  }\n}").alias("value"))
+    sections = [
         _json_head(scan_counts(files, usage), info),
         _json_module_rows(calls),
         between,
-        _json_summary_rows(usage),
+        _json_summary_rows(usage).orderBy(*summary_order("source", "_rank")).select("value"),
         end,
     ]
-    keys = {"position": "bigint", "source": "string", "_rank": "int", "version": "string"}
-    rows = None
-    for section, part in enumerate(parts):
-        missing = {k: F.lit(None).cast(t) for k, t in keys.items() if k not in part.columns}
-        part = part.withColumns({"_section": F.lit(section), **missing}).select("_section", *keys, "value")
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.orderBy("_section", "position", *summary_order("source", "_rank")).select("value")
+    return reduce(DataFrame.unionAll, sections)
 
 
 # --- report ------------------------------------------------------------------------

@@ -82,6 +82,20 @@ def test_json_lines_with_several_versions(spark):
     assert json.loads("\n".join(r.value for r in lines))["summary"] == {"s": {"count": 4, "versions": {"1": 1, "10": 1, "2": 2}}}
 
 
+def test_json_modules_are_sorted_once(files):
+    """One range exchange over the rows of calls, and none over the whole document."""
+    calls = land(module_calls(files), "t")
+    plan = documents.json_lines(calls, files, INFO)._jdf.queryExecution().executedPlan().toString()
+    ranges = [line for line in plan.splitlines() if "rangepartitioning" in line]
+    assert sum("file_path" in line for line in ranges) == 1 and not any("_section" in line for line in ranges)
+
+
+def test_json_of_no_calls(spark, files):
+    calls = land(module_calls(files).where("false"), "t")
+    document = json.loads("\n".join(row.value for row in documents.json_lines(calls, files, INFO).collect()))
+    assert document["modules"] == [] and document["summary"] == {}
+
+
 def test_json_module_lines(files):
     rows = [json.loads(r.value) for r in documents.json_module_lines(module_calls(files)).collect()]
     assert [r["source"] for r in rows][:3] == ["./x", "b/c/d", "B/c/d?ref=2"]
