@@ -21,6 +21,12 @@ def use_folder(folder: str | Callable[[SparkSession], str]) -> None:
     _own_folder[:] = [folder if callable(folder) else lambda spark: folder]
 
 
+def default_folder(folder: str | Callable[[SparkSession], str]) -> None:
+    """As ``use_folder``, unless one was given before."""
+    if not _own_folder:
+        use_folder(folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints, else the one given to ``use_folder``."""
     folder = spark.conf.get(CHECKPOINT_SETTING, "")
