@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from modcensus.llm.vectext import portions
-from modcensus.runtime import CHECKPOINT_SETTING, land, shared_folder, use_folder
+from modcensus.runtime import CHECKPOINT_SETTING, default_folder, land, shared_folder
 
 __all__ = ["fresh_folder", "file_system", "fold", "land", "sampled_labels", "sampled_texts", "shared_folder", "table", "whole_text", "with_results"]
 
@@ -32,7 +32,7 @@ def _own_folder(spark: SparkSession) -> str:
     return _temporary()
 
 
-use_folder(_own_folder)
+default_folder(_own_folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
