@@ -167,6 +167,26 @@ def union_calls(*calls: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, calls)
 
 
+def file_sources(files: DataFrame) -> DataFrame:
+    """Each file's columns but its content, and ``sources``: (source, version) of its calls in one array.
+
+    For small state per file; the tables of calls come from ``module_calls``.
+    """
+    content = F.col("content")
+    blocks = F.when(_may_have_calls(), _by_type(lambda t: F.regexp_extract_all(content, F.lit(_BLOCK[t]), F.lit(0))))
+
+    def found(block: Column) -> Column:
+        after_name = F.substr(block, F.length(F.substring_index(block, '"', 2)) + 2)
+        body = _by_type(lambda t: after_name if t == TERRAFORM else block)
+        text = F.regexp_extract(body, SOURCE_ATTRIBUTE, 1)
+        source = _by_type(lambda t: text if t == TERRAFORM else strip_space(text))
+        attribute = F.when(F.col("file_type") == TERRAFORM, first_group(body, VERSION_ATTRIBUTE))
+        return F.struct(source.alias("source"), call_version(source, attribute).alias("version"))
+
+    named = F.filter(F.transform(blocks, found), lambda call: call["source"] != "")
+    return files.withColumn("sources", F.coalesce(named, F.array().cast("array<struct<source: string, version: string>>"))).drop("content")
+
+
 def call_sources(files: DataFrame) -> DataFrame:
     """(type, source, version) of every call, without places.
 
