@@ -7,11 +7,11 @@ distinct sources, and classifies and normalizes each of them once instead of onc
 per call.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from modcensus.fixed import TERRAFORM, TERRAGRUNT
+from modcensus.fixed import FILE_TYPES, TERRAFORM, TERRAGRUNT
 from modcensus.functions.classify import normalize_source, source_type
 from modcensus.functions.text import in_locale_order
 from modcensus.runtime import with_position
@@ -146,16 +146,32 @@ def file_type_share(usage: DataFrame) -> DataFrame:
     )
 
 
-def scan_counts(files: DataFrame, usage: DataFrame) -> DataFrame:
+def watched_files(files: DataFrame) -> tuple[DataFrame, Observation]:
+    """The files, and metrics that count them by type in whatever pass reads them next.
+
+    That pass should end with a write and no exchange: its tasks count once, however often they are tried.
+    """
+    seen, kind = Observation(), F.col("file_type")
+    per_type = [F.count_if(kind == name).alias(name) for name in FILE_TYPES]
+    return files.observe(seen, *per_type, F.count_if(~F.coalesce(kind.isin(FILE_TYPES), F.lit(False))).alias("other")), seen
+
+
+def observed_files(spark: SparkSession, seen: Observation) -> DataFrame:
+    """(type, n) of the files that a pass over ``watched_files`` has read."""
+    rows = [(None if name == "other" else name, n) for name, n in seen.get.items()]
+    return spark.createDataFrame(rows, "type STRING, n LONG")
+
+
+def scan_counts(files: DataFrame, usage: DataFrame, file_counts: DataFrame | None = None) -> DataFrame:
     """One row of counters: modules and files, together and per type.
 
-    ``files`` counts every matched file, with or without calls; its content is not read.
+    ``files`` counts every matched file, with or without calls; its content is not read. With ``file_counts``
+    (type, n) the files are not read at all.
     """
-    measures = (
-        files.groupBy(F.col("file_type").alias("type"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit("file").alias("what"), "type", "n")
-        .unionByName(usage.select(F.lit("module").alias("what"), "type", "n"))
+    if file_counts is None:
+        file_counts = files.groupBy(F.col("file_type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    measures = file_counts.select(F.lit("file").alias("what"), "type", "n").unionByName(
+        usage.select(F.lit("module").alias("what"), "type", "n")
     )
 
     def total(what: str, kind: str | None = None) -> Column:

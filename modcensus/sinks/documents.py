@@ -21,10 +21,12 @@ from modcensus.operators.usage import (
     file_type_share,
     merged_summary,
     normalized_summary,
+    observed_files,
     scan_counts,
     source_type_share,
     summary_order,
     usage_counts,
+    watched_files,
 )
 from modcensus.runtime import land, landed_tables, with_position
 
@@ -233,7 +235,7 @@ def _json_summary_rows(usage: DataFrame) -> DataFrame:
     )
 
 
-def json_lines(calls: DataFrame, files: DataFrame, info: ScanInfo) -> DataFrame:
+def json_lines(calls: DataFrame, files: DataFrame, info: ScanInfo, file_counts: DataFrame | None = None) -> DataFrame:
     """Lines of the JSON document, in the order of partitions. ``calls`` is read twice: pass a landed table.
 
     Each section is sorted once and by itself; partitions of a union follow each other, so nothing is sorted
@@ -244,7 +246,7 @@ def json_lines(calls: DataFrame, files: DataFrame, info: ScanInfo) -> DataFrame:
     between = usage.agg(F.concat(last_end, F.lit('  ],\n  "summary": {')).alias("value"))
     end = calls.sparkSession.range(1).select(F.lit("  }\n}").alias("value"))
     sections = [
-        _json_head(scan_counts(files, usage), info),
+        _json_head(scan_counts(files, usage, file_counts), info),
         _json_module_rows(calls),
         between,
         _json_summary_rows(usage).orderBy(*summary_order("source", "_rank")).select("value"),
@@ -310,10 +312,10 @@ def _with_title(lines: DataFrame, title: str) -> DataFrame:
     return first.unionByName(lines)
 
 
-def report_rows(files: DataFrame, usage: DataFrame, info: ScanInfo) -> DataFrame:
+def report_rows(files: DataFrame, usage: DataFrame, info: ScanInfo, file_counts: DataFrame | None = None) -> DataFrame:
     """Lines of the text report with their sort keys. ``usage`` is read several times: pass a landed table."""
     parts = [
-        _report_head(scan_counts(files, usage), info),
+        _report_head(scan_counts(files, usage, file_counts), info),
         _report_sources(usage),
         _with_title(
             source_type_share(usage).select("rank", _share_line("source_type").alias("text")),
@@ -348,9 +350,9 @@ def numbered_report(files: DataFrame, usage: DataFrame, info: ScanInfo) -> DataF
     )
 
 
-def report_lines(files: DataFrame, usage: DataFrame, info: ScanInfo) -> DataFrame:
+def report_lines(files: DataFrame, usage: DataFrame, info: ScanInfo, file_counts: DataFrame | None = None) -> DataFrame:
     """Lines of the text report, sorted."""
-    rows = report_rows(files, usage, info).orderBy(*report_line_order())
+    rows = report_rows(files, usage, info, file_counts).orderBy(*report_line_order())
     return rows.select(F.col("text").alias("value"))
 
 
@@ -360,17 +362,21 @@ def report_lines(files: DataFrame, usage: DataFrame, info: ScanInfo) -> DataFram
 def document(files: DataFrame, info: ScanInfo, output_format: str = "table") -> DataFrame | None:
     """All lines of a scan as ``json``, ``csv`` or text report, in order; None without calls.
 
-    Format names are not case-sensitive; an unknown one gives the report. The lines read landed
-    tables: use them inside ``runtime.landed_tables`` to have those removed at its end.
+    Files are read once: metrics of that pass count them. Format names are not case-sensitive; an
+    unknown one gives the report. The lines read landed tables: use them inside ``runtime.landed_tables``
+    to have those removed at its end.
     """
     kind = output_format.lower()
+    spark = files.sparkSession
+    files, seen = watched_files(files)
     if kind in ("json", "csv"):
         calls = land(module_calls(files), "calls")
         if calls.isEmpty():
             return None
-        return json_lines(calls, files, info) if kind == "json" else csv_lines(calls)
-    usage = land(usage_counts(call_sources(files)), "usage")
-    return None if usage.isEmpty() else report_lines(files, usage, info)
+        return json_lines(calls, files, info, observed_files(spark, seen)) if kind == "json" else csv_lines(calls)
+    # landed before they are counted: a pass without exchange counts its files reliably
+    usage = land(usage_counts(land(call_sources(files), "sources")), "usage")
+    return None if usage.isEmpty() else report_lines(files, usage, info, observed_files(spark, seen))
 
 
 def export(files: DataFrame, info: ScanInfo, output_format: str, path: str) -> bool:

@@ -200,3 +200,24 @@ def test_types_of_a_report(spark, files):
 def test_shares_of_nothing(spark):
     empty = spark.createDataFrame([], "type STRING, source STRING, version STRING, n BIGINT")
     assert [(r.type, r.n, r.percent) for r in file_type_share(empty).orderBy("rank").collect()] == [("terraform", 0, "0.0"), ("terragrunt", 0, "0.0")]
+
+
+@pytest.mark.parametrize("kind", ["json", "csv", "table"])
+def test_an_export_reads_its_files_once(spark, files, tmp_path, kind):
+    """Each task that reads the files leaves a mark."""
+    marks = tmp_path / "marks"
+    marks.mkdir()
+    place = str(marks)
+
+    def read(batches):
+        import uuid
+
+        open(f"{place}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    watched = files.coalesce(1).mapInPandas(read, files.schema)
+    assert documents.export(watched, INFO, kind, str(tmp_path / "out"))
+    assert len(list(marks.iterdir())) == 1
+    assert documents.export(files, INFO, kind, str(tmp_path / "plain"))
+    text = ["\n".join(sorted(row.value for row in spark.read.text(str(tmp_path / name)).collect())) for name in ("out", "plain")]
+    assert [line for line in text[0].splitlines() if "timestamp" not in line] == [line for line in text[1].splitlines() if "timestamp" not in line]
