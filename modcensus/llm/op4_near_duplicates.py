@@ -223,38 +223,39 @@ def _ordered(one, other) -> list:
 def links(prepared: DataFrame, members: DataFrame, similar: float, width: int, weighted: bool) -> DataFrame:
     """(a, b): links between different texts whose closure is that of all links found in buckets.
 
-    ``members`` (bucket, uid).
+    ``members`` (bucket, uid, windows).
     """
     spark = prepared.sparkSession
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # hinted, so that the plan is the same at every size
-    rows = land(join_single(members, buckets.hint("merge"), ["bucket"], "inner", spread=["uid"]), "members")
-    sized_sets = prepared.select("uid", "windows").hint("merge")
-    rows = rows.join(rows.groupBy("uid").agg(F.sum("n").alias("meets")), "uid").join(sized_sets, "uid")
+    rows = join_single(members, buckets.hint("merge"), ["bucket"], "inner", spread=["uid"])
+    meets = {"meets": F.sum("n").over(Window.partitionBy("uid"))}  # a text has a row for each band at most
     alone = {"class": F.col("uid"), "size": F.lit(1).cast("long"), "small": F.col("n") <= FIRST_FEW}
-    rows = land(rows.withColumns(alone).select(*_MEMBER), "members")
+    rows = land(rows.withColumns(meets | alone).select(*_MEMBER), "members")
     # only the texts that meet another one are moved again
     met_texts = land(prepared.select("uid", "text").join(rows.select("uid").distinct().hint("merge"), "uid", "left_semi"), "texts")
     tested = spark.createDataFrame([], "a LONG, b LONG, similarity DOUBLE")
     leaders = 1
     while True:
-        large = rows.where("NOT small")
-        many = land(large.join(large.groupBy("uid").agg(_buckets("buckets")), "uid"), "many")
+        many = land(rows.where("NOT small").withColumn("buckets", _buckets()), "many")
         few = rows.where("small").groupBy("bucket").agg(F.collect_list(F.struct("uid", "class", "windows")).alias("u"))
-        # the window's limit is applied before its shuffle: a few rows of a bucket from each task
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("meets"), "uid"))
-        led = many.withColumn("_place", place).where(F.col("_place") <= leaders)
-        led = land(led.select("bucket", *(F.col(name).alias("led_" + name) for name in ("uid", "class", "windows")), "_place"), "leaders")
-        first = led.join(led.groupBy("led_uid").agg(_buckets("led_buckets")), "led_uid").join(many, "bucket")
-        # a pair is made in the first bucket that it shares and that it has a leader in
-        once = F.try_element_at(F.array_intersect("led_buckets", "buckets"), F.lit(1)) == F.col("bucket")
-        # the first leader's distances to all are wanted, so it meets everyone
-        wanted = (F.col("_place") == 1) | _near("led_windows", "windows", similar)
-        met = first.where((F.col("class") != F.col("led_class")) & (F.col("uid") != F.col("led_uid")) & wanted & once)
-        pairs = few.select(F.inline(_pairs("u", similar))).unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid")))).distinct()
+        pairs = few.select(F.inline(_pairs("u", similar)))
+        unsettled = bool(many.head(1))
+        if unsettled:
+            # the window's limit is applied before its shuffle: a few rows of a bucket from each task
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("meets"), "uid"))
+            led = many.withColumn("_place", place).where(F.col("_place") <= leaders).withColumn("led_buckets", _buckets())
+            led = land(led.select("bucket", *(F.col(name).alias("led_" + name) for name in ("uid", "class", "windows")), "led_buckets", "_place"), "leaders")
+            # a pair is made in the first bucket that it shares and that it has a leader in
+            once = F.try_element_at(F.array_intersect("led_buckets", "buckets"), F.lit(1)) == F.col("bucket")
+            # the first leader's distances to all are wanted, so it meets everyone
+            wanted = (F.col("_place") == 1) | _near("led_windows", "windows", similar)
+            met = led.join(many, "bucket").where((F.col("class") != F.col("led_class")) & (F.col("uid") != F.col("led_uid")) & wanted & once)
+            pairs = pairs.unionAll(met.select(*_ordered(F.col("led_uid"), F.col("uid"))))
+        pairs = pairs.distinct()
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = land(tested.unionAll(_checked(pairs, met_texts, width, weighted)), "tested")
-        left = _left_over(many, led.withColumnRenamed("led_uid", "leader"), tested, similar) if many.head(1) else None
+        left = _left_over(many, led.withColumnRenamed("led_uid", "leader"), tested, similar) if unsettled else None
         if left is None or not left.head(1):
             return tested.where(F.col("similarity") >= similar).select("a", "b")
         rows = rare_buckets(left, met_texts, tested, similar, width, weighted)
@@ -316,9 +317,9 @@ def rare_buckets(left: DataFrame, texts_of: DataFrame, tested: DataFrame, simila
     return land(rows.select(*_MEMBER), "members")
 
 
-def _buckets(name: str) -> Column:
-    """A member's buckets, at most one for each band."""
-    return F.sort_array(F.collect_set("bucket")).alias(name)
+def _buckets() -> Column:
+    """All buckets of a row's text, in order: at most one for each band, or for each of its windows and sizes."""
+    return F.sort_array(F.collect_set("bucket").over(Window.partitionBy("uid")))
 
 
 _MEMBER = ["bucket", "uid", "windows", "meets", "class", "size", "small"]
@@ -367,7 +368,7 @@ def classes_of(prepared: DataFrame, similar: float = SIMILAR, width: int = WIDTH
     """
     same = land(prepared.where("form IS NOT NULL").groupBy("form").agg(F.min("uid").alias("one")), "forms")
     single = prepared.join(same.select(F.col("one").alias("uid")), "uid", "left_semi")
-    members = single.select("uid", F.explode("bands").alias("bucket"))
+    members = single.select("uid", "windows", F.explode("bands").alias("bucket"))
     found = components(links(prepared, members, similar, width, weighted))
     classed = prepared.select("uid", "doc_id", "form").join(same, "form", "left").withColumn("one", F.coalesce("one", "uid"))
     classed = classed.join(found.toDF("one", "root"), "one", "left")
