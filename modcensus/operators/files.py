@@ -17,7 +17,7 @@ from modcensus.fixed import (
 )
 from modcensus.functions.classify import file_type
 from modcensus.functions.links import blob_url
-from modcensus.operators.joins import join_single
+from modcensus.operators.joins import join_single, never_broadcast
 from modcensus.operators.limits import first_per_group
 from modcensus.runtime import evaluated
 
@@ -79,16 +79,11 @@ def candidate_files(
     types = FILE_TYPES if file_types is None else file_types
     entries = match_paths(keep_file_types(entries, types), include, exclude)
     provider = F.col("provider")
+    listed = repositories.select(
+        "host", "full_name", "provider", "list_pos", "default_branch", F.col("url").alias("_repository_url")
+    )
     rows = (
-        join_single(
-            entries,
-            repositories.select(
-                "host", "full_name", "provider", "list_pos", "default_branch", F.col("url").alias("_repository_url")
-            ),
-            ["host", "full_name"],
-            "inner",
-            spread=["path"],
-        )
+        join_single(entries, never_broadcast(listed), ["host", "full_name"], "inner", spread=["path"])
         .where(~provider.isin(GITHUB_PLATFORMS) | (F.coalesce("sha", F.lit("")) != ""))
         .select(
             file_type(F.col("path")).alias("file_type"),
@@ -134,7 +129,7 @@ def attach_contents(candidates: DataFrame, contents: DataFrame) -> DataFrame:
     the join, so that only IaC files are shuffled; the key (host, repository, path) is unique.
     Use ``attach_outcomes`` where the text is not wanted.
     """
-    rows = candidates.join(_landed(contents, F.col("content").alias("_raw")), FILE_KEY, "left")
+    rows = candidates.join(never_broadcast(_landed(contents, F.col("content").alias("_raw"))), FILE_KEY, "left")
     text = decoded_content(F.col("provider"), F.col("encoding"), F.col("_raw"))
     has_text = _has_text(F.col("_raw").isNotNull())
     return _with_error(evaluated(rows, content=F.when(has_text, text)), has_text).drop("encoding", "_raw", "_landed")
@@ -145,7 +140,8 @@ def attach_outcomes(candidates: DataFrame, contents: DataFrame) -> DataFrame:
 
     Nothing is decoded, and no text crosses the network.
     """
-    rows = candidates.join(_landed(contents, F.col("content").isNotNull().alias("_filled")), FILE_KEY, "left")
+    landed = _landed(contents, F.col("content").isNotNull().alias("_filled"))
+    rows = candidates.join(never_broadcast(landed), FILE_KEY, "left")
     return _with_error(rows, _has_text(F.col("_filled"))).drop("encoding", "_filled", "_landed")
 
 
@@ -198,8 +194,8 @@ def repository_outcomes(repositories: DataFrame, trees: DataFrame, attached: Dat
     """
     scanned = trees.select("host", "full_name").distinct().withColumn("_scanned", F.lit(True))
     counts = fetch_counts(attached).withColumnRenamed("repository", "full_name")
-    rows = repositories.select("host", "full_name", "provider").join(scanned, ["host", "full_name"], "left")
-    rows = rows.join(counts, ["host", "full_name"], "left")
+    rows = repositories.select("host", "full_name", "provider").join(never_broadcast(scanned), ["host", "full_name"], "left")
+    rows = rows.join(never_broadcast(counts), ["host", "full_name"], "left")
     failed = F.col("_scanned").isNull()
     zero = F.lit(0).cast("bigint")
     return rows.select(

@@ -8,6 +8,16 @@ SALTS = 8
 FEW_SALTS = 2  # where the single side is about as large as the other: fewer copies, the rest is left to Spark
 
 
+def never_broadcast(rows: DataFrame) -> DataFrame:
+    """The side of an equi-join that grows with the data: exchanged and sorted, at any estimate of its size.
+
+    Before a join runs, Spark estimates sizes from compressed files and the widths of columns; parsed payloads,
+    exploded arrays and copies count as nothing. What it takes for a few megabytes may be gigabytes, which a
+    broadcast gathers on the driver.
+    """
+    return rows.hint("merge")
+
+
 def join_single(
     many: DataFrame, single: DataFrame, keys: list[str], how: str, spread: list[str] | None = None, salts: int = SALTS
 ) -> DataFrame:
@@ -18,7 +28,7 @@ def join_single(
     same salt, in whatever order they come. ``single`` is copied to each.
     Besides, adaptive execution only splits a skewed partition when both sides are shuffled for
     the join itself; a ``single`` side that was just grouped by the same keys would not be. The
-    salt makes it so. A side that Spark measures as small is still broadcast.
+    salt makes it so. A side that Spark takes for small is still broadcast, unless it is ``never_broadcast``.
     """
     plain = [field.name for field in many.schema if isinstance(field.dataType, AtomicType)]
     by = F.xxhash64(*(spread or [*plain, F.spark_partition_id()]))

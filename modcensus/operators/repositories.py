@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from modcensus.fixed import GITHUB, GITLAB_PLATFORMS, OWNER_REQUIRED, PUBLIC_HOSTS, REPOSITORY_REQUIRED
 from modcensus.functions.text import strip_space
-from modcensus.operators.joins import join_single
+from modcensus.operators.joins import join_single, never_broadcast
 from modcensus.operators.limits import first_per_group
 
 KEY = ["host", "full_name"]
@@ -81,7 +81,7 @@ def owned_by(repositories: DataFrame, owners: DataFrame) -> DataFrame:
     wanted = owners.select("host", F.col("owner").alias("_owner"), "is_group")
     return (
         join_single(
-            repositories.withColumn("_owner", F.explode(candidates)), wanted, ["host", "_owner"], "inner", spread=KEY
+            repositories.withColumn("_owner", F.explode(candidates)), never_broadcast(wanted), ["host", "_owner"], "inner", spread=KEY
         )
         .where((F.col("owner") == F.col("_owner")) | F.col("is_group"))
     )
@@ -165,9 +165,10 @@ def repository_exists(wanted: DataFrame, repositories: DataFrame, archived: bool
         .otherwise(True)
     )
     named = wanted.withColumn("full_name", F.concat_ws("/", "owner", "name"))
-    answers = listed.join(named.where(error.isNull()).select(*KEY).distinct(), KEY, "left_semi")
+    asked = named.where(error.isNull()).select(*KEY).distinct()
+    answers = listed.join(never_broadcast(asked), KEY, "left_semi")
     return (
-        join_single(named, answers, KEY, "left")
+        join_single(named, never_broadcast(answers), KEY, "left")
         .withColumn("found", found)
         .withColumn("error", error)
         .drop("full_name", "_archived")

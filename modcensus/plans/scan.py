@@ -8,6 +8,7 @@ from modcensus.functions.classify import file_type
 from modcensus.functions.text import looked_up, none_if_empty
 from modcensus.operators.extract import module_calls
 from modcensus.operators.files import attach_contents, candidate_files, decoded_content
+from modcensus.operators.joins import never_broadcast
 from modcensus.operators.repositories import first_listed, list_repositories, owned_by, skip_archived
 from modcensus.runtime import evaluated
 from modcensus.sources.layout import of_listed_owners
@@ -35,7 +36,7 @@ def selected_repositories(targets: DataFrame, repositories: DataFrame, archived:
     owned = owned_by(repositories, owners).select(*repositories.columns, "_owner").distinct()
     whole = list_repositories(owned, archived=archived, per=["host", "_owner"], **listing)
     exact = skip_archived(
-        first_listed(repositories.join(singles, ["host", "full_name"], "left_semi")), not archived
+        first_listed(repositories.join(never_broadcast(singles), ["host", "full_name"], "left_semi")), not archived
     )
     return first_listed(whole.select(*repositories.columns).unionByName(exact.select(*repositories.columns)))
 
@@ -76,6 +77,5 @@ def scan_module_calls(
     )
     # the GitLab reading also takes plain text; from GitHub that is a failed file
     readable = F.col("_is_base64") | ~F.col("provider").isin(GITHUB_PLATFORMS)
-    return (
-        calls.drop("file_url").join(wanted, ["host", "repository", "file_path"]).where(readable).select(*columns)
-    )
+    found = calls.drop("file_url").join(never_broadcast(wanted), ["host", "repository", "file_path"])
+    return found.where(readable).select(*columns)

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from checks import corpus
+from checks import catalog, corpus
 from modcensus.operators import calls as call_ops
 from modcensus.operators.extract import call_sources, module_calls
 from modcensus.operators.files import attach_contents, attach_outcomes, candidate_files
@@ -153,6 +153,20 @@ def test_landed_tables_keep_their_schema(spark, files):
     assert land(files, "t").schema == files.schema
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "q_content_decode", "q_fetch_counts", "q_max_files", "q_partial_failures", "q_repo_exists", "q_repo_failures",
+        "q_scan_errors", "q_scan_owner", "q_scan_totals", "q_tree_files", "q_single_repo", "q_target_limit",
+    ],
+)
+def test_listings_and_files_are_never_broadcast(spark, name):
+    """Estimates take a listing of gigabytes for a few megabytes; only the wanted buckets of owners may travel."""
+    plan = plan_of(catalog.all_queries()[name](spark, FOLDER))
+    assert "SortMergeJoin" in plan
+    assert plan.count("BroadcastExchange") == (1 if name == "q_scan_owner" else 0)
+
+
 SMALL_SKEW = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
