@@ -96,3 +96,33 @@ def test_linked_texts_share_a_rare_bucket(spark, weighted):
         if common >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - common):
             linked.add((a, b))
     assert linked and linked <= met and len(met) < len(rows) * (len(rows) - 1) / 8
+
+
+def test_sizes_out_of_reach_make_no_rows(spark):
+    """A window that texts of very many sizes share is dealt to the sizes in reach only, not to all of them."""
+    rows = [(i, " ".join(["a b c d e", *(f"w{i}x{j}" for j in range(4 * i + 2))])) for i in range(120)]
+    texts = spark.createDataFrame(rows, "uid LONG, text STRING")
+    left = texts.selectExpr("uid", "CAST(size(split(text, ' ')) - 4 AS LONG) AS windows", "uid AS class")
+    tested = spark.createDataFrame([], "a LONG, b LONG, similarity DOUBLE")
+    frames, land = [], op4_near_duplicates.land
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(op4_near_duplicates, "land", lambda rows, label: frames.append((label, rows)) or land(rows, label))
+        op4_near_duplicates.rare_buckets(left, texts, tested, 0.8, 5, False)
+    plan = dict(frames)["dealt"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(filter(steps" in plan and "explode(steps" not in plan
+
+
+def test_texts_stay_where_they_lie(spark):
+    rows = spark.range(0, 70_000, 1, 3).selectExpr("monotonically_increasing_id() AS uid", "id AS text")
+    wanted = rows.where("text % 997 = 3 OR text IN (0, 32768, 69999)")
+    found = op4_near_duplicates._among(rows, wanted.select("uid").unionAll(wanted.select("uid")))
+    assert sorted(r.text for r in found.collect()) == sorted(r.text for r in wanted.collect())
+    assert op4_near_duplicates._among(rows, wanted.where("false").select("uid")).count() == 0
+
+
+def test_large_buckets_in_proportion_are_done_at_once(spark, monkeypatch):
+    """Three texts outside a large class meet all its members, each pair once."""
+    members = [(1, uid, 100, 1, 0 if uid < 30 else uid, 1, False, uid >= 30) for uid in range(33)]
+    rows = spark.createDataFrame(members, "bucket LONG, uid LONG, windows LONG, meets LONG, class LONG, size LONG, small BOOLEAN, outside BOOLEAN")
+    pairs = [tuple(r) for r in op4_near_duplicates._across(rows, 0.8).collect()]
+    assert sorted(pairs) == sorted([(a, b) for b in (30, 31, 32) for a in range(b) if a < 30 or a >= 30])
