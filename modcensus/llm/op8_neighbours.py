@@ -29,6 +29,7 @@ from modcensus.llm.common import land
 TREES, BITS = 32, 64
 MISS = 0.05
 BLOCK, QUERY_BLOCK = 8_192, 32_768
+PORTION = 1_024  # queries searched at a time
 SALTS = 32
 FOUND = "query_id LONG, vec_id LONG, score DOUBLE"
 
@@ -66,6 +67,12 @@ class Forest:
 
     def search(self, queries: np.ndarray, own: list[np.ndarray], k: int, miss: float = MISS) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query places and products of at least its k best found; ``own`` are left out."""
+        best: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(queries), PORTION):  # what is met by a portion's queries is alive at a time
+            best += self._search(queries[at : at + PORTION], own[at : at + PORTION], k, miss)
+        return best
+
+    def _search(self, queries: np.ndarray, own: list[np.ndarray], k: int, miss: float) -> list[tuple[np.ndarray, np.ndarray]]:
         strings = self._strings(np.column_stack([queries, np.zeros(len(queries))]))
         enough = min(4 * k, len(self._vectors))
         levels = np.zeros(len(queries), np.int64)
@@ -80,18 +87,20 @@ class Forest:
             waiting = waiting[~ready]
             if not len(waiting):
                 break
-        found: list = [None] * len(queries)
+        best: list = [None] * len(queries)
         higher: dict[int, list[int]] = {}
         for i, query in enumerate(queries):
-            found[i] = self._products(query, *ranges[i])
-            wanted = self._level(query, found[i], own[i], k, miss)
+            found = self._products(query, *ranges[i])
+            wanted = self._level(query, found, own[i], k, miss)
             if wanted < levels[i]:
                 higher.setdefault(wanted, []).append(i)
+            else:
+                best[i] = self._best(query, *found, own[i], k)
         for level, some in higher.items():
             first, last = self._ranges(strings[:, some], level)
             for j, i in enumerate(some):
-                found[i] = self._products(queries[i], first[:, j], last[:, j])
-        return [self._best(query, at, products, mine, k) for query, (at, products), mine in zip(queries, found, own, strict=True)]
+                best[i] = self._best(queries[i], *self._products(queries[i], first[:, j], last[:, j]), own[i], k)
+        return best
 
     def _level(self, query, found, own, k: int, miss: float) -> int:
         """The prefix length that misses a vector as near as the k-th so far with chance ``miss``."""
@@ -127,11 +136,13 @@ def _search_block(k: int, trees: int, miss: float):
         ids, names = points["vec_id"].to_numpy(np.int64), queries["query_id"].to_numpy(np.int64)
         forest = Forest(_matrix(points["embedding"]), float(points["longest"].iloc[0]), trees)
         own = [np.arange(a, b) for a, b in zip(np.searchsorted(ids, names, "left"), np.searchsorted(ids, names, "right"), strict=True)]
-        parts = []
+        names_of, found, scores = [], [], []
         for name, (at, score) in zip(names, forest.search(_matrix(queries["embedding"]), own, k, miss), strict=True):
             best = np.lexsort((ids[at], -score))[:k]
-            parts.append(pd.DataFrame({"query_id": name, "vec_id": ids[at[best]], "score": score[best]}))
-        return pd.concat(parts)
+            names_of.append(np.full(len(best), name))
+            found.append(ids[at[best]])
+            scores.append(score[best])
+        return pd.DataFrame({"query_id": np.concatenate(names_of), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     return search
 

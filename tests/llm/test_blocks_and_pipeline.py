@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -96,3 +97,17 @@ def test_pipeline_to_its_end(spark, small_corpus):
             at += row.length
         assert at <= 1024
     assert len(kept) > 60
+
+
+def test_a_search_holds_candidates_of_a_portion_only():
+    """All of a block may be met by each query: what is kept of it must not grow with the queries."""
+    rng = np.random.default_rng(3)
+    points, queries = rng.standard_normal((3_000, 16)), rng.standard_normal((1_500, 16))
+    forest = op8_neighbours.Forest(points, float(np.linalg.norm(points, axis=1).max()), trees=4)
+    tracemalloc.start()
+    found = forest.search(queries, [np.zeros(0, int)] * len(queries), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    exact = np.argsort(-(queries @ points.T), axis=1)[:, :5]
+    assert np.mean([len(set(at) & set(best)) / 5 for (at, _), best in zip(found, exact, strict=True)]) > 0.9
+    assert peak < 16_000_000
