@@ -3,7 +3,7 @@
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import rules
@@ -19,58 +19,58 @@ from modcensus.sources.payloads import (
     gitlab_repositories,
 )
 
+FILES_A_BUCKET = 250_000  # joins take a bucket as one task
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """What files are composed of: place, repository, path and, for documents, the text."""
     orders = table(spark, folder, "orders").selectExpr(
         "o_orderkey AS o",
         "o_custkey AS c",
-        "o_orderkey * 8 AS pos",
+        "o_orderkey * 8 AS tree_pos",
         f"{rules.ORDER_PATH} AS path",
         f"{rules.ORDER_IS_TERRAGRUNT} AS tg",
         f"{rules.ORDER_BLOCKS} AS blocks",
-        f"{rules.ORDER_START} AS head",
-        "'' AS glue",
-        "'' AS tail",
+        f"{rules.ORDER_START} AS start",
+        "CAST(NULL AS STRING) AS text",
+        "false AS is_document",
     )
     documents = table(spark, folder, "documents").selectExpr(
         "doc_id AS o",
         "doc_id AS c",
-        "1000000000000 + doc_id * 8 AS pos",
+        "1000000000000 + doc_id * 8 AS tree_pos",
         f"{rules.DOCUMENT_PATH} AS path",
         f"{rules.DOCUMENT_IS_TERRAGRUNT} AS tg",
         f"{rules.DOCUMENT_BLOCKS} AS blocks",
-        f"text || {rules.NL} AS head",
-        f"text || {rules.NL} AS glue",
-        "text AS tail",
+        "CAST(NULL AS STRING) AS start",
+        "text",
+        "true AS is_document",
     )
-    return orders.unionAll(documents)
-
-
-@cache
-def _landed(application: str, spark: SparkSession, folder: str) -> DataFrame:
-    seeds = _seeds(spark, folder)
+    seeds = orders.unionAll(documents)
     cores = spark.sparkContext.defaultParallelism
     if seeds.rdd.getNumPartitions() < cores:  # small tables come as one split each
         seeds = seeds.repartition(cores, "path")
-    text = (
-        "head || CASE WHEN blocks = 0 THEN '' ELSE array_join(transform(sequence(1L, blocks), "
-        f"k -> {rules.GLUED_BLOCK}), '') END || tail"
-    )
-    rows = seeds.selectExpr(
-        "o",
-        "c",
-        "pos AS tree_pos",
-        f"{rules.REPO_FULL_NAME} AS full_name",
-        f"{rules.OWN_HOST} AS h",
-        f"{rules.TWIN_HOST} AS twin",
-        "path",
-        f"{text} AS content",
+    return seeds.selectExpr("*", f"{rules.REPO_FULL_NAME} AS full_name", f"{rules.OWN_HOST} AS h", f"{rules.TWIN_HOST} AS twin")
+
+
+def _content() -> Column:
+    """The text of a file out of its seed."""
+    glue = f"(CASE WHEN is_document THEN text || {rules.NL} ELSE '' END)"
+    blocks = f"array_join(transform(sequence(1L, blocks), k -> {rules.GLUED_BLOCK.replace('glue', glue)}), '')"
+    return F.expr(
+        f"(CASE WHEN is_document THEN text || {rules.NL} ELSE start END) || CASE WHEN blocks = 0 THEN '' ELSE {blocks} END "
+        "|| (CASE WHEN is_document THEN text ELSE '' END)"
     )
-    return land(rows, "files")
+
+
+@cache
+def _landed(application: str, spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["o", "c", "tree_pos", "full_name", "h", "twin", "path"]
+    return land(_seeds(spark, folder).select(*columns, _content().alias("content")), "files", compact=True)
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,7 +157,7 @@ def tree_entries(spark: SparkSession, folder: str) -> DataFrame:
         for i, (condition, path, kind) in enumerate(rules.EXTRAS)
     )
     entries = f"filter(array(struct(path, 'blob' AS entry_type, 0L AS at), {extras}), e -> e IS NOT NULL)"
-    landed = _on_hosts(files(spark, folder).where(rules.HAS_TREE))
+    landed = _on_hosts(_seeds(spark, folder).where(rules.HAS_TREE))
     rows = landed.selectExpr("o", "host", "full_name", "tree_pos", f"inline({entries})")
     return rows.selectExpr(
         "host",
@@ -179,22 +179,19 @@ def landed_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 @cache
 def _landed_contents(application: str, spark: SparkSession, folder: str) -> ContentsLayout:
-    encoded = "base64(content)"
-    rows = (
-        _on_hosts(files(spark, folder).where(rules.IS_LANDED))
-        .where(f"NOT is_twin OR {rules.TWIN_IS_LANDED}")
-        .selectExpr(
-            "host",
-            "full_name",
-            "path",
-            f"CASE WHEN {rules.IS_PLAIN} THEN 'text' ELSE 'base64' END AS encoding",
-            f"CASE WHEN {rules.IS_EMPTY_RESPONSE} THEN NULL WHEN {rules.IS_PLAIN} THEN content "
-            f"ELSE substr({encoded}, 1, 60) || chr(10) || substr({encoded}, 61) END AS content",
-        )
-    )
+    # texts are composed and encoded behind the layout's exchange
+    rows = _on_hosts(_seeds(spark, folder).where(rules.IS_LANDED)).where(f"NOT is_twin OR {rules.TWIN_IS_LANDED}")
+    plain, empty = F.expr(rules.IS_PLAIN), F.expr(rules.IS_EMPTY_RESPONSE)
+    encoded = F.base64(_content())
+    broken = F.overlay(encoded, F.lit("\n"), F.lit(61), F.lit(0))
     place = f"{shared_folder(spark).rstrip('/')}/modcensus/contents-{uuid.uuid4().hex}"
-    layout = ContentsLayout(place, owner_buckets=8, buckets=8)
-    layout.write(rows)
+    count = sum(table(spark, folder, name).count() for name in ("orders", "documents"))
+    layout = ContentsLayout(place, owner_buckets=8, buckets=max(8, count // FILES_A_BUCKET))
+    layout.write(
+        rows,
+        encoding=F.when(plain, "text").otherwise("base64"),
+        content=F.when(empty, F.lit(None)).when(plain, _content()).otherwise(broken),
+    )
     return layout
 
 

@@ -78,13 +78,15 @@ def candidate_files(
     entries = tree.where((F.col("entry_type") == "blob") & (F.col("path") != ""))
     types = FILE_TYPES if file_types is None else file_types
     entries = match_paths(keep_file_types(entries, types), include, exclude)
+    # a flag, so that the join moves hashes only for those who read them
+    entries = entries.withColumn("_has_sha", F.coalesce("sha", F.lit("")) != "")
     provider = F.col("provider")
     listed = repositories.select(
         "host", "full_name", "provider", "list_pos", "default_branch", F.col("url").alias("_repository_url")
     )
     rows = (
         join_single(entries, never_broadcast(listed), ["host", "full_name"], "inner", spread=["path"])
-        .where(~provider.isin(GITHUB_PLATFORMS) | (F.coalesce("sha", F.lit("")) != ""))
+        .where(~provider.isin(GITHUB_PLATFORMS) | F.col("_has_sha"))
         .select(
             file_type(F.col("path")).alias("file_type"),
             F.col("full_name").alias("repository"),

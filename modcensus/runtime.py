@@ -10,6 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+COMPACT = "zstd"
+_REMOVAL_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _own_folder: list[Callable[[SparkSession], str]] = []
@@ -51,6 +53,17 @@ def landed_tables(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write inside go when it ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(_REMOVAL_SETTING, "false")
+    spark.conf.set(_REMOVAL_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_REMOVAL_SETTING, before)
+
+
 def evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are computed exactly once per row.
 
@@ -61,17 +74,22 @@ def evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(one))
 
 
-def land(rows: DataFrame, label: str) -> DataFrame:
+def land(rows: DataFrame, label: str, compact: bool = False) -> DataFrame:
     """Write ``rows`` once to the shared folder and read them back.
 
     For frames that are read several times and whose input is costly to recompute. The table
-    stays until the enclosing ``landed_tables`` ends, or else until its folder is cleaned.
+    stays until the enclosing ``landed_tables`` ends, or else until its folder is cleaned. ``compact``
+    saves disk for some CPU time: a denser codec, and the shuffle files of the write are removed at its end.
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/modcensus/{label}-{uuid.uuid4().hex}"
     if (scope := _open_scope.get()) is not None:
         scope.append(path)
-    rows.write.parquet(path)
+    if compact:
+        with shuffles_removed(spark):
+            rows.write.option("compression", COMPACT).parquet(path)
+    else:
+        rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 

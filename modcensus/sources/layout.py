@@ -16,11 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modcensus.runtime import COMPACT, shuffles_removed
 from modcensus.schemas import FILE_CONTENTS
 
 KEY = ["host", "full_name", "path"]
 BUCKET = "owner_bucket"
 OWNER_BUCKETS, BUCKETS = 256, 1_024
+WRITERS = 1_024  # tasks of a write at most, or as many as buckets
 
 
 def owner_bucket(host: Column, full_name: Column, buckets: int) -> Column:
@@ -41,13 +43,22 @@ class ContentsLayout:
         """The catalog's name for the folder in this session."""
         return "modcensus_contents_" + "".join(f"{byte:02x}" for byte in self.folder.encode()[-40:])
 
-    def write(self, contents: DataFrame) -> None:
-        """Land a ``file_contents`` table; texts are exchanged here once, and in no join afterwards."""
+    def write(self, contents: DataFrame, **late: Column) -> None:
+        """Land a ``file_contents`` table; texts are exchanged here once, and in no join afterwards.
+
+        ``late`` gives columns that ``contents`` has in a smaller form: they are computed of its other columns behind
+        the exchange. Each task sorts a bucket's part, for some of the owner buckets, so that what is spilled at a time is small.
+        """
         spark = contents.sparkSession
         rows = contents.withColumn(BUCKET, owner_bucket(F.col("host"), F.col("full_name"), self.owner_buckets))
-        dealt = rows.select(*spark.createDataFrame([], FILE_CONTENTS).columns, BUCKET).repartition(self.buckets, *KEY)
-        writer = dealt.write.partitionBy(BUCKET).bucketBy(self.buckets, *KEY).sortBy(*KEY)
-        writer.option("path", f"{self.folder}/contents").format("parquet").saveAsTable(self.table)
+        parts = max(1, min(self.owner_buckets, WRITERS // self.buckets))
+        bucket = F.pmod(F.hash(*KEY), F.lit(self.buckets))  # Spark's own
+        dealt = rows.repartitionById(self.buckets * parts, (bucket * parts + F.col(BUCKET) % parts).cast("int"))
+        names = [*spark.createDataFrame([], FILE_CONTENTS).columns, BUCKET]
+        landed = dealt.select(*[late[name].alias(name) if name in late else F.col(name) for name in names])
+        writer = landed.write.partitionBy(BUCKET).bucketBy(self.buckets, *KEY).sortBy(*KEY).option("compression", COMPACT)
+        with shuffles_removed(spark):
+            writer.option("path", f"{self.folder}/contents").format("parquet").saveAsTable(self.table)
         numbers = spark.createDataFrame([(self.owner_buckets, self.buckets)], "owner_buckets INT, buckets INT")
         numbers.coalesce(1).write.parquet(f"{self.folder}/layout")
 
