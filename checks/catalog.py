@@ -328,7 +328,8 @@ def q_repo_failures(spark, folder):
 
 
 def q_scan_errors(spark, folder):
-    attached = land(_outcomes(spark, folder), "outcomes")
+    outcomes = _outcomes(spark, folder).select("host", "repository", "path", "provider", "error")
+    attached = land(outcomes, "outcomes", compact=True)
     repositories_of = files.repository_outcomes(_listed(spark, folder), corpus.landed_trees(spark, folder), attached)
     return files.scan_errors(repositories_of, attached)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import catalog, corpus, rules
-from modcensus.runtime import land
+from modcensus.runtime import land, shared_folder
 from modcensus.schemas import FILE_CONTENTS
 from modcensus.sources.layout import KEY, ContentsLayout
 from tests.test_plans import plan_of
@@ -100,3 +100,12 @@ def test_joins_move_no_hashes(spark, folder, name):
     lines = plan_of(catalog.all_queries()[name](spark, folder)).splitlines()
     moved = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hash" in line]
     assert moved and not any("AS sha#" in line or ", sha#" in line for line in moved)
+
+
+def test_landed_outcomes_have_what_errors_need(spark, folder, monkeypatch):
+    landed = []
+    monkeypatch.setattr(catalog, "land", lambda rows, *a, **k: landed.append(land(rows, *a, **k)) or landed[-1])
+    errors = catalog.q_scan_errors(spark, folder)
+    assert landed[0].columns == ["host", "repository", "path", "provider", "error"]
+    assert {row["kind"] for row in errors.select("kind").distinct().collect()} == {"file", "repository"}
+    assert shared_folder(spark) in landed[0].inputFiles()[0]
